@@ -23,7 +23,7 @@ def cumulative_share(
     ).drop("_down")
     # one row of totals, so the join adds columns without moving the detail
     whole = cum.join(F.broadcast(totals))
-    shares = {f"frac_{out}": F.try_divide(F.col(f"cum_{out}"), F.col(f"_t_{out}")) for out in measures}
+    shares = {f"frac_{out}": F.try_divide(F.col(f"cum_{out}").cast("double"), F.col(f"_t_{out}")) for out in measures}
     return whole.withColumns(shares).drop(*[f"_t_{out}" for out in measures])
 
 
