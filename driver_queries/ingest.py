@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.operators.chunks import number_rows
+from panelspark.session import checkpointed
 from panelspark.sources import catalogue, climate, links, sections, typed
 
 from .registry import query
@@ -40,12 +41,12 @@ def _records(t):
     both = orders.unionByName(lines)
     # a running number per file; the order column is fine enough to be cut anywhere
     placed = both.withColumn("place", F.col("part") + (F.col("sub") / F.lit(2.0**64) + 0.5))
-    ordered = number_rows(placed, ["member"], ["place", "sub"], "record_no")
+    ordered = number_rows(placed, ["member"], ["place", "sub"], "record_no", sized_by=both.select("member"))
     counts = both.groupBy("member").agg((F.count(F.lit(1)) + 1).alias("record_no"))
     closing = counts.select("member", "record_no", row("C", "END OF REPORT", _text("record_no")).alias("fields"))
-    return (
-        ordered.select("member", "record_no", "fields").unionByName(closing).withColumn("path", F.lit("orders.zip"))
-    )
+    records = ordered.select("member", "record_no", "fields").unionByName(closing)
+    # the records as a written table, as an ingest job would leave them
+    return checkpointed(records.withColumn("path", F.lit("orders.zip")))
 
 
 @query("""

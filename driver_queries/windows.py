@@ -17,7 +17,7 @@ SELECT event_id, user_id, ts,
 FROM events
 """)
 def midpoint_energy_events(t):
-    out = midpoint_energy(t.events, ["user_id"], "ts", "value", F.lit(0.0))
+    out = midpoint_energy(t.events, ["user_id"], "ts", "value", F.lit(0.0), sized_by=t.events)
     return out.select("event_id", "user_id", "ts", F.round("energy_mwh", 6).alias("energy_mwh"))
 
 
@@ -27,7 +27,7 @@ SELECT event_id, round((value + CASE WHEN nt - ts <= INTERVAL 120 MINUTE AND nv
 FROM n
 """)
 def midpoint_energy_max_gap(t):
-    out = midpoint_energy(t.events, ["user_id"], "ts", "value", "value", max_gap_minutes=120)
+    out = midpoint_energy(t.events, ["user_id"], "ts", "value", "value", max_gap_minutes=120, sized_by=t.events)
     return out.select("event_id", F.round("energy_mwh", 6).alias("energy_mwh"))
 
 
@@ -58,8 +58,8 @@ def fill_both_ways(t):
         F.when(bought, F.col("value")).alias("purchase"),
         F.when(bought, F.col("event_id")).alias("id"),
     )
-    down = chunks.carry_forward(e, ["user_id"], ["ts"], ["purchase", "id"])
-    both = chunks.carry_backward(down, ["user_id"], ["ts"], ["purchase"], sized_by=e)
+    down = chunks.carry_forward(e, ["user_id"], ["ts"], ["purchase", "id"], sized_by=t.events)
+    both = chunks.carry_backward(down, ["user_id"], ["ts"], ["purchase"], sized_by=t.events)
     return both.select(
         "event_id",
         F.col("purchase_last").alias("last_purchase"),
@@ -132,7 +132,7 @@ SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)
 FROM events
 """)
 def running_totals(t):
-    numbered = chunks.number_rows(t.events, ["user_id"], ["ts", "event_id"], "n")
+    numbered = chunks.number_rows(t.events, ["user_id"], ["ts", "event_id"], "n", sized_by=t.events)
     out = chunks.running_sum(numbered, ["user_id"], ["ts", "event_id"], {"running": "value"}, sized_by=t.events)
     return out.select("event_id", "n", F.round("running", 4).alias("running"))
 

@@ -93,10 +93,15 @@ def over_chunks(
     """Add the columns of ``compute(window)``, the window running in ``order`` within ``keys``.
 
     ``before`` / ``after`` say what the boundary row ahead of / behind a chunk carries.
-    ``sized_by`` is a cheaper table to count instead of ``df`` (e.g. the unaggregated input).
+    ``sized_by`` is a cheaper table with at least as many rows as ``df``, such as the input it
+    was made from: counted first, and cut instead of ``df`` if it has the order column.
     """
     keys, order = list(keys), list(order)
-    cuts = plan_cuts(df if sized_by is None else sized_by, order[0], rows_per_chunk)
+    if sized_by is not None and sized_by.count() <= rows_per_chunk:
+        cuts = None
+    else:
+        known = sized_by if sized_by is not None and order[0] in sized_by.columns else df
+        cuts = plan_cuts(known, order[0], rows_per_chunk)
     if cuts is None:
         plain = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns(compute(plain))

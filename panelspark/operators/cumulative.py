@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .chunks import running_sum
 
 
@@ -37,8 +38,11 @@ def cost_concentration(df: DataFrame, cost: str, minutes: str, time_share: float
     straddles the limit contributes the whole intervals that still fit.
     """
     rate: Column = F.try_divide(F.col(cost) * F.lit(60), F.col(minutes))
-    groups = df.groupBy(rate.alias("rate"), F.col(minutes).alias("_len")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(cost).alias("_cost")
+    # written once: sizing, totals and the running sums all read it
+    groups = checkpointed(
+        df.groupBy(rate.alias("rate"), F.col(minutes).alias("_len")).agg(
+            F.count(F.lit(1)).alias("_n"), F.sum(cost).alias("_cost")
+        )
     )
     groups = groups.withColumns({"_time": F.col("_n") * F.col("_len"), "_short": -F.col("_len")})
     totals = groups.agg(F.sum("_cost").alias("_all_cost"), F.sum("_time").alias("_all_time"))

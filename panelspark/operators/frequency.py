@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .joins import sized_join
 
 
@@ -18,13 +19,14 @@ def rare_value_flags(df: DataFrame, column: str, rare: str, extreme: str) -> Dat
     The median runs over how many values share each count, a table far smaller than the
     values themselves.
     """
-    counts = value_counts(df, column, "_n")
+    # counted once, used three times
+    counts = checkpointed(value_counts(df, column, "_n"))
     median = (
         counts.groupBy("_n")
         .agg(F.count(F.lit(1)).alias("_f"))
         .agg(F.percentile("_n", 0.5, F.col("_f")).alias("_median"))
     )
-    span = df.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    span = counts.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
     flags = (
         counts.join(F.broadcast(median))
         .join(F.broadcast(span))

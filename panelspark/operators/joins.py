@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 # Rows a dimension may have and still be copied to every executor.
 BROADCAST_ROWS = 200_000
 SALTS = 32
@@ -24,16 +26,22 @@ def sized_join(
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    written: bool = False,
 ) -> DataFrame:
     """Join a large table to a smaller one on equal columns.
 
     A dimension of at most ``max_rows`` rows is broadcast, so the facts are not shuffled.
     A larger one is shuffled, with the facts of each key spread over ``salts`` partitions
     and the dimension row repeated per salt; the result is the same rows either way.
+
+    ``written`` puts the dimension into the checkpoint folder first. Set it where the
+    dimension is itself an aggregate of large data, which counting would compute twice.
     """
     if how not in ("inner", "left", "left_anti", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")
     on = list(on)
+    if written:
+        dim = checkpointed(dim)
     if fits_broadcast(dim, max_rows):
         return facts.join(F.broadcast(dim), on, how)
     # the salt depends on the row only, so a task that is run again salts the same way

@@ -121,7 +121,7 @@ def treatment_flags(
     panel: DataFrame, calendar: DataFrame, region: str = "regionid", control: str = CONTROL_REGION
 ) -> DataFrame:
     """Join the calendar by local day and add who is on summer time when."""
-    dated = sized_join(panel, calendar.withColumnRenamed("d", "date_local"), ["date_local"], "left")
+    dated = sized_join(panel, calendar.withColumnRenamed("d", "date_local"), ["date_local"], "left", written=True)
     after = F.col("hh_end_local") > F.col("dst_date").cast("timestamp_ntz")
     anywhere = F.when(F.col("dst_direction") == "start", after).otherwise(~after)
     here = F.col(region) != F.lit(control)
@@ -256,7 +256,7 @@ def midday_baseline(
     means = (
         panel.where(F.col(midday)).groupBy(*keys).agg(*[avg_strict(m).alias(f"{m}_midday") for m in measures])
     )
-    return sized_join(panel, means, list(keys), "left")
+    return sized_join(panel, means, list(keys), "left", written=True)
 
 
 def midday_deviations(panel: DataFrame) -> DataFrame:

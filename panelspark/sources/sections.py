@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..operators.chunks import carry_forward
+from ..operators.chunks import Carry, over_chunks
 from ..operators.joins import sized_join
 
 FILE_KEY = ("path", "member")
@@ -39,8 +39,17 @@ def attach_headers(records: DataFrame, file_key: Sequence[str] = FILE_KEY, **siz
             "lead": F.when(F.col("record_no") == 1, F.col("fields")),
         }
     )
-    with_header = carry_forward(marked, list(file_key), ["record_no"], ["header"], suffix="", **sizing)
-    return carry_forward(with_header, list(file_key), ["record_no"], ["lead"], suffix="", **sizing)
+
+    def compute(w: WindowSpec) -> dict[str, Column]:
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        return {c: F.last(c, ignorenulls=True).over(upto) for c in ("header", "lead")}
+
+    def latest(c: str) -> Carry:
+        summary = F.max_by(c, F.when(F.col(c).isNotNull(), F.col("record_no")))
+        return Carry(summary, lambda name, others: F.last(name, ignorenulls=True).over(others))
+
+    before = {c: latest(c) for c in ("header", "lead")}
+    return over_chunks(marked, list(file_key), ["record_no"], compute, before=before, **sizing)
 
 
 def top_timestamp(lead: Column) -> Column:

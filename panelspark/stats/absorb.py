@@ -33,12 +33,13 @@ class TooManyLevels(ValueError):
     pass
 
 
-def few_levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-NULL values, refusing to collect more than ``limit``."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
+def few_levels(cells: DataFrame, column: str, limit: int = MAX_LEVELS) -> dict:
+    """Weight of each non-NULL level, sorted by level, refusing to collect more than ``limit``."""
+    weights = cells.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("sw"))
+    rows = weights.limit(limit + 1).collect()
     if len(rows) > limit:
         raise TooManyLevels(f"{column} has more than {limit} levels")
-    return sorted(r[0] for r in rows)
+    return dict(sorted((r[0], r[1]) for r in rows))
 
 
 def _cells(
@@ -218,35 +219,33 @@ def absorb(
     An effect whose levels lie within clusters costs no degrees of freedom.
     """
     terms = expand_terms(formula) if isinstance(formula, str) else list(formula)
-    counts = df.agg(*[F.approx_count_distinct(f).alias(f) for f in fes]).first()
-    small, big = sorted(fes, key=lambda f: counts[f])
-    try:
-        smalls = few_levels(df, small, max_levels)
-    except TooManyLevels:
-        if event:
-            raise
-        return absorb_in_turns(df, y, terms, fes, w, cluster)
-    # used by both passes below
-    cells = checkpointed(
-        _cells(df, y, terms, big, small, w, cluster, event)
-        .repartition("_big")
-        .sortWithinPartitions("_big")
-    )
-    events = [v for v in few_levels(cells, "_event", max_levels) if v != base]
-    smalls = few_levels(cells, "_small", max_levels)
-    clusters = few_levels(cells, "_g", max_levels) if cluster else [0]
-    layout = _Layout(len(terms), events, smalls, clusters)
-    k = layout.k
+    # the data are read once; everything after works on the cells
+    cells = checkpointed(_cells(df, y, terms, *fes, w, cluster, event))
     whole = cells.agg(
+        F.approx_count_distinct("_big").alias("first"),
+        F.approx_count_distinct("_small").alias("second"),
         F.sum("n").alias("n"),
         F.sum("sw").alias("sw"),
         F.sum("my").alias("my"),
         F.sum("myy").alias("myy"),
-        F.count_distinct("_big").alias("bigs"),
         *[F.sum(f"mx{i}").alias(f"mx{i}") for i in range(len(terms))],
     ).first()
     n, sw = whole["n"], whole["sw"]
-    upper = _matrix(cells.mapInPandas(_gram_task(layout), "i int, j int, v double"), (k + 1, k + 1))
+    if whole["first"] < whole["second"]:
+        cells = cells.withColumns({"_big": F.col("_small"), "_small": F.col("_big")})
+    try:
+        small_levels = few_levels(cells, "_small", max_levels)
+    except TooManyLevels:
+        if event:
+            raise
+        return absorb_in_turns(df, y, terms, fes, w, cluster)
+    shares = few_levels(cells, "_event", max_levels) if event else {}
+    events = [v for v in shares if v != base]
+    by_group = cells.repartition("_big").sortWithinPartitions("_big")
+    clusters = list(few_levels(cells, "_g", max_levels)) if cluster else [0]
+    layout = _Layout(len(terms), events, list(small_levels), clusters)
+    k = layout.k
+    upper = _matrix(by_group.mapInPandas(_gram_task(layout), "i int, j int, v double"), (k + 1, k + 1))
     sums = (upper + upper.T - np.diag(np.diag(upper))) * (n / sw)
     coef, inverse, kept = solve(sums[:k, :k], sums[:k, k])
     used = np.where(kept, coef, 0.0)
@@ -258,20 +257,18 @@ def absorb(
     visible = list(range(len(terms) + len(events)))
     means = np.zeros(k)
     means[: len(terms)] = [whole[f"mx{i}"] / sw for i in range(len(terms))]
-    if events:
-        shares = {r["_event"]: r["s"] for r in cells.groupBy("_event").agg(F.sum("sw").alias("s")).collect()}
-        for value, at in layout.events.items():
-            means[at] = shares[value] / sw
+    for value, at in layout.events.items():
+        means[at] = shares[value] / sw
     constant = whole["my"] / sw - float(means[visible] @ used[visible])
 
     names = [t.name for t in terms] + [event_name(v) for v in events] + [CONSTANT]
     m = int(kept[visible].sum())
     small_dof = int(kept[len(visible):].sum())
-    nested = bool(cluster) and _nested(cells, "_small")
-    nested_big = bool(cluster) and _nested(cells, "_big")
-    absorbed = (0 if nested else small_dof) + (0 if nested_big else whole["bigs"] - 1)
+    bigs, big_nested = _levels_in_clusters(cells, "_big")
+    small_nested = bool(cluster) and _levels_in_clusters(cells, "_small")[1]
+    absorbed = (0 if small_nested else small_dof) + (0 if cluster and big_nested else bigs - 1)
     dof = n - m - 1 - absorbed
-    full_dof = n - m - 1 - small_dof - (whole["bigs"] - 1)
+    full_dof = n - m - 1 - small_dof - (bigs - 1)
     s2 = rss / full_dof if full_dof > 0 else math.nan
     full = np.zeros((k + 1, k + 1))
     stats = {
@@ -289,7 +286,7 @@ def absorb(
         left = yy - np.nansum(fe_coef * rhs[fe])
         stats["r2_within"] = 1 - rss / left if left > 0 else math.nan
     if cluster:
-        u = _matrix(cells.mapInPandas(_score_task(layout, used), "i int, j int, v double"), (k + 1, len(clusters)))
+        u = _matrix(by_group.mapInPandas(_score_task(layout, used), "i int, j int, v double"), (k + 1, len(clusters)))
         u *= scale
         influence = np.vstack([inverse @ u[:k], np.zeros(len(clusters))])
         influence[k] = u[k] / n - (means[visible] @ influence[visible])
@@ -312,10 +309,11 @@ def event_name(value: int) -> str:
     return f"lead{-value}" if value < 0 else f"lag{value}"
 
 
-def _nested(cells: DataFrame, level: str) -> bool:
-    """Does every level lie within one cluster?"""
+def _levels_in_clusters(cells: DataFrame, level: str) -> tuple[int, bool]:
+    """How many levels there are, and whether each lies within one cluster."""
     spread = cells.groupBy(level).agg((F.min("_g") != F.max("_g")).alias("_two"))
-    return not spread.agg(F.max("_two")).first()[0]
+    count, crossing = spread.agg(F.count(F.lit(1)), F.max("_two")).first()
+    return count, not crossing
 
 
 def demean_in_turns(
