@@ -1,15 +1,17 @@
 """Weighted least squares with plain or cluster-robust errors.
 
-The data are only ever reduced by aggregates of column products (partial aggregation, inside
-the JVM); what reaches the driver is the k x k matrix of sums, whatever the number of rows.
+The data are only ever reduced to sums of column products, inside the tasks first; what
+reaches the driver is the k x k matrix of sums, whatever the number of rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .distributions import f_upper, t_quantile, t_two_sided
 from .terms import Term, expand_terms
 
 CONSTANT = "_cons"
+# Products of columns above which they are added up in blocks instead of one aggregate.
+WIDE_PRODUCTS = 40
 
 
 @dataclass
@@ -108,7 +112,7 @@ def model_frame(
 
 
 def _sums(frame: DataFrame, columns: list[Column], by: list[str]) -> dict[tuple, tuple[np.ndarray, int, float]]:
-    """Weighted sums of all products of ``columns`` per group: matrix, row count, weight."""
+    """Weighted sums of all products of ``columns`` per group, in one aggregate: matrix, rows, weight."""
     k = len(columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     w = F.col("_w")
@@ -123,24 +127,60 @@ def _sums(frame: DataFrame, columns: list[Column], by: list[str]) -> dict[tuple,
     return out
 
 
+def gram(frame: DataFrame, columns: list[str], w: str | None = None) -> np.ndarray:
+    """Sum over rows of w z z', z being (columns..., 1): block products inside the tasks, then one small sum."""
+    k = len(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k + 1, k + 1))
+        for batch in batches:
+            z = np.column_stack([batch[columns].to_numpy(float), np.ones(len(batch))])
+            total += z.T @ (z if w is None else z * batch[w].to_numpy(float)[:, None])
+        i, j = np.triu_indices(k + 1)
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+
+    needed = frame.select(*columns, *([w] if w else []))
+    parts = needed.mapInPandas(run, "i int, j int, v double")
+    out = np.zeros((k + 1, k + 1))
+    for row in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[row["i"], row["j"]] = out[row["j"], row["i"]] = row["v"]
+    return out
+
+
+def _model_sums(frame: DataFrame, terms: int, wide: int) -> tuple[np.ndarray, int, float]:
+    """Sums of products of (x..., 1, y), row count and weight.
+
+    A short model is one aggregate of column products. Beyond ``wide`` products the generated
+    code for so many sums costs more than handing blocks of rows to numpy.
+    """
+    names = [f"_x{i}" for i in range(terms)]
+    k = terms + 2
+    if k * (k + 1) // 2 <= wide:
+        columns = [*[F.col(c) for c in names], F.lit(1.0), F.col("_y")]
+        return _sums(frame, columns, [])[()]
+    counted = frame.withColumn("_n", 1 / F.col("_w"))
+    # with z = (x, y, 1/w, 1) the sum of w * (1/w) * 1 counts the rows
+    total = gram(counted, [*names, "_y", "_n"], "_w")
+    at = [*range(terms), terms + 2, terms]
+    return total[np.ix_(at, at)], round(total[terms + 1, terms + 2]), total[terms + 2, terms + 2]
+
+
 def cluster_factor(clusters: int, n: int, k: int) -> float:
     """Small-sample factor G/(G-1) * (N-1)/(N-k)."""
     return clusters / (clusters - 1) * (n - 1) / (n - k)
 
 
-def _cluster_meat(frame: DataFrame, names: list[Column], residual: Column) -> tuple[np.ndarray, int]:
-    """Sum over clusters of score x score', reduced twice on the executors."""
-    k = len(names)
-    scores = frame.groupBy("_g").agg(*[F.sum(F.col("_w") * x * residual).alias(f"_u{i}") for i, x in enumerate(names)])
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = scores.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(F.col(f"_u{i}") * F.col(f"_u{j}")).alias(f"_s{n}") for n, (i, j) in enumerate(pairs)],
-    ).first()
-    meat = np.zeros((k, k))
-    for n, (i, j) in enumerate(pairs):
-        meat[i, j] = meat[j, i] = row[f"_s{n}"]
-    return meat, row["_n"]
+def _cluster_meat(frame: DataFrame, xs: list[Column], residual: Column) -> tuple[np.ndarray, int]:
+    """Sum over clusters of score x score', and the number of clusters.
+
+    Scores are added up per cluster by a partial aggregate, so a cluster's size does not
+    matter; their products are added up on the executors, so neither does their number.
+    """
+    names = [f"_u{i}" for i in range(len(xs))]
+    weighted = frame.withColumn("_we", F.col("_w") * residual)
+    scores = weighted.groupBy("_g").agg(*[F.sum(x * F.col("_we")).alias(n) for n, x in zip(names, xs)])
+    total = gram(scores, names)
+    return total[:-1, :-1], round(total[-1, -1])
 
 
 def wls(
@@ -150,6 +190,7 @@ def wls(
     w: str | None = None,
     cluster: str | None = None,
     by: list[str] | None = None,
+    wide: int = WIDE_PRODUCTS,
 ) -> Fit | dict[tuple, Fit]:
     """Fit y on the terms and a constant, weights rescaled to sum to N.
 
@@ -163,19 +204,18 @@ def wls(
     names = [t.name for t in terms] + [CONSTANT]
     frame = model_frame(df, y, terms, w, cluster, groups)
     xs = [F.col(f"_x{i}") for i in range(len(terms))] + [F.lit(1.0)]
-    fits = {}
-    for key, (sums, n, weight) in _sums(frame, [*xs, F.col("_y")], groups).items():
-        if n == 0:
-            continue
-        fits[key] = _fit(sums * (n / weight), n, names)
-        fits[key].group = key
     if groups:
+        fits = {}
+        for key, (sums, n, weight) in _sums(frame, [*xs, F.col("_y")], groups).items():
+            fits[key] = _fit(sums * (n / weight), n, names)
+            fits[key].group = key
         return fits
-    if not fits:
+    sums, n, weight = _model_sums(frame, len(terms), wide)
+    if n == 0:
         raise ValueError("no complete rows to fit")
-    fit = fits[()]
+    fit = _fit(sums * (n / weight), n, names)
     if cluster:
-        _make_robust(fit, frame, xs)
+        _make_robust(fit, frame, xs, n / weight)
     return fit
 
 
@@ -204,12 +244,11 @@ def _fit(sums: np.ndarray, n: int, names: list[str]) -> Fit:
     return fit
 
 
-def _make_robust(fit: Fit, frame: DataFrame, xs: list[Column]) -> None:
+def _make_robust(fit: Fit, frame: DataFrame, xs: list[Column], scale: float) -> None:
     predicted = F.lit(0.0)
     for x, b in zip(xs, fit.coef):
         if not math.isnan(b):
             predicted = predicted + x * F.lit(float(b))
-    scale = fit._n / frame.agg(F.sum("_w")).first()[0]
     meat, clusters = _cluster_meat(frame, xs, F.col("_y") - predicted)
     bread = fit._inverse
     fit.stats["clusters"] = clusters

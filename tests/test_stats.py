@@ -48,10 +48,11 @@ def test_terms():
     assert expand_terms("") == []
 
 
+@pytest.mark.parametrize("wide", [0, 1000])
 @pytest.mark.parametrize("cluster", [None, "region"])
-def test_wls_equals_numpy(spark, cluster):
+def test_wls_equals_numpy(spark, cluster, wide):
     pdf = make()
-    fit = wls(spark.createDataFrame(pdf), "y", "x + z + z^2", "w", cluster)
+    fit = wls(spark.createDataFrame(pdf), "y", "x + z + z^2", "w", cluster, wide=wide)
     x = np.column_stack([pdf.x, pdf.z, pdf.z**2, np.ones(len(pdf))])
     b, v = dense(x, pdf.y.to_numpy(), pdf.w.to_numpy(), pdf.region.to_numpy() if cluster else None)
     np.testing.assert_allclose(fit.coef, b, rtol=1e-9)
