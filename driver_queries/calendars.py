@@ -118,7 +118,8 @@ def _flagged(t):
 
 
 @query(FLAGS_SQL + """
-SELECT o_orderkey, date_local, dst_date, dst_direction, dst_transition_id, days_before_transition, days_after_transition, dst_start, days_into_dst,
+SELECT o_orderkey, date_local, dst_date, dst_direction, dst_transition_id, days_before_transition::DOUBLE AS days_before_transition,
+  days_after_transition::DOUBLE AS days_after_transition, dst_start, days_into_dst::DOUBLE AS days_into_dst,
   after_transition, dst_here_anytime, dst_now_anywhere, dst_here_anytime AND dst_now_anywhere AS dst_now_here,
   dst_transition_id || '-' || regionid AS dst_transition_id_and_region FROM flagged
 """)
@@ -129,10 +130,10 @@ def treatment_flags(t):
         "dst_date",
         "dst_direction",
         "dst_transition_id",
-        "days_before_transition",
-        "days_after_transition",
+        F.col("days_before_transition").cast("double").alias("days_before_transition"),
+        F.col("days_after_transition").cast("double").alias("days_after_transition"),
         "dst_start",
-        "days_into_dst",
+        F.col("days_into_dst").cast("double").alias("days_into_dst"),
         "after_transition",
         "dst_here_anytime",
         "dst_now_anywhere",

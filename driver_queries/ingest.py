@@ -51,7 +51,7 @@ def _records(t):
 
 @query("""
 SELECT 'SALES' AS report_name, 'LINES' AS report_subtype, '2' AS schema_version, strftime(o_orderdate, '%Y_%m_%d') || '_00_05_00' AS top_timestamp,
-  l_partkey AS part, l_quantity AS qty, NULL::DOUBLE AS total, count(*) AS n
+  l_partkey::DOUBLE AS part, l_quantity AS qty, NULL::DOUBLE AS total, count(*) AS n
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
 UNION ALL
 SELECT 'SALES', 'NULL', '1', strftime(o_orderdate, '%Y_%m_%d') || '_00_05_00', NULL, NULL, o_totalprice, count(*) FROM orders GROUP BY ALL
@@ -69,7 +69,7 @@ def section_split_roundtrip(t):
         "report_subtype",
         "schema_version",
         "top_timestamp",
-        value("PART", "bigint").alias("part"),
+        value("PART", "double").alias("part"),
         value("QTY", "double").alias("qty"),
         value("TOTAL", "double").alias("total"),
     ).agg(F.count(F.lit(1)).alias("n"))

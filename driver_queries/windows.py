@@ -45,7 +45,7 @@ def half_hour_bucket(t):
 
 @query("""
 SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS last_purchase,
-  last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS last_id,
+  last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE AS last_id,
   first_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_purchase
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
 """)
@@ -63,7 +63,7 @@ def fill_both_ways(t):
     return both.select(
         "event_id",
         F.col("purchase_last").alias("last_purchase"),
-        F.col("id_last").alias("last_id"),
+        F.col("id_last").cast("double").alias("last_id"),
         F.col("purchase_next").alias("next_purchase"),
     )
 
@@ -85,11 +85,11 @@ def _daily(t):
 WITH h AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL),
 span AS (SELECT min(h) AS lo, max(h) AS hi FROM h),
 g AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS h FROM (SELECT DISTINCT event_type FROM h), span)
-SELECT event_type, h, n FROM g LEFT JOIN h USING (event_type, h)
+SELECT event_type, h, n::DOUBLE AS n FROM g LEFT JOIN h USING (event_type, h)
 """)
 def grid_complete(t):
     hourly = t.events.groupBy("event_type", bucket_to("ts", 60, "start").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    return grid.complete(hourly, ["event_type"], "h", "1 hour")
+    return grid.complete(hourly, ["event_type"], "h", "1 hour").withColumn("n", F.col("n").cast("double"))
 
 
 LINE = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +32,11 @@ def build_session(app: str = "panelspark", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: the one the cluster names in spark.checkpoint.dir.
 
-    Used where a result feeds several later jobs and must survive lost executors.
-    The folder is the one the cluster names; only a local run may make its own.
+    Only a local run may make its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
@@ -47,4 +46,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-checkpoint-"))
         else:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return named or context.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other job uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Used where a result feeds several later jobs and must survive lost executors.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
