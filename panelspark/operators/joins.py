@@ -6,12 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpointed
 
 # Rows a dimension may have and still be copied to every executor.
 BROADCAST_ROWS = 200_000
+# Copies of a larger dimension's rows, and with it the tasks a hot key is spread over.
 SALTS = 32
+# Periods one key may have and still be searched row by row.
+PERIODS_PER_KEY = 64
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -45,7 +49,8 @@ def sized_join(
     if fits_broadcast(dim, max_rows):
         return facts.join(F.broadcast(dim), on, how)
     # the salt depends on the row only, so a task that is run again salts the same way
-    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)))
+    hashed = [F.col(f"`{f.name}`") for f in facts.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
@@ -85,8 +90,8 @@ def effective_join(
     """Look up the period of ``key`` in force at ``ts`` (``start <= ts < end``; inner).
 
     ``mode='first'`` ignores the dates and takes each key's earliest period instead.
-    Periods of one key must not overlap. Beyond ``max_rows`` periods the lookup carries the
-    latest period start forward along the facts, which needs no candidate pairs.
+    Periods of one key must not overlap. Beyond ``max_rows`` periods, or many for one key, the
+    lookup carries the latest period start forward along the facts, which compares no pairs.
     """
     from .chunks import carry_forward
     from .dedupe import keep_latest
@@ -96,7 +101,8 @@ def effective_join(
         return sized_join(facts, first, [key], "inner", max_rows)
     if mode != "range":
         raise ValueError(f"mode must be 'range' or 'first', not {mode!r}")
-    if fits_broadcast(periods, max_rows):
+    sizes = periods.limit(max_rows + 1).groupBy(key).count().agg(F.sum("count"), F.max("count")).first()
+    if (sizes[0] or 0) <= max_rows and (sizes[1] or 0) <= PERIODS_PER_KEY:
         p = F.broadcast(periods.withColumnRenamed(key, "_key"))
         in_force = (F.col("_key") == F.col(key)) & (F.col(ts) >= F.col(start)) & (
             F.col(end).isNull() | (F.col(ts) < F.col(end))

@@ -188,6 +188,16 @@ def test_effective_join_all_routes(spark):
     assert {(r["k"], r["region"]) for r in first.collect()} == {("a", "north"), ("b", "east")}
 
 
+def test_effective_join_with_many_periods_of_one_key(spark):
+    """More periods than are searched row by row, on chunks of a few rows."""
+    days = spark.range(200).select(F.lit("k").alias("k"), F.col("id").alias("at"))
+    periods = spark.range(100).select(
+        F.lit("k").alias("k"), (F.col("id") * 2).alias("start_date"), (F.col("id") * 2 + 1).alias("end_date"), F.col("id").alias("p")
+    )
+    got = joins.effective_join(days, periods, "k", "at")
+    assert rows(got, "at", "p") == sorted([(2 * i, i) for i in range(100)], key=repr)
+
+
 def test_complete_and_grid(spark):
     df = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1), ("b", dt.date(2020, 1, 3), 2)], "k string, d date, v int")
     out = grid.complete(df, ["k"], "d", "1 day")
