@@ -109,14 +109,17 @@ def effective_join(
         )
         return facts.join(p, in_force, "inner").drop("_key", start, end)
     attrs = [c for c in periods.columns if c != key]
-    # a period sorts ahead of facts at the same instant
-    marks = periods.select(key, F.col(start).alias(ts), F.lit(0).alias("_fact"), F.struct(*attrs).alias("_period"))
-    rows = facts.withColumns({"_fact": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
-    filled = carry_forward(rows, [key], [ts, "_fact"], ["_period"], suffix="")
-    valid = F.col("_fact").eqNullSafe(1) & F.col("_period").isNotNull() & (
-        F.col(f"_period.{end}").isNull() | (F.col(ts) < F.col(f"_period.{end}"))
+    # each instant of a key is looked up once, however many facts share it; a period sorts
+    # ahead of an instant that equals its start
+    points = facts.select(key, ts).distinct().withColumn("_point", F.lit(1))
+    marks = periods.select(key, F.col(start).alias(ts), F.lit(0).alias("_point"), F.struct(*attrs).alias("_period"))
+    filled = carry_forward(
+        points.unionByName(marks, allowMissingColumns=True), [key], [ts, "_point"], ["_period"], suffix=""
     )
+    in_force = F.col(f"_period.{end}").isNull() | (F.col(ts) < F.col(f"_period.{end}"))
     kept = [c for c in attrs if c not in (start, end)]
-    return filled.where(valid).select(
-        *[F.col(f"`{c}`") for c in facts.columns], *[F.col(f"_period.`{c}`").alias(c) for c in kept]
+    found = filled.where((F.col("_point") == 1) & F.col("_period").isNotNull() & in_force).select(
+        key, ts, *[F.col(f"_period.`{c}`").alias(c) for c in kept]
     )
+    joined = sized_join(facts, found, [key, ts], "inner", max_rows, written=True)
+    return joined.select(*facts.columns, *kept)
