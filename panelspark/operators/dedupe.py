@@ -4,32 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _reversed(column: Column, dtype: T.DataType) -> Column:
-    """An expression that is greatest where ``column`` is smallest; NULL stays smallest."""
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.bitwise_not(column)
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(column), -column)
-    if isinstance(dtype, T.DecimalType):
-        return -column
-    if isinstance(dtype, T.DateType):
-        return -F.unix_date(column)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return -F.unix_micros(column.cast("timestamp"))
-    if isinstance(dtype, T.BooleanType):
-        return ~column
-    if isinstance(dtype, T.StringType):
-        # hex digits complemented; the closing G makes a prefix greater than its extensions
-        flipped = F.translate(F.hex(column), "0123456789ABCDEF", "FEDCBA9876543210")
-        return F.concat(flipped, F.lit("G"))
-    raise TypeError(f"cannot order {dtype.simpleString()} ascending")
-
-
 def _orderable(dtype: T.DataType) -> bool:
     if isinstance(dtype, (T.MapType, T.VariantType)):
         return False
@@ -47,31 +26,27 @@ def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     A missing value loses in either direction. Rows that tie on every order column are
     separated by their remaining columns, so the answer does not depend on partitioning.
 
-    One ``max`` over a struct instead of a row-number window: copies of a key are reduced
-    before the shuffle, so a key holding a large share of all rows costs one row per map task.
+    Written as row number = 1, which Spark limits to one row per key inside every map task
+    before it shuffles: a key holding a large share of all rows costs one row per task.
     """
     keys = list(keys)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    rest = [c for c in df.columns if c not in keys]
+    rest = [f for f in df.schema.fields if f.name not in keys]
     if not rest:
         return df.distinct()
-    rank, plain = [], []
-    for i, spec in enumerate(order):
-        name = spec.removeprefix("-")
+    sort = []
+    for spec in order:
+        column = F.col(f"`{spec.removeprefix('-')}`")
         if spec.startswith("-"):
-            rank.append(F.col(f"`{name}`").alias(name))
-            plain.append(name)
-        else:
-            rank.append(_reversed(F.col(f"`{name}`"), types[name]).alias(f"_up{i}"))
-    ties = [c for c in rest if c not in plain and _orderable(types[c])]
-    rank += [F.col(f"`{c}`").alias(c) for c in ties]
-    carried = [c for c in rest if not _orderable(types[c])]
-    if carried:
-        best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*rank))
-    else:
-        best = F.max(F.struct(*rank))
-    picked = df.groupBy(*keys).agg(best.alias("_row"))
-    return picked.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+            sort.append(column.desc_nulls_last())
+            continue
+        if isinstance(df.schema[spec].dataType, (T.FloatType, T.DoubleType)):
+            # not a number counts as missing
+            column = F.nanvl(column, F.lit(None).cast("double"))
+        sort.append(column.asc_nulls_last())
+    used = {spec.removeprefix("-") for spec in order}
+    sort += [F.col(f"`{f.name}`").desc_nulls_last() for f in rest if f.name not in used and _orderable(f.dataType)]
+    first = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*sort)
+    return df.withColumn("_first", F.row_number().over(first)).where(F.col("_first") == 1).drop("_first")
 
 
 def union_distinct(first: DataFrame, *others: DataFrame) -> DataFrame:

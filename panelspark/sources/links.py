@@ -95,8 +95,8 @@ def link_inventory(
     """(file_name, link, size): the wanted files, each name once.
 
     Links must lead to the page's own host (with or without www) and, with ``children_only``,
-    below its path. Of several links to one file name the last page's last link is kept, by a
-    partial aggregate, so a name linked from every page costs one row per task.
+    below its path. Of several links to one file name the last page's last link is kept; a
+    name linked from every page is reduced to one row per map task before the shuffle.
     """
     link = F.col("link")
     wanted = (_host(link) == _host(F.col(url))) & ~link.endswith("/")

@@ -170,7 +170,7 @@ def cluster_factor(clusters: int, n: int, k: int) -> float:
     return clusters / (clusters - 1) * (n - 1) / (n - k)
 
 
-def _cluster_meat(frame: DataFrame, xs: list[Column], residual: Column) -> tuple[np.ndarray, int]:
+def _cluster_meat(frame: DataFrame, xs: list[Column], residual: Column, wide: int) -> tuple[np.ndarray, int]:
     """Sum over clusters of score x score', and the number of clusters.
 
     Scores are added up per cluster by a partial aggregate, so a cluster's size does not
@@ -179,6 +179,11 @@ def _cluster_meat(frame: DataFrame, xs: list[Column], residual: Column) -> tuple
     names = [f"_u{i}" for i in range(len(xs))]
     weighted = frame.withColumn("_we", F.col("_w") * residual)
     scores = weighted.groupBy("_g").agg(*[F.sum(x * F.col("_we")).alias(n) for n, x in zip(names, xs)])
+    k = len(names)
+    if k * (k + 1) // 2 <= wide:
+        ones = scores.withColumn("_w", F.lit(1.0))
+        meat, clusters, _ = _sums(ones, [F.col(n) for n in names], [])[()]
+        return meat, clusters
     total = gram(scores, names)
     return total[:-1, :-1], round(total[-1, -1])
 
@@ -215,7 +220,7 @@ def wls(
         raise ValueError("no complete rows to fit")
     fit = _fit(sums * (n / weight), n, names)
     if cluster:
-        _make_robust(fit, frame, xs, n / weight)
+        _make_robust(fit, frame, xs, n / weight, wide)
     return fit
 
 
@@ -244,12 +249,12 @@ def _fit(sums: np.ndarray, n: int, names: list[str]) -> Fit:
     return fit
 
 
-def _make_robust(fit: Fit, frame: DataFrame, xs: list[Column], scale: float) -> None:
+def _make_robust(fit: Fit, frame: DataFrame, xs: list[Column], scale: float, wide: int) -> None:
     predicted = F.lit(0.0)
     for x, b in zip(xs, fit.coef):
         if not math.isnan(b):
             predicted = predicted + x * F.lit(float(b))
-    meat, clusters = _cluster_meat(frame, xs, F.col("_y") - predicted)
+    meat, clusters = _cluster_meat(frame, xs, F.col("_y") - predicted, wide)
     bread = fit._inverse
     fit.stats["clusters"] = clusters
     if clusters < 2:
