@@ -79,8 +79,8 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 """)
 def salted_join(t):
     dim = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey")
-    # a bound of no rows takes the route for dimensions too large to broadcast
-    joined = joins.sized_join(t.orders.select("o_custkey", "o_totalprice"), dim, ["o_custkey"], "inner", max_rows=0)
+    # low bounds take the route for a dimension too large to broadcast and keys that are hot
+    joined = joins.sized_join(t.orders.select("o_custkey", "o_totalprice"), dim, ["o_custkey"], "inner", max_rows=0, hot_rows=5)
     named = joined.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return named.groupBy("n_name", "c_mktsegment").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")

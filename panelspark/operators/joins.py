@@ -12,7 +12,9 @@ from ..session import checkpointed
 
 # Rows a dimension may have and still be copied to every executor.
 BROADCAST_ROWS = 200_000
-# Copies of a larger dimension's rows, and with it the tasks a hot key is spread over.
+# Rows from which a key counts as hot, the most hot keys there can be, and the tasks each is spread over.
+HOT_ROWS = 2_000_000
+MAX_HOT_KEYS = 1_000
 SALTS = 32
 # Periods one key may have and still be searched row by row.
 PERIODS_PER_KEY = 64
@@ -23,6 +25,18 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def hot_keys(facts: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and more than one row in ``MAX_HOT_KEYS``; fewer than that many.
+
+    None if the table is too short to hold one.
+    """
+    total = facts.count()
+    if total <= hot_rows:
+        return None
+    floor = max(hot_rows, total // MAX_HOT_KEYS)
+    return facts.groupBy(*on).count().where(F.col("count") > floor).select(*on, F.lit(True).alias("_hot"))
+
+
 def sized_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -30,13 +44,15 @@ def sized_join(
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
     written: bool = False,
 ) -> DataFrame:
     """Join a large table to a smaller one on equal columns.
 
     A dimension of at most ``max_rows`` rows is broadcast, so the facts are not shuffled.
-    A larger one is shuffled, with the facts of each key spread over ``salts`` partitions
-    and the dimension row repeated per salt; the result is the same rows either way.
+    Beyond that both sides are shuffled, with the facts of hot keys (and of missing keys)
+    spread over ``salts`` partitions and the hot keys' dimension rows repeated per salt. The
+    result is the same rows either way.
 
     ``written`` puts the dimension into the checkpoint folder first. Set it where the
     dimension is itself an aggregate of large data, which counting would compute twice.
@@ -48,11 +64,24 @@ def sized_join(
         dim = checkpointed(dim)
     if fits_broadcast(dim, max_rows):
         return facts.join(F.broadcast(dim), on, how)
+    hot = hot_keys(facts, on, hot_rows)
+    if hot is None:
+        return facts.join(dim, on, how)
+    hot = F.broadcast(checkpointed(hot))
+    missing = F.lit(False)
+    for c in on:
+        missing = missing | F.col(f"`{c}`").isNull()
     # the salt depends on the row only, so a task that is run again salts the same way
     hashed = [F.col(f"`{f.name}`") for f in facts.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
+    spread = facts.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | missing, salt).otherwise(F.lit(0))
+    )
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = dim.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
+    )
+    return spread.drop("_hot").join(copies.drop("_hot"), [*on, "_salt"], how).drop("_salt")
 
 
 def nearest_event(events: DataFrame, date: str, out: str = "d") -> DataFrame:

@@ -131,16 +131,21 @@ def test_sized_join_is_the_same_either_way(spark, how):
     facts = spark.createDataFrame([("hot", i) for i in range(50)] + [("b", 1), ("none", 2), (None, 3)], "k string, v int")
     dim = spark.createDataFrame([("hot", 1.0), ("b", 2.0)], "k string, d double")
     small = joins.sized_join(facts, dim, ["k"], how)
-    salted = joins.sized_join(facts, dim, ["k"], how, max_rows=0, salts=4)
+    shuffled = joins.sized_join(facts, dim, ["k"], how, max_rows=0)
+    salted = joins.sized_join(facts, dim, ["k"], how, max_rows=0, salts=4, hot_rows=10)
     plain = facts.join(dim, "k", how)
-    assert rows(small, *plain.columns) == rows(plain, *plain.columns) == rows(salted, *plain.columns)
+    want = rows(plain, *plain.columns)
+    assert want == rows(small, *plain.columns) == rows(shuffled, *plain.columns) == rows(salted, *plain.columns)
 
 
 def test_salt_spreads_a_hot_key(spark):
-    facts = spark.range(4000).select(F.lit("hot").alias("k"), "id")
-    dim = spark.createDataFrame([("hot", 1.0)], "k string, d double")
-    plan = joins.sized_join(facts, dim, ["k"], max_rows=0, salts=8)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+    facts = spark.range(4000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    assert [r["k"] for r in joins.hot_keys(facts, ["k"], 100).collect()] == ["hot"]
+    assert joins.hot_keys(facts, ["k"]) is None
+    dim = facts.select("k").distinct().withColumn("d", F.lit(1.0))
+    joined = joins.sized_join(facts, dim, ["k"], max_rows=0, salts=8, hot_rows=100)
+    assert joined.count() == 4000
+    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
 
 
 def brute_nearest(days, events):
