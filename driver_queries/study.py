@@ -241,11 +241,9 @@ SELECT c_mktsegment, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DAT
 
 @query(SPAN_SQL)
 def time_grid(t):
-    span = t.orders.agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"))
-    # one row of bounds
-    keys = t.customer.select("c_mktsegment").distinct().join(F.broadcast(span))
-    days = grid.time_grid(keys, F.to_date("lo"), F.to_date("hi"), "1 day", "d")
-    return days.drop("lo", "hi")
+    low, high = grid.span(t.orders, "o_orderdate")
+    segments = t.customer.select("c_mktsegment").distinct()
+    return grid.time_grid(segments, F.to_date(low), F.to_date(high), "1 day", "d")
 
 
 @query(CALENDAR_SQL + """

@@ -18,14 +18,15 @@ def cumulative_share(
     """
     # rows without a value come last
     down = df.withColumn("_down", F.coalesce(-F.col(f"`{by}`").cast("double"), F.lit(float("inf"))))
-    totals = df.agg(*[F.sum(f"`{c}`").alias(f"_t_{out}") for out, c in measures.items()])
+    totals = df.agg(*[F.sum(f"`{c}`").cast("double").alias(out) for out, c in measures.items()]).first()
     cum = running_sum(
         down, [], ["_down", *(then or [])], {f"cum_{out}": c for out, c in measures.items()}, **sizing
     ).drop("_down")
-    # one row of totals, so the join adds columns without moving the detail
-    whole = cum.join(F.broadcast(totals))
-    shares = {f"frac_{out}": F.try_divide(F.col(f"cum_{out}").cast("double"), F.col(f"_t_{out}")) for out in measures}
-    return whole.withColumns(shares).drop(*[f"_t_{out}" for out in measures])
+    shares = {
+        f"frac_{out}": F.try_divide(F.col(f"cum_{out}").cast("double"), F.lit(totals[out]).cast("double"))
+        for out in measures
+    }
+    return cum.withColumns(shares)
 
 
 def cost_concentration(df: DataFrame, cost: str, minutes: str, time_share: float = 0.01, **sizing) -> DataFrame:
@@ -45,11 +46,10 @@ def cost_concentration(df: DataFrame, cost: str, minutes: str, time_share: float
         )
     )
     groups = groups.withColumns({"_time": F.col("_n") * F.col("_len"), "_short": -F.col("_len")})
-    totals = groups.agg(F.sum("_cost").alias("_all_cost"), F.sum("_time").alias("_all_time"))
-    steps = cumulative_share(groups, "rate", {"cost": "_cost", "time": "_time"}, ["_short"], **sizing).join(
-        F.broadcast(totals)
-    )
-    excess = F.col("cum_time") - F.col("_all_time") * F.lit(time_share)
+    totals = groups.agg(F.sum("_cost").cast("double"), F.sum("_time").cast("double")).first()
+    all_cost, all_time = (F.lit(v).cast("double") for v in totals)
+    steps = cumulative_share(groups, "rate", {"cost": "_cost", "time": "_time"}, ["_short"], **sizing)
+    excess = F.col("cum_time") - all_time * F.lit(time_share)
     # whole intervals to take back from a group that reaches past the limit
     back = F.least(F.ceil(excess / F.col("_len") - F.lit(1e-9)), F.col("_n"))
     steps = steps.withColumn("_back", F.when(F.col("frac_time") > time_share, back).otherwise(F.lit(0)))
@@ -57,9 +57,9 @@ def cost_concentration(df: DataFrame, cost: str, minutes: str, time_share: float
     kept_cost = F.col("cum_cost") - F.col("_back") * F.col("_cost") / F.col("_n")
     # the cut lies in the last group that still adds an interval
     adding = steps.where(F.col("_back") < F.col("_n")).select(
-        F.try_divide(kept_cost, F.col("_all_cost")).alias("frac_total_cost"),
+        F.try_divide(kept_cost, all_cost).alias("frac_total_cost"),
         (kept_time / F.lit(60.0)).alias("cum_hours"),
-        (kept_time / F.col("_all_time")).alias("frac_time"),
+        F.try_divide(kept_time, all_time).alias("frac_time"),
         F.struct((-F.col("rate")).alias("r"), F.col("_short").alias("s")).alias("_at"),
     )
     return (

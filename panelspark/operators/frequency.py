@@ -24,16 +24,15 @@ def rare_value_flags(df: DataFrame, column: str, rare: str, extreme: str) -> Dat
     median = (
         counts.groupBy("_n")
         .agg(F.count(F.lit(1)).alias("_f"))
-        .agg(F.percentile("_n", 0.5, F.col("_f")).alias("_median"))
+        .agg(F.percentile("_n", 0.5, F.col("_f")))
+        .first()[0]
     )
-    span = counts.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
-    flags = (
-        counts.join(F.broadcast(median))
-        .join(F.broadcast(span))
-        .select(
-            column,
-            (F.col("_n") < F.col("_median")).alias(rare),
-            ((F.col(column) == F.col("_low")) | (F.col(column) == F.col("_high"))).alias(extreme),
-        )
+    # two rows at most
+    ends = counts.agg(F.array_distinct(F.array(F.min(column), F.max(column))).alias("_ends"))
+    ends = ends.select(F.explode("_ends").alias(column), F.lit(True).alias("_end"))
+    flags = counts.join(F.broadcast(ends), [column], "left").select(
+        column,
+        (F.col("_n") < F.lit(median)).alias(rare),
+        F.coalesce("_end", F.lit(False)).alias(extreme),
     )
     return sized_join(df, flags, [column], "left")

@@ -13,6 +13,12 @@ def time_grid(keys: DataFrame, start: Column, end: Column, step: str, out: str)
     return keys.withColumn(out, F.explode(F.sequence(start, end, F.expr(f"INTERVAL {step}"))))
 
 
+def span(df: DataFrame, t: str) -> tuple[Column, Column]:
+    """Earliest and latest value of a date or timestamp column, as literals of its type."""
+    dtype = df.schema[t].dataType
+    return tuple(F.lit(v).cast(dtype) for v in df.agg(F.min(t).cast("string"), F.max(t).cast("string")).first())
+
+
 def complete(
     df: DataFrame, keys: Sequence[str], t: str, step: str, start: Column | None = None, end: Column | None = None
 ) -> DataFrame:
@@ -24,10 +30,7 @@ def complete(
     keys = list(keys)
     groups = df.select(*keys).distinct()
     if start is None or end is None:
-        span = df.agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-        groups = groups.join(F.broadcast(span))
-        grid = time_grid(groups, F.col("_lo") if start is None else start, F.col("_hi") if end is None else end, step, t)
-        grid = grid.drop("_lo", "_hi")
-    else:
-        grid = time_grid(groups, start, end, step, t)
+        low, high = span(df, t)
+        start, end = low if start is None else start, high if end is None else end
+    grid = time_grid(groups, start, end, step, t)
     return grid.join(df, [*keys, t], "left").select(*df.columns)

@@ -20,7 +20,10 @@ def weighted_spread(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     """
     keys = list(keys)
     means = df.groupBy(*keys).agg(*[wmean(c, w).alias(f"_m_{c}") for c in columns])
-    joined = sized_join(df, means, keys, "inner", written=True) if keys else df.join(F.broadcast(means))
+    if keys:
+        joined = sized_join(df, means, keys, "inner", written=True)
+    else:
+        joined = df.withColumns({m: F.lit(v).cast("double") for m, v in means.first().asDict().items()})
     wt = F.col(w)
     aggs = []
     for c in columns:

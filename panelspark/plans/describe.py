@@ -87,9 +87,8 @@ def intraday_difference(
     diff = pivot_diff(by_group, [hour, not_midday], treated, outs)
     if centre is None:
         return diff
-    # one row per hour of day is left, so the centre is one number joined to a tiny table
-    typical = diff.where(~F.col(not_midday)).agg(F.avg(centre).alias("_typical"))
-    return diff.join(F.broadcast(typical)).withColumn(centre, F.col(centre) - F.col("_typical")).drop("_typical")
+    typical = diff.where(~F.col(not_midday)).agg(F.avg(centre)).first()[0]
+    return diff.withColumn(centre, F.col(centre) - F.lit(typical).cast("double"))
 
 
 def intraday_profiles(
