@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from .codec import encode_decode
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,11 @@ def query(table: str, sql: str | None = None):
     return register
 
 
+@query("documents")
+def op3_simhash_components(docs: DataFrame) -> DataFrame:
+    return near_duplicates(docs)
+
+
 @query("documents")
 def op4_token_counts(docs: DataFrame) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(MODEL))
