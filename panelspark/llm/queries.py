@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from .codec import encode_decode
+from .language import predict_languages
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 
@@ -29,6 +30,11 @@ def query(table: str, sql: str | None = None):
     return register
 
 
+@query("documents")
+def op2_language_id(docs: DataFrame) -> DataFrame:
+    return predict_languages(docs)
+
+
 @query("documents")
 def op3_simhash_components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
