@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import configure
 from .codec import encode_decode
 from .language import predict_languages
+from .licences import licence_summary
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 
@@ -48,3 +49,8 @@ def op4_token_counts(docs: DataFrame) -> DataFrame:
 @query("documents")
 def op7_piece_codec(docs: DataFrame) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path(MODEL), keep_ids=False, keep_text=False)
+
+
+@query("documents")
+def op9_licence_scan(docs: DataFrame) -> DataFrame:
+    return licence_summary(docs)
