@@ -11,6 +11,7 @@ from ..session import configure
 from .codec import encode_decode
 from .language import predict_languages
 from .licences import licence_summary
+from .mixing import draw
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 
@@ -54,3 +55,46 @@ def op7_piece_codec(docs: DataFrame) -> DataFrame:
 @query("documents")
 def op9_licence_scan(docs: DataFrame) -> DataFrame:
     return licence_summary(docs)
+
+
+MIX_ENTROPY, MIX_EPOCHS = 0.998, 1.5
+
+
+@query(
+    "documents",
+    f"""
+    WITH RECURSIVE t AS (
+      SELECT doc_id, source, coalesce('=' || source, '') AS s,
+        CASE WHEN length(text) > 0 THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END AS tok
+      FROM documents),
+    tot AS (SELECT s, sum(tok)::BIGINT AS tk FROM t GROUP BY s),
+    p AS (SELECT s, tk, tk / (SELECT sum(tk) FROM tot)::DOUBLE AS share FROM tot WHERE tk > 0),
+    bisect(step, lo, hi) AS (
+      SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+      UNION ALL
+      SELECT step + 1, CASE WHEN h >= goal THEN mid ELSE lo END, CASE WHEN h >= goal THEN hi ELSE mid END
+      FROM (
+        SELECT step, lo, hi, (lo + hi) / 2 AS mid,
+          ln(sum(pow(share, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(share, (lo + hi) / 2) * ln(share)) / sum(pow(share, (lo + hi) / 2)) AS h,
+          {MIX_ENTROPY} * ln(count(*)) AS goal
+        FROM bisect, p WHERE step < 40 GROUP BY step, lo, hi)),
+    power AS (
+      SELECT CASE WHEN (SELECT -sum(share * ln(share)) >= {MIX_ENTROPY} * ln(count(*)) OR count(*) < 2 FROM p) THEN 1.0
+        ELSE (SELECT lo FROM bisect WHERE step = 40) END AS e),
+    w AS (
+      SELECT s, tk, floor(pow(share, e) / sum(pow(share, e)) OVER () * ({MIX_EPOCHS} * (SELECT sum(tk) FROM tot)) + 0.5)::BIGINT AS budget
+      FROM p, power),
+    plan AS (
+      SELECT s, tk, budget // tk AS blocks, budget % tk AS rest FROM w
+      UNION ALL SELECT s, tk, 1, -1 FROM tot WHERE tk = 0),
+    drawn AS (
+      SELECT doc_id, source, t.s, unnest(range(blocks + 1)) AS block, blocks, rest, tok FROM t JOIN plan USING (s)),
+    keyed AS (
+      SELECT *, md5(concat_ws('|', '42', s, block::VARCHAR, coalesce(doc_id::VARCHAR, ''))) AS order_key FROM drawn),
+    running AS (SELECT *, sum(tok) OVER (PARTITION BY s, block ORDER BY order_key) AS upto FROM keyed)
+    SELECT doc_id, source, block, order_key FROM running WHERE block < blocks OR upto <= rest
+    """,
+)
+def op10_temperature_mix(docs: DataFrame) -> DataFrame:
+    drawn = draw(docs, epochs=MIX_EPOCHS, entropy=MIX_ENTROPY, repeats=None)
+    return drawn.select("doc_id", "source", "block", "order_key")
