@@ -16,13 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import raw_bytes, ship, written
 
 UNKNOWN = "und"
-# Four-byte strings all languages' trees keep together, the most frequent of each language first.
+# Four-byte strings all languages' trees keep together, the most frequent ones.
 GRAMS = 2_000_000
 # Bytes scored at once.
 SLICE = 4 << 20
@@ -200,20 +200,21 @@ def held_out(id: str, folds: int = 4, fold: int = 2) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", grams_kept: int = GRAMS) -> Trees:
     """Trees of all languages from every row with a language and a text.
 
-    All rows are counted, in Spark. The ``grams_kept`` strings, shared out evenly among the
-    languages, bound what comes to the driver and goes to the tasks.
+    All rows are counted, in Spark. Only the ``grams_kept`` most frequent strings, which bounds
+    what comes to the driver and goes to the tasks, make the trees.
     """
     ship(docs.sparkSession)
     read = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     read = read.select(F.col(f"`{lang}`").alias("lang"), F.lower(F.col(f"`{text}`")).alias("text"))
     partial = read.mapInArrow(_count, "lang string, gram bigint, n bigint")
     counts = written(partial.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    languages = [r.lang for r in counts.select("lang").distinct().orderBy("lang").limit(grams_kept).collect()]
-    if not languages:
-        return Trees.of([], *(np.zeros(0, t) for t in (np.int64, np.uint32, np.int64)))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    ranked = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(1, grams_kept // len(languages)))
-    kept = ranked.select("lang", "gram", "n").toArrow()
+    total = counts.count()
+    if total > grams_kept:
+        # the most frequent strings of all languages; the quantile is exact to a thousandth
+        floor = counts.approxQuantile("n", [min(1.0, 1 - grams_kept / total + 0.001)], 0.001)[0]
+        counts = counts.where(F.col("n") > floor)
+    kept = counts.toArrow()
+    languages = sorted(set(kept.column("lang").to_pylist()))
     number = {name: i for i, name in enumerate(languages)}
     codes = np.array([number[name] for name in kept.column("lang").to_pylist()], np.int64)
     return Trees.of(languages, codes, kept.column("gram").to_numpy().astype(np.uint32), kept.column("n").to_numpy())

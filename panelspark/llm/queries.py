@@ -12,6 +12,7 @@ from .codec import encode_decode
 from .language import predict_languages
 from .licences import licence_summary
 from .mixing import draw
+from .quality import quality
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 
@@ -47,6 +48,11 @@ def op4_token_counts(docs: DataFrame) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(MODEL))
 
 
+@query("documents")
+def op5_quality(docs: DataFrame) -> DataFrame:
+    return quality(docs)
+
+
 @query("documents")
 def op7_piece_codec(docs: DataFrame) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path(MODEL), keep_ids=False, keep_text=False)
