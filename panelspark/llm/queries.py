@@ -15,6 +15,7 @@ from .mixing import draw
 from .quality import quality
 from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,6 +54,27 @@ def op5_quality(docs: DataFrame) -> DataFrame:
     return quality(docs)
 
 
+@query(
+    "pages",
+    """
+    WITH p AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+    d AS (
+      SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS top,
+        list_transform(range(8), lambda k: ('0x' || substr(h, 5 * k::INT + 1, 5))::INT) AS parts
+      FROM p)
+    SELECT page_id, payload_bytes,
+      array_to_string(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+      CASE WHEN page_id = top OR top IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+    FROM d
+    """,
+)
+def op6_warc_round_trip(pages: DataFrame) -> DataFrame:
+    return round_trip(pages)
+
+
 @query("documents")
 def op7_piece_codec(docs: DataFrame) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path(MODEL), keep_ids=False, keep_text=False)
