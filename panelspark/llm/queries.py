@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
+from .caps import near_vectors
 from .codec import encode_decode
 from .language import predict_languages
 from .licences import licence_summary
@@ -80,6 +81,11 @@ def op7_piece_codec(docs: DataFrame) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path(MODEL), keep_ids=False, keep_text=False)
 
 
+@query("embeddings")
+def op8_cap_filters(vectors: DataFrame) -> DataFrame:
+    return near_vectors(vectors)
+
+
 @query("documents")
 def op9_licence_scan(docs: DataFrame) -> DataFrame:
     return licence_summary(docs)
