@@ -12,6 +12,7 @@ from .caps import near_vectors
 from .codec import encode_decode
 from .language import predict_languages
 from .licences import licence_summary
+from .minhash import fingerprint_edits
 from .mixing import draw
 from .quality import quality
 from .simhash import near_duplicates
@@ -35,6 +36,11 @@ def query(table: str, sql: str | None = None):
     return register
 
 
+@query("documents")
+def op1_minhash(docs: DataFrame) -> DataFrame:
+    return fingerprint_edits(docs)
+
+
 @query("documents")
 def op2_language_id(docs: DataFrame) -> DataFrame:
     return predict_languages(docs)
