@@ -15,6 +15,10 @@ from .common import ship, strings
 from .pieces import Memory, table_for
 
 
+# Rows whose ids are held at once.
+ROWS = 512
+
+
 @lru_cache(maxsize=4)
 def _coded(model: bytes) -> Memory:
     """Per chunk: ids, the same as decimal text, and the text they decode to."""
@@ -42,7 +46,7 @@ def encode_decode(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, coded = table_for(proto), _coded(proto)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             out: list[list] = [[], [], [], [], []]
             for value in strings(batch.column(1)):
                 parts = [coded[c] for c in table.chunks.findall(table.spaced(value))]

@@ -69,3 +69,11 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return body[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if a column of ``df`` already has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, ship, written
+from .common import raw_bytes, ship, spare, written
 
 UNKNOWN = "und"
 # Four-byte strings all languages' trees keep together, the most frequent ones.
 GRAMS = 2_000_000
-# Bytes scored at once.
+# Least belief in a language for a row to be kept, and bytes scored at once.
+SURE = 0.5
 SLICE = 4 << 20
 BLANK = 32
 
@@ -273,3 +274,14 @@ def predict_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     rows = docs.select(F.col(f"`{id}`"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), held_out(id).alias("held_out"))
     trees = train(rows.where(f"not held_out and `{id}` is not null"))
     return identify(rows.select(f"`{id}`", "held_out", "text"), trees).drop("text")
+
+
+def keep_known(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sure: float = SURE) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language, with the columns they have.
+
+    Rows without letters and rows whose best language has less than ``sure`` of the belief go.
+    """
+    trees = train(docs.where(~held_out(id) & F.col(f"`{id}`").isNotNull()), text, lang)
+    pred, score = spare(docs, "_pred"), spare(docs, "_belief")
+    known = identify(docs, trees, text, pred, score)
+    return known.where((F.col(pred) != UNKNOWN) & (F.col(score) >= sure)).drop(pred, score)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, ship
+from .common import raw_bytes, ship, spare
 
 # Rows the scorer is fitted on at most (the pseudo-random smallest by hash), slots per feature
 # family, bytes read at once, and the score from which a text is kept.
@@ -354,3 +354,10 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int
     rows = docs.select(F.col(f"`{id}`"), F.col(f"`{text}`").alias("_text"))
     scored = score(rows, train(docs, text, sample), "_text")
     return scored.select(F.col(f"`{id}`"), "weak_good", "score", (F.col("score") >= kept).alias("kept"))
+
+
+def keep_good(docs: DataFrame, text: str = "text", sample: int = SAMPLE, kept: float = KEPT) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the limit, with the columns they have."""
+    good, value = spare(docs, "_good"), spare(docs, "_score")
+    scored = score(docs, train(docs, text, sample), text, good, value)
+    return scored.where(F.col(value) >= kept).drop(good, value)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, ship, strings, written
+from .common import columns, partitions, ship, spare, strings, written
 from .components import Forest, components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -281,9 +281,12 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs``, one per component: that with the smallest id; of rows that share
     it, the one whose text has the smallest hash. All columns stay as they are."""
-    marked = docs.withColumn("_text", F.xxhash64(F.col(f"`{text}`")))
+    own, name, row = spare(docs, "_text"), spare(docs, "_id"), spare(docs, "_row")
     groups = near_duplicates(docs, id, text, shingle, distance)
-    kept = written(groups.where(F.col(f"`{id}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id}`").alias("_id")).distinct(), "kept")
-    stays = marked.join(kept, F.col(f"`{id}`").eqNullSafe(F.col("_id")), "left_semi")
-    one = Window.partitionBy(f"`{id}`").orderBy("_text")
-    return stays.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row", "_text")
+    same = F.col(f"`{id}`").eqNullSafe(F.col("component_id"))
+    kept = groups.where(same).select(F.col(f"`{id}`").alias(name)).distinct()
+    kept = written(kept, "kept")
+    stays = docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col(name)), "left_semi")
+    one = Window.partitionBy(f"`{id}`").orderBy(own)
+    marked = stays.withColumn(own, F.xxhash64(F.col(f"`{text}`")))
+    return marked.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).drop(row, own)
