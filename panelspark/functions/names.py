@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-MAX_LABELS = 65_536
-
-
 def snake(name: str) -> str:
     """``'Daily max (Degree C)'`` -> ``daily_max_degree_c``; ``REGIONID`` -> ``regionid``."""
     spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name)
@@ -39,18 +36,14 @@ def with_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
 
 
 def label_code(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Number the distinct values of ``column`` 1, 2, ... alphabetically.
+    """Number the distinct values of ``column`` 1, 2, ... in ascending order.
 
-    The codes are worked out on the distinct values only, of which there may be at most
-    ``MAX_LABELS``; a column with more is no label.
+    The codes are worked out on the distinct values, range by range if there are very many.
     """
-    from pyspark.sql import Window
-
-    from ..operators.joins import fits_broadcast
+    from ..operators.chunks import number_rows
+    from ..operators.joins import sized_join
     from ..session import checkpointed
 
     labels = checkpointed(df.select(column).where(F.col(column).isNotNull()).distinct())
-    if not fits_broadcast(labels, MAX_LABELS):
-        raise ValueError(f"{column} has more than {MAX_LABELS} values")
-    codes = labels.withColumn(out, F.row_number().over(Window.orderBy(column)))
-    return df.join(F.broadcast(codes), [column], "left")
+    codes = number_rows(labels, [], [column], out).withColumn(out, F.col(out).cast("int"))
+    return sized_join(df, codes, [column], "left", written=True)

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Rows a chunk is meant to have, and the most chunks a search looks through.
 ROWS_PER_CHUNK = 4_000_000
-SLOTS = 1024
+CHUNKS = 4096
 
 
 @dataclass(frozen=True)
@@ -34,25 +35,27 @@ class Carry:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Chunk borders along one column: equal slots, each split further where it is dense."""
+    """Chunk borders along one column, each chunk from its border up to the next one."""
 
-    low: float
-    width: float
-    splits: tuple[int, ...]
+    borders: tuple[float, ...]
 
     def chunk(self, position: Column) -> Column:
-        last = len(self.splits) - 1
-        offset = (position - F.lit(self.low)) / F.lit(self.width)
-        slot = F.least(F.greatest(F.floor(offset), F.lit(0)), F.lit(last)).cast("int")
-        pieces = F.get(F.lit(list(self.splits)), slot)
-        piece = F.least(F.floor((offset - slot) * pieces), pieces - 1)
-        # rows without a position sort first
-        number = slot.cast("bigint") * F.lit(1 << 32) + F.greatest(piece, F.lit(0)).cast("bigint")
-        return F.coalesce(number, F.lit(-1).cast("bigint"))
+        """Number of the chunk, found by halving; rows without a position sort first (-1)."""
+
+        def search(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low).cast("bigint")
+            middle = (low + high) // 2
+            return F.when(position < F.lit(self.borders[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+        return F.when(position.isNull(), F.lit(-1).cast("bigint")).otherwise(search(0, len(self.borders)))
 
 
 def position(df: DataFrame, column: str) -> Column:
-    """The order column as a double that increases with it."""
+    """The order column as a double that never falls where the column rises.
+
+    Text is placed by its first six bytes; what shares them stays together.
+    """
     dtype, c = df.schema[column].dataType, F.col(f"`{column}`")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return (F.unix_micros(c.cast("timestamp")) / F.lit(1e6)).cast("double")
@@ -60,24 +63,29 @@ def position(df: DataFrame, column: str) -> Column:
         return F.unix_date(c).cast("double")
     if isinstance(dtype, T.NumericType):
         return c.cast("double")
-    raise TypeError(f"{column} must be a number, date or timestamp to be cut into chunks")
+    if isinstance(dtype, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    raise TypeError(f"{column} must be a number, text, date or timestamp to be cut into chunks")
 
 
-def plan_cuts(df: DataFrame, column: str, rows_per_chunk: int = ROWS_PER_CHUNK, slots: int = SLOTS) -> Cuts | None:
-    """Choose chunk borders from a row count and, for a long table, a histogram of ``slots`` bars.
+def plan_cuts(df: DataFrame, column: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Cuts | None:
+    """Choose chunk borders from a row count and, for a long table, the quantiles of the column.
 
     Only the order column is read. None means the table is short enough for a plain window.
+    Quantiles put as many rows on either side of a border however skewed the values are; only
+    rows of one value cannot be told apart and stay together.
     """
     pos = position(df, column)
-    finite = F.when(F.abs(pos) < F.lit(float("inf")), pos)
-    total, low, high = df.agg(F.count(F.lit(1)), F.min(finite), F.max(finite)).first()
-    if total <= rows_per_chunk or low is None or low == high:
+    total = df.count()
+    if total <= rows_per_chunk:
         return None
-    width = (high - low) / slots
-    bare = Cuts(low, width, (1,) * slots)
-    bars = df.groupBy((F.shiftright(bare.chunk(pos), 32)).alias("slot")).count().collect()
-    counts = {row["slot"]: row["count"] for row in bars}
-    return Cuts(low, width, tuple(max(1, -(-counts.get(i, 0) // rows_per_chunk)) for i in range(slots)))
+    parts = min(CHUNKS, -(-total * 5 // (rows_per_chunk * 4)))
+    found = df.select(pos.alias("_pos")).where("_pos is not null and not isnan(_pos)").approxQuantile(
+        "_pos", [i / parts for i in range(1, parts)], 0.1 / parts
+    )
+    borders = tuple(sorted(set(found)))
+    return Cuts(borders) if borders else None
 
 
 def over_chunks(
@@ -97,6 +105,7 @@ def over_chunks(
     was made from: counted first, and cut instead of ``df`` if it has the order column.
     """
     keys, order = list(keys), list(order)
+    position(df, order[0])  # an order column that cannot be cut is refused at any size
     if sized_by is not None and sized_by.count() <= rows_per_chunk:
         cuts = None
     else:

@@ -35,14 +35,12 @@ def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
         return df.distinct()
     sort = []
     for spec in order:
-        column = F.col(f"`{spec.removeprefix('-')}`")
-        if spec.startswith("-"):
-            sort.append(column.desc_nulls_last())
-            continue
-        if isinstance(df.schema[spec].dataType, (T.FloatType, T.DoubleType)):
+        name = spec.removeprefix("-")
+        column = F.col(f"`{name}`")
+        if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
             # not a number counts as missing
             column = F.nanvl(column, F.lit(None).cast("double"))
-        sort.append(column.asc_nulls_last())
+        sort.append(column.desc_nulls_last() if spec.startswith("-") else column.asc_nulls_last())
     used = {spec.removeprefix("-") for spec in order}
     sort += [F.col(f"`{f.name}`").desc_nulls_last() for f in rest if f.name not in used and _orderable(f.dataType)]
     first = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*sort)

@@ -6,35 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import checkpointed
 
-# Rows a dimension may have and still be copied to every executor.
+# Rows and bytes a dimension may have and still be copied to every executor.
 BROADCAST_ROWS = 200_000
-# Rows from which a key counts as hot, the most hot keys there can be, and the tasks each is spread over.
-HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 1_000
-SALTS = 32
+BROADCAST_BYTES = 128 << 20
 # Periods one key may have and still be searched row by row.
 PERIODS_PER_KEY = 64
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows of ``df`` to see whether it may be broadcast."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def hot_keys(facts: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and more than one row in ``MAX_HOT_KEYS``; fewer than that many.
-
-    None if the table is too short to hold one.
-    """
-    total = facts.count()
-    if total <= hot_rows:
-        return None
-    floor = max(hot_rows, total // MAX_HOT_KEYS)
-    return facts.groupBy(*on).count().where(F.col("count") > floor).select(*on, F.lit(True).alias("_hot"))
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Look at no more than ``max_rows + 1`` rows of ``df``: are they few and short enough to be broadcast?"""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
 
 
 def sized_join(
@@ -43,16 +29,15 @@ def sized_join(
     on: Sequence[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-    hot_rows: int = HOT_ROWS,
     written: bool = False,
 ) -> DataFrame:
     """Join a large table to a smaller one on equal columns.
 
-    A dimension of at most ``max_rows`` rows is broadcast, so the facts are not shuffled.
-    Beyond that both sides are shuffled, with the facts of hot keys (and of missing keys)
-    spread over ``salts`` partitions and the hot keys' dimension rows repeated per salt. The
-    result is the same rows either way.
+    A dimension of at most ``max_rows`` rows and ``BROADCAST_BYTES`` is broadcast, so the facts
+    are not shuffled. Beyond that both sides are shuffled, and adaptive execution splits the
+    partitions of hot keys by the rows they really have, repeating the dimension's
+    rows for every part (``RUNTIME_CONF`` forces this). Facts without a key cannot match: where
+    they stay in the result they go past the join. The rows are the same either way.
 
     ``written`` puts the dimension into the checkpoint folder first. Set it where the
     dimension is itself an aggregate of large data, which counting would compute twice.
@@ -64,24 +49,13 @@ def sized_join(
         dim = checkpointed(dim)
     if fits_broadcast(dim, max_rows):
         return facts.join(F.broadcast(dim), on, how)
-    hot = hot_keys(facts, on, hot_rows)
-    if hot is None:
-        return facts.join(dim, on, how)
-    hot = F.broadcast(checkpointed(hot))
-    missing = F.lit(False)
+    keyed = F.lit(True)
     for c in on:
-        missing = missing | F.col(f"`{c}`").isNull()
-    # the salt depends on the row only, so a task that is run again salts the same way
-    hashed = [F.col(f"`{f.name}`") for f in facts.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    salt = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
-    spread = facts.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | missing, salt).otherwise(F.lit(0))
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = dim.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    return spread.drop("_hot").join(copies.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+        keyed = keyed & F.col(f"`{c}`").isNotNull()
+    joined = facts.where(keyed).join(dim.hint("merge"), on, how)
+    if how not in ("left", "left_anti"):
+        return joined
+    return joined.unionByName(facts.where(~keyed), allowMissingColumns=True)
 
 
 def nearest_event(events: DataFrame, date: str, out: str = "d") -> DataFrame:
@@ -92,7 +66,9 @@ def nearest_event(events: DataFrame, date: str, out: str = "d") -> DataFrame:
     reduced to one per day first: the window sees at most one row per calendar day.
     """
     rest = [c for c in events.columns if c != date]
-    daily = events.groupBy(date).agg(*[F.max(c).alias(c) for c in rest]) if rest else events.distinct()
+    # the largest event of a day as a whole, not the largest of each column
+    one = events.groupBy(date).agg(F.max(F.struct(*rest)).alias("_event")) if rest else events.distinct()
+    daily = one.select(date, "_event.*") if rest else one
     by_date = Window.orderBy(date)
     gap_before = F.datediff(F.col(date), F.lag(date).over(by_date))
     gap_after = F.datediff(F.lead(date).over(by_date), F.col(date))
@@ -119,10 +95,11 @@ def effective_join(
     """Look up the period of ``key`` in force at ``ts`` (``start <= ts < end``; inner).
 
     ``mode='first'`` ignores the dates and takes each key's earliest period instead.
-    Periods of one key must not overlap. Beyond ``max_rows`` periods, or many for one key, the
+    A period without a start is never in force; periods of one key that overlap raise
+    ``ValueError``, whatever their number. Beyond ``max_rows`` periods, or many for one key, the
     lookup carries the latest period start forward along the facts, which compares no pairs.
     """
-    from .chunks import carry_forward
+    from .chunks import carry_forward, next_value
     from .dedupe import keep_latest
 
     if mode == "first":
@@ -130,8 +107,13 @@ def effective_join(
         return sized_join(facts, first, [key], "inner", max_rows)
     if mode != "range":
         raise ValueError(f"mode must be 'range' or 'first', not {mode!r}")
+    # a period without a start or a key is never in force
+    periods = periods.where(F.col(start).isNotNull() & F.col(key).isNotNull())
+    following = next_value(periods.select(key, start, end), [key], [start, end], {"_next": start})
+    if not following.where(F.col(end).isNull() & F.col("_next").isNotNull() | (F.col(end) > F.col("_next"))).isEmpty():
+        raise ValueError(f"periods of one {key} overlap")
     sizes = periods.limit(max_rows + 1).groupBy(key).count().agg(F.sum("count"), F.max("count")).first()
-    if (sizes[0] or 0) <= max_rows and (sizes[1] or 0) <= PERIODS_PER_KEY:
+    if (sizes[0] or 0) <= max_rows and (sizes[1] or 0) <= PERIODS_PER_KEY and fits_broadcast(periods, max_rows):
         p = F.broadcast(periods.withColumnRenamed(key, "_key"))
         in_force = (F.col("_key") == F.col(key)) & (F.col(ts) >= F.col(start)) & (
             F.col(end).isNull() | (F.col(ts) < F.col(end))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,14 +15,38 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key even where that costs another shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
+PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Task functions are pickled by reference, so a worker has to be able to import them
+    wherever it was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    fd, name = tempfile.mkstemp(prefix=f"{PACKAGE.name}-", suffix=".zip")
+    with os.fdopen(fd, "wb") as out, zipfile.ZipFile(out, "w") as archive:
+        for path in sorted(PACKAGE.rglob("*.py")):
+            archive.write(path, str(Path(PACKAGE.name) / path.relative_to(PACKAGE)))
+    spark.sparkContext.addPyFile(name)  # Spark copies it to the executors itself
+    _shipped.add(app)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else built."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
@@ -29,7 +56,7 @@ def build_session(app: str = "panelspark", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
 
 
 def shared_folder(spark: SparkSession) -> str:

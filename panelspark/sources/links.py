@@ -45,7 +45,8 @@ ROLL_UP = r"MMSDM_\d{4}_\d{2}.zip"
 # keeps the search linear in the length of the page
 ANCHOR = r"""(?is)(?:\A|>)[^<>]*+<a\s[^>]*?href\s*=\s*["'][^"']*["']"""
 HREF = r"""(?is)href\s*=\s*["']([^"']*)["']"""
-LISTED_SIZE = r"(?i)\w+, \w+ \d{1,2}, \d{4} +\d{1,2}:\d{1,2} [AP]M\s+(\d+)\s*<a\s"
+# a listing shows the size between the half of the day and the anchor
+LISTED_SIZE = r"(?i)\b[AP]M\s+(\d+)\s*<a\s"
 
 
 def _host(url: Column) -> Column:
@@ -56,12 +57,29 @@ def _path(url: Column) -> Column:
     return F.rtrim(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("/"))
 
 
+def without_dots(link: Column) -> Column:
+    """Resolve ``.`` and ``..`` steps of an address."""
+    root = F.regexp_extract(link, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(link, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(link, r"([?#].*)$", 1)
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+    steps = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda done, step: F.when(step == "..", up(done)).when(step == ".", done).otherwise(F.array_append(done, step)),
+    )
+    # a path that ends in a dot step names the folder
+    slash = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(root, F.array_join(steps, "/"), slash, rest)
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), plain).otherwise(link)
+
+
 def absolute(page: Column, href: Column) -> Column:
-    """An address relative to its page made absolute."""
+    """An address relative to its page made absolute, with dot steps resolved."""
     root = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     folder = F.regexp_replace(F.regexp_replace(page, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
-    return (
+    return without_dots(
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
         .when(href.startswith("/"), F.concat(root, href))
@@ -101,7 +119,7 @@ def link_inventory(
     link = F.col("link")
     wanted = (_host(link) == _host(F.col(url))) & ~link.endswith("/")
     if children_only:
-        wanted = wanted & _path(link).startswith(_path(F.col(url))) & (_path(link) != _path(F.col(url)))
+        wanted = wanted & _path(link).startswith(F.concat(_path(F.col(url)), F.lit("/")))
     if suffixes:
         ending = F.lit(False)
         for suffix in suffixes:

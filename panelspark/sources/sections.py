@@ -138,7 +138,7 @@ REPORT_EXCEPTIONS = {
     ("DISPATCH", "REGIONFCASREQUIREMENT"): "DISPATCH_FCAS_REQ",
     ("CO2EII", "PUBLISHING"): "CO2EII_AVAILABLE_GENERATORS",
 }
-# Tables left out because of their size.
+# Tables the study leaves out because of their size; pass them as ``skip``.
 SKIPPED_TABLES = (
     "P5MIN_UNITSOLUTION",
     "P5MIN_CASESOLUTION",
@@ -161,7 +161,7 @@ def map_tables(
     rows: DataFrame,
     mapping: DataFrame,
     exceptions: dict[tuple[str, str], str] = REPORT_EXCEPTIONS,
-    skip: Sequence[str] = SKIPPED_TABLES,
+    skip: Sequence[str] = (),
     only: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``table_name`` by (report_name, report_subtype); rows without a wanted table drop out.

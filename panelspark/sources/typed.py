@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +42,26 @@ def typed_table(rows: DataFrame, schema: T.StructType, values: str = "values", d
     return rows.select(*columns, *extra)
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV files (plain or gzip) below ``path``, columns found by header name per file set, typed.
+def read_typed_csv(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
+    """CSV files (plain or gzip) below ``path``, columns found by header name, typed.
 
-    The header is read once per call; files with another set of columns belong in another call.
-    Folder names ``key=value`` become columns.
+    Every path of a list is read by its own header, so files with other columns, or the same in
+    another order, belong in another path; a file below a path whose header differs from that
+    path's raises instead of being read by position. Columns a path lacks are NULL. Set
+    ``multi_line`` where quoted values hold line breaks. Folder names ``key=value`` become columns.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    read = [_read_one_header(spark, p, schema, multi_line) for p in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+
+
+def _read_one_header(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    options = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).option("escape", '"')
+    found = options.csv(path)
+    # the header of every file is compared with this one
+    raw = options.option("enforceSchema", False).schema(found.schema).csv(path)
     present = {c.upper(): c for c in raw.columns}
     columns = [
         typed(F.col(f"`{present[f.name.upper()]}`").cast("string"), f.dataType).alias(f.name)

@@ -102,3 +102,25 @@ def test_hot_key_is_split(spark):
 
 def test_short_table_takes_plain_window(spark):
     assert chunks.plan_cuts(spark.range(10), "id") is None
+
+
+def test_one_outlier_does_not_crowd_a_chunk(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") == 0, F.lit(1e15)).otherwise(F.col("id") / 1000).alias("t"))
+    cuts = chunks.plan_cuts(df, "t", rows_per_chunk=500)
+    sizes = df.groupBy(cuts.chunk(chunks.position(df, "t")).alias("c")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 600
+
+
+@pytest.mark.parametrize("rows_per_chunk", [5, 1_000_000])
+def test_text_orders_chunks_too(spark, rows_per_chunk):
+    words = sorted({f"{c}{i % 37}é{i}" for i, c in enumerate("zebra quick lazy ñandú" * 10)} | {"", "a" * 20, "a" * 21})
+    df = spark.createDataFrame([(w,) for w in words], "w string").withColumn("one", F.lit(1))
+    got = chunks.number_rows(df, [], ["w"], "n", rows_per_chunk=rows_per_chunk).collect()
+    assert [r["w"] for r in sorted(got, key=lambda r: r["n"])] == sorted(words, key=lambda w: w.encode())
+
+
+@pytest.mark.parametrize("rows_per_chunk", [5, 1_000_000])
+def test_an_order_that_cannot_be_cut_is_refused_at_any_size(spark, rows_per_chunk):
+    df = spark.range(10).select("id", F.array("id").alias("a"))
+    with pytest.raises(TypeError, match="must be a number"):
+        chunks.number_rows(df, [], ["a"], "n", rows_per_chunk=rows_per_chunk)

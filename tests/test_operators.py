@@ -132,20 +132,38 @@ def test_sized_join_is_the_same_either_way(spark, how):
     dim = spark.createDataFrame([("hot", 1.0), ("b", 2.0)], "k string, d double")
     small = joins.sized_join(facts, dim, ["k"], how)
     shuffled = joins.sized_join(facts, dim, ["k"], how, max_rows=0)
-    salted = joins.sized_join(facts, dim, ["k"], how, max_rows=0, salts=4, hot_rows=10)
     plain = facts.join(dim, "k", how)
     want = rows(plain, *plain.columns)
-    assert want == rows(small, *plain.columns) == rows(shuffled, *plain.columns) == rows(salted, *plain.columns)
+    assert want == rows(small, *plain.columns) == rows(shuffled, *plain.columns)
 
 
-def test_salt_spreads_a_hot_key(spark):
-    facts = spark.range(4000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
-    assert [r["k"] for r in joins.hot_keys(facts, ["k"], 100).collect()] == ["hot"]
-    assert joins.hot_keys(facts, ["k"]) is None
-    dim = facts.select("k").distinct().withColumn("d", F.lit(1.0))
-    joined = joins.sized_join(facts, dim, ["k"], max_rows=0, salts=8, hot_rows=100)
-    assert joined.count() == 4000
-    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+def test_wide_rows_are_not_broadcast(spark):
+    wide = spark.range(50).select("id", F.repeat(F.lit("x"), 10_000).alias("v"))
+    assert joins.fits_broadcast(wide) and not joins.fits_broadcast(wide, max_bytes=100_000)
+
+
+def test_nearest_event_keeps_records_whole(spark):
+    day = "2024-01-05"
+    events = spark.createDataFrame([(day, "a", 9), (day, "b", 1)], "event string, n string, v int")
+    out = joins.nearest_event(events.withColumn("event", F.to_date("event")), "event").first()
+    assert (out["n"], out["v"]) == ("b", 1)
+
+
+@pytest.mark.parametrize("max_rows", [200_000, 0])
+def test_periods_without_start_or_that_overlap(spark, max_rows):
+    facts = spark.createDataFrame([("a", 5), ("a", 15), ("b", 5)], "k string, at int")
+    open_start = spark.createDataFrame([("a", None, 10, 1.0), ("a", 10, 20, 2.0), ("b", 0, None, 3.0)], "k string, start_date int, end_date int, r double")
+    got = joins.effective_join(facts, open_start, "k", "at", max_rows=max_rows)
+    assert rows(got, "k", "at", "r") == [("a", 15, 2.0), ("b", 5, 3.0)]
+    overlapping = spark.createDataFrame([("a", 0, None, 1.0), ("a", 4, 8, 2.0)], open_start.schema)
+    with pytest.raises(ValueError, match="overlap"):
+        joins.effective_join(facts, overlapping, "k", "at", max_rows=max_rows)
+
+
+def test_not_a_number_is_missing_in_both_directions(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 2.0), ("b", float("nan"))], "k string, v double")
+    assert [r["v"] for r in dedupe.keep_latest(df, ["k"], ["-v"]).where("k = 'a'").collect()] == [2.0]
+    assert [r["v"] for r in dedupe.keep_latest(df, ["k"], ["v"]).where("k = 'a'").collect()] == [1.0]
 
 
 def brute_nearest(days, events):

@@ -130,7 +130,7 @@ def test_map_tables(spark):
         [("DISPATCH", "PRICE", "DISPATCHPRICE"), ("DISPATCH", "PRICE", "DISPATCHPRICE"), ("TWO", "X", "A"), ("TWO", "X", "B"), ("TRADING", "PRICE", "TRADINGPRICE"), ("SOLO", None, "SOLO")],
         "report_name string, report_subtype string, table_name string",
     )
-    got = {(r["report_name"], r["report_subtype"]): r["table_name"] for r in sections.map_tables(rows, mapping).collect()}
+    got = {(r["report_name"], r["report_subtype"]): r["table_name"] for r in sections.map_tables(rows, mapping, skip=sections.SKIPPED_TABLES).collect()}
     # two answers, a skipped table and an unlisted report drop out
     assert got == {("DISPATCH", "PRICE"): "DISPATCHPRICE", ("GENCONSETTRK", "NULL"): "GENCONSETTRK", ("SOLO", "NULL"): "SOLO"}
     only = sections.map_tables(rows, mapping, only=["SOLO"])
@@ -292,3 +292,27 @@ def test_small_tables(spark, tmp_path):
     assert tuple(tables.read_holidays(spark, str(tmp_path / "h.csv")).first()) == (dt.date(2020, 1, 1), "NSW1")
     (tmp_path / "t.csv").write_text("date,direction\n2020-04-05,stop\n")
     assert tuple(tables.read_transitions(spark, str(tmp_path / "t.csv")).first()) == (dt.date(2020, 4, 5), "stop")
+
+
+def test_dot_steps_are_resolved_and_siblings_are_no_children(spark):
+    page = "http://h/R/CURRENT/"
+    html = " ".join(f'<a href="{h}">x</a>' for h in ("../ARCHIVE/y.zip", "./a.zip", "sub/../b.zip", "../CURRENT2/c.zip", "/R/CURRENT/d.zip"))
+    found = links.extract_links(spark.createDataFrame([(1, page, html)], "page_id int, url string, html string"))
+    assert [r["link"] for r in found.orderBy("pos").collect()] == [
+        "http://h/R/ARCHIVE/y.zip", "http://h/R/CURRENT/a.zip", "http://h/R/CURRENT/b.zip", "http://h/R/CURRENT2/c.zip", "http://h/R/CURRENT/d.zip",
+    ]
+    kept = links.link_inventory(found, skip=(), roll_up=None)
+    assert sorted(r["file_name"] for r in kept.collect()) == ["a.zip", "b.zip", "d.zip"]
+
+
+def test_csv_columns_by_name_and_line_breaks(spark, tmp_path):
+    for name, text in (("a", "X,Y\n1,2\n"), ("b", "Y,X\n20,10\n"), ("c", 'Y,Z\n"3\n4",5\n')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.csv").write_text(text)
+    schema = T.StructType([T.StructField("X", T.IntegerType()), T.StructField("Y", T.StringType())])
+    got = typed.read_typed_csv(spark, [str(tmp_path / n) for n in "abc"], schema, multi_line=True)
+    assert sorted(((r["X"], r["Y"]) for r in got.collect()), key=str) == [(1, "2"), (10, "20"), (None, "3\n4")]
+    # one path with two headers is refused
+    (tmp_path / "a" / "g.csv").write_text("Y,X\n20,10\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        typed.read_typed_csv(spark, str(tmp_path / "a"), schema).collect()
