@@ -21,7 +21,7 @@ from ..functions.aggregates import wmean
 from ..operators.joins import sized_join
 from ..session import checkpointed
 from .terms import Term, expand_terms
-from .wls import CONSTANT, Fit, cluster_factor, solve, wls
+from .wls import CONSTANT, Fit, cluster_factor, recentred, solve, wls
 
 # Levels an effect may have and still enter as dummies (they size the driver's matrix).
 MAX_LEVELS = 2_000
@@ -75,12 +75,11 @@ def _cells(
 class _Layout:
     """Positions of the regressors: controls, event dummies, dummies of the small effect, y."""
 
-    def __init__(self, controls: int, events: list, smalls: list, clusters: list):
+    def __init__(self, controls: int, events: list, smalls: list):
         self.c = controls
         self.events = {v: controls + i for i, v in enumerate(events)}
         self.smalls = {v: controls + len(events) + i for i, v in enumerate(smalls)}
         self.k = controls + len(events) + len(smalls)
-        self.clusters = {v: i for i, v in enumerate(clusters)}
 
     def blocks(self, batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple]:
         """Blocks of whole groups: cells, group number, event and small positions (-1 for none)."""
@@ -162,15 +161,18 @@ def _gram_task(layout: _Layout):
 
 
 def _score_task(layout: _Layout, coef: np.ndarray):
-    """Per task: cluster scores of the demeaned regressors, and of the constant (position k)."""
+    """Per task: cluster scores of the demeaned regressors, and of the constant (position k).
+
+    Given as (cluster, i, v), so their number is bounded by the data a task has, not by a table
+    of all clusters.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k, c, clusters = layout.k, layout.c, len(layout.clusters)
+        k, c = layout.k, layout.c
         padded = np.append(coef, 0.0)  # position -1: no dummy
-        u = np.zeros((k + 1, clusters))
-        for part, group, event, small in layout.blocks(batches, k + 1 + clusters):
+        for part, group, event, small in layout.blocks(batches, k + 1):
+            names, g = np.unique(part["_g"].to_numpy(), return_inverse=True)
             sw, my = part["sw"].to_numpy(float), part["my"].to_numpy(float)
-            g = part["_g"].map(layout.clusters).to_numpy().astype(int)
             mx, mxy, mxx = layout.controls(part)
             sums, weight = layout.group_sums(part, group, event, small, mx)
             shift = padded[event] + padded[small]
@@ -178,21 +180,54 @@ def _score_task(layout: _Layout, coef: np.ndarray):
             mean = np.bincount(group, resid, len(weight)) / weight
             d = resid - mean[group] * sw
             raw = mxy - mxx @ coef[:c] - mx * (shift + mean[group])[:, None]
-            for i in range(c):
-                np.add.at(u[i], g, raw[:, i])
-            for at in (event, small):
-                on = at >= 0
-                np.add.at(u, (at[on], g[on]), d[on])
-            np.add.at(u[k], g, d)
-            per_group = np.zeros((len(weight), clusters))
-            np.add.at(per_group, (group, g), d)
-            u[:k] -= (sums[:, :k] / weight[:, None]).T @ per_group
-        i, j = np.nonzero(u)
-        yield pd.DataFrame({"i": i, "j": j, "v": u[i, j]})
+            # clusters are taken some at a time, so the table stays within a block
+            step = max(1, BLOCK // (k + 1 + len(weight)))
+            for low in range(0, len(names), step):
+                on_step = (g >= low) & (g < low + step)
+                own, width = g - low, min(step, len(names) - low)
+                u = np.zeros((k + 1, width))
+                for i in range(c):
+                    np.add.at(u[i], own[on_step], raw[on_step, i])
+                for at in (event, small):
+                    on = on_step & (at >= 0)
+                    np.add.at(u, (at[on], own[on]), d[on])
+                np.add.at(u[k], own[on_step], d[on_step])
+                per_group = np.zeros((len(weight), width))
+                np.add.at(per_group, (group[on_step], own[on_step]), d[on_step])
+                u[:k] -= (sums[:, :k] / weight[:, None]).T @ per_group
+                i, j = np.nonzero(u)
+                yield pd.DataFrame({"g": names[low + j], "i": i, "v": u[i, j]})
 
     return run
 
 
+def _score_products(scores: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Sum over clusters of score x score', added up in the tasks; and the number of clusters."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, clusters = np.zeros((size, size)), 0
+        for batch in batches:
+            for at, values in zip(batch["i"], batch["v"]):
+                u = np.zeros(size)
+                u[np.asarray(at)] = values
+                total += np.outer(u, u)
+            clusters += len(batch)
+        i, j = np.nonzero(total)
+        yield pd.DataFrame({"i": np.append(i, -1), "j": np.append(j, -1), "v": np.append(total[i, j], clusters)})
+
+    entries = scores.groupBy("g", "i").agg(F.sum("v").alias("v"))
+    # a cluster has one entry per regressor at most
+    vectors = entries.groupBy("g").agg(F.collect_list(F.struct("i", "v")).alias("u"))
+    parts = vectors.select("u.i", "u.v").mapInPandas(run, "i int, j int, v double")
+    out, clusters = np.zeros((size, size)), 0
+    for row in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        if row["i"] < 0:
+            clusters = round(row["v"])
+        else:
+            out[row["i"], row["j"]] = row["v"]
+    return out, clusters
+
+
 def _matrix(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     """Add up (i, j, v) over the tasks; the result has as many entries as the model, not the data."""
     out = np.zeros(shape)
@@ -242,8 +277,7 @@ def absorb(
     shares = few_levels(cells, "_event", max_levels) if event else {}
     events = [v for v in shares if v != base]
     by_group = cells.repartition("_big").sortWithinPartitions("_big")
-    clusters = list(few_levels(cells, "_g", max_levels)) if cluster else [0]
-    layout = _Layout(len(terms), events, list(small_levels), clusters)
+    layout = _Layout(len(terms), events, list(small_levels))
     k = layout.k
     upper = _matrix(by_group.mapInPandas(_gram_task(layout), "i int, j int, v double"), (k + 1, k + 1))
     sums = (upper + upper.T - np.diag(np.diag(upper))) * (n / sw)
@@ -286,15 +320,19 @@ def absorb(
         left = yy - np.nansum(fe_coef * rhs[fe])
         stats["r2_within"] = 1 - rss / left if left > 0 else math.nan
     if cluster:
-        u = _matrix(by_group.mapInPandas(_score_task(layout, used), "i int, j int, v double"), (k + 1, len(clusters)))
-        u *= scale
-        influence = np.vstack([inverse @ u[:k], np.zeros(len(clusters))])
-        influence[k] = u[k] / n - (means[visible] @ influence[visible])
-        stats["clusters"] = len(clusters)
-        if len(clusters) < 2:
+        kind = cells.schema["_g"].dataType.simpleString()
+        scores = by_group.mapInPandas(_score_task(layout, used), f"g {kind}, i int, v double")
+        meat, clusters = _score_products(scores, k + 1)
+        stats["clusters"] = clusters
+        if clusters < 2:
             raise ValueError("cluster-robust errors need at least two clusters")
-        full = cluster_factor(len(clusters), n, n - dof) * influence @ influence.T
-        df_resid = len(clusters) - 1
+        # from scores to the influence on (coefficients, constant)
+        reach = np.zeros((k + 1, k + 1))
+        reach[:k, :k] = inverse
+        reach[k, k] = 1 / n
+        reach[k] -= means[visible] @ reach[visible]
+        full = cluster_factor(clusters, n, n - dof) * reach @ (meat * scale * scale) @ reach.T
+        df_resid = clusters - 1
     else:
         full[:k, :k] = inverse * s2
         cross = -full[:k, visible] @ means[visible]
@@ -355,7 +393,10 @@ def absorb_in_turns(
 ) -> Fit:
     """The same model by alternating projections, for effects too numerous to be dummies.
 
-    Degrees of freedom count every level of the effects but one each.
+    Degrees of freedom and statistics are those of the other route: every level of the effects
+    but one each, none for an effect whose levels lie within clusters. Effects
+    that fall into parts without a common level have one more redundant level per
+    part, which only the other route sees.
     """
     terms = expand_terms(formula) if isinstance(formula, str) else list(formula)
     cols = ["_y", *[f"_x{i}" for i in range(len(terms))]]
@@ -367,25 +408,41 @@ def absorb_in_turns(
         *[t.column().alias(f"_x{i}") for i, t in enumerate(terms)],
     ).where(F.col("_w") > 0)
     rows = rows.dropna(subset=[*fes, *cols, *(["_g"] if cluster else [])])
-    raw = rows.agg(*[wmean(c, "_w").alias(c) for c in cols], *[F.count_distinct(f).alias(f"_n_{f}") for f in fes]).first()
+    rows = checkpointed(rows)
+    middle = [wmean(c, "_w").alias(c) for c in cols]
+    levels = [F.count_distinct(f).alias(f"_n_{f}") for f in fes]
+    raw = rows.agg(*middle, *levels, F.sum("_w").alias("_sw")).first()
+    away = F.col("_y") - F.lit(raw["_y"])
+    tss = rows.agg(F.sum(F.col("_w") * away * away)).first()[0]
     flat = demean_in_turns(rows, cols, fes, "_w", tolerance)
     plain = [Term(((f"_x{i}", 1),)) for i in range(len(terms))]
     fit = wls(flat, "_y", plain, "_w", "_g" if cluster else None)
-    n, absorbed = fit.stats["n"], sum(raw[f"_n_{f}"] - 1 for f in fes)
+    n, m = fit.stats["n"], fit._rank - 1
+    tss *= n / raw["_sw"]
+    rss = fit.stats["rmse"] ** 2 * (n - m - 1)
+    every = sum(raw[f"_n_{f}"] - 1 for f in fes)
+    absorbed = every
+    if cluster:
+        absorbed = sum(raw[f"_n_{f}"] - 1 for f in fes if not _levels_in_clusters(rows, f)[1])
+    full_dof = n - m - 1 - every
     slopes = fit.coef[:-1]
     fit.names = [t.name for t in terms] + [CONSTANT]
     fit.coef = np.append(slopes, raw["_y"] - np.nansum(slopes * [raw[f"_x{i}"] for i in range(len(terms))]))
-    rank = fit._rank
     if cluster:
-        fit.cov = fit.cov * (n - rank) / (n - rank - absorbed)
+        fit.cov = fit.cov * (n - m - 1) / (n - m - 1 - absorbed)
     else:
-        fit.cov = fit.cov * fit.df_resid / (fit.df_resid - absorbed)
-        fit.df_resid -= absorbed
-    means = np.array([raw[f"_x{i}"] for i in range(len(terms))])
-    slope_cov = fit.cov[:-1, :-1]
-    fit.cov[-1, :-1] = fit.cov[:-1, -1] = -slope_cov @ means
-    fit.cov[-1, -1] += means @ slope_cov @ means
-    fit.stats = {"n": n, "r2_within": fit.stats["r2"], "df_m": rank - 1, "absorbed": absorbed} | (
-        {"clusters": fit.stats["clusters"]} if cluster else {}
-    )
+        fit.cov = fit.cov * fit.df_resid / full_dof
+        fit.df_resid = full_dof
+    kept = ~np.isnan(slopes)
+    fit.cov = recentred(fit.cov, np.where(kept, [raw[f"_x{i}"] for i in range(len(terms))], 0.0))
+    s2 = rss / full_dof if full_dof > 0 else math.nan
+    fit.stats = {
+        "n": n,
+        "r2": 1 - rss / tss if tss > 0 else math.nan,
+        "r2_a": 1 - s2 / (tss / (n - 1)) if tss > 0 else math.nan,
+        "rmse": math.sqrt(s2) if s2 == s2 else math.nan,
+        "df_m": m,
+        "absorbed": absorbed,
+        "r2_within": fit.stats["r2"],
+    } | ({"clusters": fit.stats["clusters"]} if cluster else {})
     return fit

@@ -208,11 +208,13 @@ def wls(
         raise ValueError("errors are clustered for a single model only")
     names = [t.name for t in terms] + [CONSTANT]
     frame = model_frame(df, y, terms, w, cluster, groups)
+    frame, means, middle = _centred(frame, len(terms))
     xs = [F.col(f"_x{i}") for i in range(len(terms))] + [F.lit(1.0)]
     if groups:
         fits = {}
         for key, (sums, n, weight) in _sums(frame, [*xs, F.col("_y")], groups).items():
             fits[key] = _fit(sums * (n / weight), n, names)
+            _moved_back(fits[key], means, middle)
             fits[key].group = key
         return fits
     sums, n, weight = _model_sums(frame, len(terms), wide)
@@ -221,9 +223,36 @@ def wls(
     fit = _fit(sums * (n / weight), n, names)
     if cluster:
         _make_robust(fit, frame, xs, n / weight, wide)
+    _moved_back(fit, means, middle)
     return fit
 
 
+def recentred(cov: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Covariance of (slopes, constant) once the regressors have their ``means`` again."""
+    move = np.eye(len(cov))
+    move[-1, :-1] = -means
+    return move @ cov @ move.T
+
+
+def _moved_back(fit: Fit, means: np.ndarray, middle: float) -> None:
+    """Turn a fit of centred columns into one of the columns themselves."""
+    kept = ~np.isnan(fit.coef[:-1])
+    fit.coef[-1] += middle - float(fit.coef[:-1][kept] @ means[kept])
+    fit.cov = recentred(fit.cov, np.where(kept, means, 0.0))
+
+
+def _centred(frame: DataFrame, terms: int) -> tuple[DataFrame, np.ndarray, float]:
+    """The frame with its weighted means taken off, and the means of the regressors and of y.
+
+    Sums of products of columns far from zero lose the digits that tell them apart.
+    """
+    names = [*[f"_x{i}" for i in range(terms)], "_y"]
+    row = frame.agg(*[(F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(c) for c in names]).first()
+    means = np.array([row[c] if row[c] is not None else 0.0 for c in names])
+    moved = frame.withColumns({c: F.col(c) - F.lit(float(m)) for c, m in zip(names, means)})
+    return moved, means[:-1], float(means[-1])
+
+
 def _fit(sums: np.ndarray, n: int, names: list[str]) -> Fit:
     k = len(names)
     gram, rhs, yy = sums[:k, :k], sums[:k, k], sums[k, k]

@@ -213,3 +213,40 @@ def test_result_tables(spark):
     assert wide["z"]["a"] is None and "***" in wide["x"]["b"]
     marks = spark.createDataFrame([(p,) for p in (0.0005, 0.005, 0.03, 0.2, None)], "p double")
     assert [r[0] for r in marks.select(tables.stars("p")).collect()] == ["***", "**", "*", "", ""]
+
+
+@pytest.mark.parametrize("cluster", [None, "g", "many"])
+def test_both_routes_of_absorb_agree(spark, cluster):
+    rng = np.random.default_rng(11)
+    n = 3000
+    a, b = rng.integers(0, 60, n), rng.integers(0, 25, n)
+    x = rng.normal(size=n) + a / 20
+    pdf = pd.DataFrame({"a": a, "b": b, "x": x, "g": a // 4, "many": np.arange(n) // 2, "w": rng.uniform(0.5, 2, n)})
+    pdf["y"] = 2 * x + a / 7 - b / 5 + rng.normal(size=n)
+    df = spark.createDataFrame(pdf)
+    one = absorb(df, "y", "x", ("a", "b"), "w", cluster)
+    other = absorb(df, "y", "x", ("a", "b"), "w", cluster, max_levels=10)
+    np.testing.assert_allclose(one.coef, other.coef, rtol=1e-6)
+    np.testing.assert_allclose(one.se, other.se, rtol=1e-6)
+    assert one.df_resid == other.df_resid and set(one.stats) == set(other.stats)
+    for name, value in one.stats.items():
+        np.testing.assert_allclose(value, other.stats[name], rtol=1e-6, err_msg=name)
+
+
+def test_more_clusters_than_levels_may_be(spark):
+    rng = np.random.default_rng(12)
+    n = 6000
+    pdf = pd.DataFrame({"a": rng.integers(0, 40, n), "b": rng.integers(0, 8, n), "x": rng.normal(size=n), "c": np.arange(n) // 2})
+    pdf["y"] = pdf.x + rng.normal(size=n)
+    fit = absorb(spark.createDataFrame(pdf), "y", "x", ("a", "b"), cluster="c", max_levels=50)
+    assert fit.stats["clusters"] == 3000 and fit.df_resid == 2999 and 0 < fit.se[0] < 1
+
+
+def test_regressors_far_from_zero_keep_the_constant(spark):
+    rng = np.random.default_rng(13)
+    x = 1e7 + rng.normal(size=4000)
+    y = 3 + 2 * (x - 1e7) + rng.normal(size=4000)
+    fit = wls(spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "g": np.arange(4000) % 50})), "y", "x", cluster="g")
+    slope, constant = np.polyfit(x - 1e7, y, 1)
+    assert fit.coef[0] == pytest.approx(slope, rel=1e-9)
+    assert fit.coef[1] == pytest.approx(constant - slope * 1e7, rel=1e-9)
