@@ -27,7 +27,9 @@ COSINE = 0.98
 # Independent codes, filters of each that most vectors fall into, vectors per filter aimed at,
 # longest list of a block, vectors compared with each other in one task, and rows of a
 # comparison done at once.
-CODES, HITS, CROWD, LIST, TILE, ROWS = 8, 8, 4.0, 1024, 4096, 256
+CODES, HITS, CROWD, LIST, TILE, ROWS = 8, 3, 2.0, 1024, 4096, 256
+# Members up to which all pairs of a filter are compared at once with those of other filters.
+FEW = 16
 SEED = 7
 
 
@@ -49,7 +51,7 @@ def scores(vector: np.ndarray, lists: tuple[np.ndarray, ...]) -> list[np.ndarray
 
 def shape(vectors: int, dim: int, hits: int = HITS, crowd: float = CROWD) -> tuple[int, int, float]:
     """Blocks, list size and limit of a code whose filters hold about ``crowd`` of ``vectors``
-    vectors: the limit that three of four random directions pass ``hits`` times."""
+    vectors: the limit that half of all random directions pass ``hits`` times."""
     filters = max(256.0, vectors * hits / crowd)
     blocks = 1
     while blocks < dim and filters ** (1 / blocks) > LIST:
@@ -62,10 +64,10 @@ def shape(vectors: int, dim: int, hits: int = HITS, crowd: float = CROWD) -> tup
         sums = np.zeros(1)
         # the best sums need only the best entries of each block
         for s in scores(vector / np.linalg.norm(vector), lists):
-            best = np.sort(s)[-4 * hits :]
-            sums = np.sort((sums[:, None] + best[None, :]).ravel())[-4 * hits :]
+            best = np.sort(s)[-8 * hits :]
+            sums = np.sort((sums[:, None] + best[None, :]).ravel())[-8 * hits :]
         passed.append(sums[-min(hits, len(sums))])
-    return blocks, size, float(np.quantile(passed, 0.25))
+    return blocks, size, float(np.median(passed))
 
 
 def decoded(parts: list[np.ndarray], limit: float) -> np.ndarray:
@@ -131,43 +133,96 @@ def compared(vectors: np.ndarray, copies: np.ndarray, earlier: list[np.ndarray],
     return counts, forest.label
 
 
+def few_pairs(unit: np.ndarray, start: np.ndarray, size: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs within many small groups of rows at once."""
+    pair = np.repeat(np.arange(len(start)), size * size)
+    place = np.arange(len(pair)) - np.repeat(np.cumsum(size * size) - size * size, size * size)
+    i, j = start[pair] + place // size[pair], start[pair] + place % size[pair]
+    i, j = i[i < j], j[i < j]
+    near = [np.einsum("ij,ij->i", unit[i[k : k + 65536]], unit[j[k : k + 65536]]) >= cosine for k in range(0, len(i), 65536)]
+    near = np.concatenate(near) if near else np.zeros(0, bool)
+    return i[near], j[near]
+
+
 def _links(cosine: float):
     """Task function: rows in order of (label, dim, filter, tile); gives ``(rep, first, n)``."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        key = None
-        out: list[tuple[int, int, int]] = []
-
-        def close() -> None:
-            if len(held) > 1:
-                vectors = np.array([r["vector"] for r in held], np.float64)
-                earlier = [f[: np.searchsorted(f, key[2])] for f in (np.asarray(r["filters"], np.int64) for r in held)]
-                counts, label = compared(
-                    vectors, np.array([r["copies"] for r in held]), earlier, np.array([r["mine"] for r in held]), cosine
-                )
-                reps = [r["rep"] for r in held]
-                for i in np.flatnonzero((counts > 0) | (label != np.arange(len(held)))).tolist():
-                    out.append((reps[i], reps[label[i]], int(counts[i])))
-            held.clear()
+    def links(rows: pa.Table, fresh: np.ndarray) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        reps, copies, side = (rows.column(c).to_numpy() for c in ("rep", "copies", "mine"))
+        filters = rows.column("filters").combine_chunks()
+        numbers, bounds = filters.flatten().to_numpy(), filters.value_lengths().to_numpy().cumsum()
+        own = rows.column("filter").to_numpy()
+
+        def earlier(i: int) -> np.ndarray:
+            found = numbers[(bounds[i - 1] if i else 0) : bounds[i]]
+            return found[: np.searchsorted(found, own[i])]
+
+        counts, label = np.zeros(len(reps), np.int64), np.arange(len(reps))
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.append(start, len(fresh)))
+        dims = rows.column("dim").to_numpy()
+        values = rows.column("vector").combine_chunks()
+        ends = values.value_lengths().to_numpy().cumsum()
+        flat = values.flatten().to_numpy()
+        for dim in np.unique(dims).tolist():
+            # groups of one length of vectors are side by side in memory
+            here = dims[start] == dim
+            members = np.flatnonzero(dims == dim)
+            at = np.zeros(len(dims), np.int64)
+            at[members] = np.arange(len(members))
+            vectors = flat[(ends[members] - dim)[:, None] + np.arange(dim)].astype(np.float64)
+            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            few = here & (size > 1) & (size <= FEW)
+            i, j = few_pairs(unit, at[start[few]], size[few], cosine)
+            i, j = members[i], members[j]
+            one_tile = np.repeat(np.maximum.reduceat(side, start) == np.minimum.reduceat(side, start), size)
+            across = one_tile[i] | (side[i] != side[j])
+            i, j = i[across], j[across]
+            forest = Forest(len(reps))
+            forest.merge(i, j)
+            moved = forest.label != np.arange(len(reps))
+            label[moved] = forest.label[moved]
+            for x, y in zip(i.tolist(), j.tolist()):
+                if not len(np.intersect1d(earlier(x), earlier(y), assume_unique=True)):
+                    counts[x] += copies[y]
+                    counts[y] += copies[x]
+            for first, n in zip(start[here & (size > FEW)].tolist(), size[here & (size > FEW)].tolist()):
+                part = slice(at[first], at[first] + n)
+                before = [earlier(k) for k in range(first, first + n)]
+                found, own_label = compared(vectors[part], copies[first : first + n], before, side[first : first + n], cosine)
+                counts[first : first + n], label[first : first + n] = found, own_label + first
+        told = (counts > 0) | (label != np.arange(len(reps)))
+        return pa.RecordBatch.from_arrays([pa.array(reps[told]), pa.array(reps[label[told]]), pa.array(counts[told])], ["rep", "first", "n"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for row in batch.to_pylist():
-                own = (row["label"], row["dim"], row["filter"], row["tile"])
-                if own != key:
-                    close()
-                    key = own
-                held.append(row)
-            if len(out) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["rep", "first", "n"])
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["rep", "first", "n"])
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            fresh = changes(held)
+            # the last filter may go on in the next batch
+            cut = int(np.flatnonzero(fresh)[-1])
+            if cut:
+                yield links(held.slice(0, cut), fresh[:cut])
+                held = held.slice(cut)
+        if held is not None:
+            yield links(held, changes(held))
 
     return work
 
 
+def changes(rows: pa.Table) -> np.ndarray:
+    """Where a new (label, dim, filter, tile) begins."""
+    fresh = np.ones(rows.num_rows, bool)
+    label = rows.column("label").combine_chunks().dictionary_encode()
+    codes = (label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy()
+    keys = [codes, *(rows.column(c).to_numpy() for c in ("dim", "filter", "tile"))]
+    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return fresh
+
+
 def cap_links(reps: DataFrame, cosine: float = COSINE, hits: int = HITS, tile: int = TILE) -> DataFrame:
     """``(rep, first, n)``: parts of link counts and links that connect what is connected, for
     distinct vectors ``(rep, label, vector, copies)``. Rows are at most one per vector and filter."""
@@ -180,9 +235,10 @@ def cap_links(reps: DataFrame, cosine: float = COSINE, hits: int = HITS, tile: i
     for dim in dims:
         blocks, size, limit = shape(top, dim, hits)
         own = reps if len(dims) == 1 else reps.where(F.size("vector") == dim)
-        fields = "rep bigint, label string, vector array<double>, copies bigint, filters array<bigint>"
-        decoded_rows = own.select("rep", "label", F.col("vector").cast("array<double>").alias("vector"), "copies")
-        parts.append(decoded_rows.mapInArrow(_filters(blocks, size, limit), fields))
+        kind = reps.schema["vector"].dataType.simpleString()
+        fields = f"rep bigint, label string, vector {kind}, copies bigint, filters array<bigint>"
+        rows = own.select("rep", "label", "vector", "copies")
+        parts.append(rows.mapInArrow(_filters(blocks, size, limit), fields))
     filtered = parts[0] if parts else reps.withColumn("filters", F.array().cast("array<bigint>"))
     for part in parts[1:]:
         filtered = filtered.unionByName(part)
