@@ -264,8 +264,8 @@ def page_links(t):
   regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS home,
   string_split(link, '/')[-1] AS file_name FROM l)
 SELECT file_name, arg_max(link, page_id * 1000000 + pos) AS link, NULL::BIGINT AS size FROM h
-WHERE host = home AND link NOT LIKE '%/' AND lower(link) NOT LIKE '%fcas%' AND lower(link) NOT LIKE '%the%' GROUP BY file_name
+WHERE host = home AND link NOT LIKE '%/' AND lower(link) NOT LIKE '%fcas%' GROUP BY file_name
 """)
 def link_inventory(t):
     found = links.extract_links(t.pages)
-    return links.link_inventory(found, suffixes=(), skip=("FCAS", "the"), children_only=False)
+    return links.link_inventory(found, suffixes=(), skip=("FCAS",), children_only=False)

@@ -65,6 +65,15 @@ def effective_join_first(t):
     return _per_rate(joins.effective_join(facts, _periods(t), "l_suppkey", "l_shipdate", mode="first"))
 
 
+@query(EFFECTIVE_SQL)
+def effective_join_hostile(t):
+    """Periods without a start are never in force, on the route for many periods as on that for few."""
+    periods = _periods(t)
+    unstarted = periods.withColumn("start_date", F.lit(None).cast(periods.schema["start_date"].dataType))
+    facts = t.lineitem.select("l_suppkey", "l_shipdate", "l_quantity")
+    return _per_rate(joins.effective_join(facts, periods.unionByName(unstarted), "l_suppkey", "l_shipdate", max_rows=0))
+
+
 @query("""
 SELECT o_orderkey, o_custkey, c_mktsegment, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0
 """)
@@ -88,7 +97,8 @@ def salted_join(t):
 
 
 NEAREST_SQL = """
-WITH e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS event FROM orders WHERE o_totalprice > 495000),
+WITH v AS (SELECT CAST(o_orderdate AS DATE) AS event, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY ALL),
+e AS (SELECT event FROM v WHERE cents > (SELECT avg(cents) * 1.2 FROM v)),
 span AS (SELECT min(event) AS lo, max(event) AS hi FROM e),
 days AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM span),
 last AS (SELECT d, event FROM days ASOF JOIN e ON d >= event),
@@ -100,8 +110,11 @@ FROM days JOIN last USING (d) JOIN next USING (d)
 
 @query(NEAREST_SQL)
 def nearest_event(t):
-    events = t.orders.where("o_totalprice > 495000").select(F.to_date("o_orderdate").alias("event"))
-    return joins.nearest_event(events, "event")
+    # the events are the days on which orders add up to well over the average
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents")
+    days = t.orders.groupBy(F.to_date("o_orderdate").alias("event")).agg(cents)
+    usual = days.agg(F.avg("cents")).first()[0]
+    return joins.nearest_event(days.where(F.col("cents") > usual * 1.2).select("event"), "event")
 
 
 FLOWS_SQL = """

@@ -200,6 +200,18 @@ def label_codes(t):
     return label_code(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "code")
 
 
+@query("""
+SELECT unnest(['_cons', 'far']) AS term, unnest([round((regr_intercept(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * 1e7) / 1e7, 6),
+  round(regr_slope(l_extendedprice, l_quantity), 6)]) AS coef FROM lineitem
+""")
+def wls_far_from_zero(t):
+    """A regressor whose mean is a million times its spread; the constant is shown per 1e7."""
+    fit = wls(t.lineitem.select("l_extendedprice", (F.col("l_quantity").cast("double") + 1e7).alias("far")), "l_extendedprice", "far")
+    rows = coefficient_table(t.spark, {"m": fit})
+    scale = F.when(F.col("term") == "_cons", 1e7).otherwise(1.0)
+    return rows.select("term", F.round(F.col("coef") / scale, 6).alias("coef"))
+
+
 @query()
 def result_table(t):
     """Two models side by side with standard errors and stars."""

@@ -18,18 +18,19 @@ from .windows import DAILY, LINE, _daily
 
 SHEET_SQL = """
 WITH m AS (
-  SELECT date_trunc('month', o_orderdate)::DATE AS date, {counts} FROM orders WHERE month(o_orderdate) IN (3, 6, 9, 12) GROUP BY ALL),
+  SELECT date_trunc('month', o_orderdate)::DATE AS date, {counts} FROM orders GROUP BY ALL),
 wide AS (SELECT date, c0 + c7 AS "NSW1", c1 AS "VIC1", c2 AS "QLD1", c3 AS "SA1", c5 AS "TAS1" FROM m
-  WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'),
+  WHERE date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'),
 long AS (UNPIVOT wide ON "NSW1", "VIC1", "QLD1", "SA1", "TAS1" INTO NAME regionid VALUE population)
 """.format(counts=", ".join(f"count(*) FILTER (o_custkey % 9 = {i})::DOUBLE AS c{i}" for i in range(9)))
-SHEET_DAYS = ("1996-01-01", "2000-12-31")
+# the years the orders fill
+SHEET_DAYS = ("1995-01-01", "2001-12-31")
 
 
 def _sheet(t):
     """Orders per month as the spreadsheet would show them: text, with other rows in between."""
     counts = [F.count_if(F.col("o_custkey") % 9 == i).cast("string").alias(f"c{i}") for i in range(9)]
-    months = t.orders.where(F.month("o_orderdate").isin(3, 6, 9, 12)).groupBy(
+    months = t.orders.groupBy(
         F.date_format("o_orderdate", "MMM-yyyy").alias("month")
     ).agg(*counts)
     preamble = t.orders.groupBy(F.col("o_orderpriority").alias("month")).agg(
@@ -44,7 +45,7 @@ def population_sheet(t):
 
 
 @query(SHEET_SQL + """
-, g AS (SELECT regionid, CAST(unnest(generate_series(DATE '1996-01-01', DATE '2000-12-31', INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT regionid FROM long)),
+, g AS (SELECT regionid, CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT regionid FROM long)),
 c AS (SELECT g.regionid, g.date, population AS v FROM g LEFT JOIN long USING (regionid, date)),
 k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN date END IGNORE NULLS) OVER p AS d0, last_value(v IGNORE NULLS) OVER p AS v0,
    first_value(CASE WHEN v IS NOT NULL THEN date END IGNORE NULLS) OVER f AS d1, first_value(v IGNORE NULLS) OVER f AS v1
@@ -87,7 +88,7 @@ cal AS (
   FROM dated LEFT JOIN calendar ON calendar.d = date_local
     LEFT JOIN holidays ON holidays.d = date_local AND holidays.regionid = dated.regionid
     LEFT JOIN side ON side.d = date_local AND side.regionid = dated.regionid),
-pc AS (SELECT *, e / population * 1000 AS energy, e / 2 / population * 1000 AS co2 FROM cal WHERE date_local BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'),
+pc AS (SELECT *, e / population * 1000 AS energy, e / 2 / population * 1000 AS co2 FROM cal WHERE date_local BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'),
 mid AS (SELECT regionid, date_local, CASE WHEN count(*) = count(co2) THEN avg(co2) END AS co2_mid FROM pc WHERE midday GROUP BY ALL),
 study AS (SELECT pc.*, co2_mid, (co2 - co2_mid) * 1000 AS co2_vs FROM pc LEFT JOIN mid USING (regionid, date_local))
 """
@@ -233,6 +234,27 @@ def typed_csv_scan(t):
     return typed.read_typed_csv(t.spark, folder, schema)
 
 
+@query("SELECT event_id, date_trunc('second', ts) AS at, value, event_type FROM events")
+def typed_csv_mixed_headers(t):
+    """Events in two sets of files whose columns differ in order, one with line breaks in a value."""
+    stamp = F.date_format("ts", "yyyy/MM/dd HH:mm:ss").alias("AT")
+    folders = [scratch_folder(t.spark, "events") for _ in range(2)]
+    id, kind, value = F.col("event_id").alias("EVENT_ID"), F.col("event_type").alias("EVENT_TYPE"), F.col("value").alias("VALUE")
+    odd = F.col("event_id") % 2 == 1
+    note = F.concat(F.lit("first\n"), F.col("event_type")).alias("NOTE")
+    t.events.where(~odd).select(id, kind, stamp, value).write.option("header", True).csv(folders[0])
+    t.events.where(odd).select(value, note, stamp, kind, id).write.option("header", True).csv(folders[1])
+    schema = T.StructType(
+        [
+            T.StructField("event_id", T.LongType()),
+            T.StructField("at", T.TimestampNTZType()),
+            T.StructField("value", T.DoubleType()),
+            T.StructField("event_type", T.StringType()),
+        ]
+    )
+    return typed.read_typed_csv(t.spark, folders, schema, multi_line=True)
+
+
 SPAN_SQL = """
 WITH k AS (SELECT DISTINCT c_mktsegment FROM customer), s AS (SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders)
 SELECT c_mktsegment, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM k, s

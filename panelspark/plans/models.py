@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import with_labels
+from ..session import checkpointed
 from ..stats.event_study import event_study, treated_time
 from ..stats.wls import Fit, wls
 
@@ -118,6 +119,8 @@ def estimate(
 ) -> dict[str, Fit]:
     """Fit every specification on its sub-sample of the model frame."""
     samples = SAMPLES if samples is None else samples
+    # every fit reads the frame several times
+    frame = checkpointed(frame)
     fits = {}
     for name, spec in specs.items():
         condition = samples[spec.sample]
