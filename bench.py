@@ -37,6 +37,9 @@ HEADLINE = [
     "event_study",
     "section_split_roundtrip",
     "link_inventory",
+    "typed_csv_scan",
+    "study_panel",
+    "study_base_model",
 ]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from panelspark.operators import grid
 from panelspark.operators.joins import sized_join
+from panelspark.operators.quality import verdicts
 from panelspark.plans import describe, models, panel
 from panelspark.session import scratch_folder
 from panelspark.sources import tables, typed
@@ -124,6 +125,7 @@ def _study(t):
         side.select(*keys, (F.col("n") / 7.0).alias("solar_exposure")),
         side.select(*keys, (F.col("n") * 2.0).alias("wind_km_per_h")),
         SHEET_DAYS,
+        strict=False,
     )
 
 
@@ -186,6 +188,32 @@ def study_base_model(t):
     return coefficient_table(t.spark, fits).select("model", "term", F.round("coef", 8).alias("coef"))
 
 
+@query(STUDY_SQL + """
+, copies AS (
+  SELECT 'as built' AS copy, date_local, dst_transition_id, population, energy FROM study
+  UNION ALL SELECT 'broken', date_local, CASE WHEN regionid <> 'TAS1' THEN dst_transition_id END,
+    CASE WHEN regionid <> 'SA1' THEN population END, energy FROM study),
+holds AS (
+  SELECT copy, bool_and(date_local IS NOT NULL) AS "every row has a local date",
+    bool_and(dst_transition_id IS NOT NULL) AS "every row belongs to a clock change",
+    bool_and(population IS NOT NULL) AS "every row has a population",
+    bool_and(energy IS NOT NULL) AS "every row has energy",
+    count(*) FILTER (population IS NULL) <= 1 AS "one row lacks wind at most" FROM copies GROUP BY copy)
+SELECT copy, name AS "check", value AS holds FROM (UNPIVOT holds ON COLUMNS(* EXCLUDE (copy)) INTO NAME name VALUE value)
+""")
+def panel_checks(t):
+    """The panel's checks on the panel as built and on a copy with gaps."""
+    built = _study(t)
+    gaps = {
+        "dst_transition_id": F.when(F.col("regionid") != "TAS1", F.col("dst_transition_id")),
+        "population": F.when(F.col("regionid") != "SA1", F.col("population")),
+        "wind_km_per_h": F.when(F.col("regionid") != "SA1", F.col("wind_km_per_h")),
+    }
+    copies = {"as built": built, "broken": built.withColumns(gaps)}
+    told = [verdicts(df, panel.panel_checks()).withColumn("copy", F.lit(name)) for name, df in copies.items()]
+    return told[0].unionByName(told[1]).select("copy", "check", "holds")
+
+
 @query()
 def study_models(t):
     """Controls, triple difference, logs and event studies on the panel: every statistic of each model."""

@@ -24,6 +24,8 @@ from ..operators.dedupe import union_distinct
 from ..operators.frequency import rare_value_flags
 from ..operators.grid import complete, time_grid
 from ..operators.joins import nearest_event, sized_join
+from ..operators.quality import at_most, every_row, expect
+from ..session import checkpointed
 
 # Clock of each market region.
 REGION_ZONES = {
@@ -360,6 +362,17 @@ def sun_times(grid: DataFrame, day: str, lat: str, lon: str, zone: str, market_z
     return timed.withColumns(clocks).drop("sunrise_utc", "sunset_utc")
 
 
+def panel_checks() -> dict[str, Column]:
+    """What has to hold for a finished panel; rows that fail would enter the models as untreated."""
+    return {
+        "every row has a local date": every_row(F.col("date_local").isNotNull()),
+        "every row belongs to a clock change": every_row(F.col("dst_transition_id").isNotNull()),
+        "every row has a population": every_row(F.col("population").isNotNull()),
+        "every row has energy": every_row(F.col("energy_kwh_per_capita").isNotNull()),
+        "one row lacks wind at most": at_most(1, F.col("wind_km_per_h").isNull()),
+    }
+
+
 def build_panel(
     energy: DataFrame,
     transitions: DataFrame,
@@ -369,9 +382,13 @@ def build_panel(
     sunshine: DataFrame,
     wind: DataFrame,
     study_days: tuple[str, str] = STUDY_DAYS,
+    strict: bool = True,
 ) -> DataFrame:
     """The half-hour analysis panel from the joined market panel and the side inputs.
 
+    A ``strict`` panel is written once and raises ``ExpectationError`` unless ``panel_checks``
+    hold; pass False to look at their ``verdicts`` instead.
+
     Side inputs are daily per region, so each is small enough to broadcast. Rare days are
     judged on the whole panel, then the study's days are kept.
     """
@@ -381,4 +398,5 @@ def build_panel(
     weathered = outlier_flags(flagged).where(F.col("date_local").between(lo, hi))
     for daily in (population, temperature, sunshine, wind):
         weathered = add_daily(weathered, daily)
-    return midday_deviations(per_capita(weathered))
+    panel = midday_deviations(per_capita(weathered))
+    return expect(checkpointed(panel), panel_checks()) if strict else panel

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators.weighted import null_rates
+from panelspark.operators.quality import ExpectationError, expect
 from panelspark.plans import describe, models, panel
 from panelspark.stats.wls import wls
 
@@ -225,6 +226,9 @@ def test_whole_panel_and_every_model(spark, transitions):
         study,
     ).cache()
     assert out.count() == 5 * 48 * 243
+    # rows without a clock change stop the build
+    with pytest.raises(ExpectationError, match="clock change"):
+        expect(out.withColumn("dst_transition_id", F.lit(None).cast("string")), panel.panel_checks())
     assert null_rates(out).where("null_rate > 0").collect() == []
     assert panel.daily_panel(out).count() == 5 * 243
     assert describe.panel_cell_means(out).count() == 16
