@@ -7,6 +7,7 @@ from functools import lru_cache
 from hashlib import sha256
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,12 @@ ROWS = 512
 
 @lru_cache(maxsize=4)
 def _coded(model: bytes) -> Memory:
-    """Per chunk: ids, the same as decimal text, and the text they decode to."""
+    """Per chunk: how many ids, these as decimal text, and the text they decode to."""
     table = table_for(model)
 
-    def work(chunk: str) -> tuple[list[int], str, str]:
+    def work(chunk: str) -> tuple[int, str, str]:
         ids = table.chunk_ids(chunk)
-        return ids, ",".join(map(str, ids)), table.text_of(ids)
+        return len(ids), ",".join(map(str, ids)), table.text_of(ids)
 
     return Memory(work)
 
@@ -52,11 +53,12 @@ def encode_decode(
                 parts = [coded[c] for c in table.chunks.findall(table.spaced(value))]
                 back = "".join([p[2] for p in parts])
                 back = back[1:] if back.startswith(" ") else back
-                out[0].append(sum([len(p[0]) for p in parts]))
-                out[1].append(sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
+                listed = ",".join([p[1] for p in parts])
+                out[0].append(sum([p[0] for p in parts]))
+                out[1].append(sha256(listed.encode()).hexdigest())
                 out[2].append(sha256(back.encode()).hexdigest())
                 if keep_ids:
-                    out[3].append([i for p in parts for i in p[0]])
+                    out[3].append(np.array(listed.split(","), np.int32) if listed else [])
                 if keep_text:
                     out[4].append(back)
             arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]

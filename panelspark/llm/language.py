@@ -26,7 +26,7 @@ UNKNOWN = "und"
 GRAMS = 2_000_000
 # Least belief in a language for a row to be kept, and bytes scored at once.
 SURE = 0.5
-SLICE = 4 << 20
+SLICE = 1 << 20
 BLANK = 32
 
 # ASCII other than letters is a blank; text is lower-cased before it comes here.

@@ -20,7 +20,7 @@ from .common import raw_bytes, ship, spare
 
 # Rows the scorer is fitted on at most (the pseudo-random smallest by hash), slots per feature
 # family, bytes read at once, and the score from which a text is kept.
-SAMPLE, SLOTS, SLICE, KEPT = 8192, 1024, 4 << 20, 0.5
+SAMPLE, SLOTS, SLICE, KEPT = 8192, 1024, 1 << 20, 0.5
 # Fewest words a rule votes on.
 FEW = 8
 # Assumed of the rules: a good text is called bad by one rule at most this often, and the texts
@@ -169,7 +169,7 @@ def readings(column: pa.Array) -> Iterator[Reading]:
     first = 0
     while first < len(bounds) - 1:
         last = int(np.searchsorted(bounds, bounds[first] + SLICE, "right")) - 1
-        last = min(max(last, first + 1), first + 2048, len(bounds) - 1)
+        last = min(max(last, first + 1), first + 1024, len(bounds) - 1)
         yield Reading.of(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
         first = last
 
