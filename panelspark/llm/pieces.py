@@ -19,8 +19,8 @@ import ahocorasick
 import sentencepiece
 
 SPACE = "▁"
-# Words remembered per Python worker, those kept when the memory is full, and the longest word kept.
-REMEMBERED, KEPT, LONGEST = 400_000, 150_000, 48
+# Words remembered per Python worker, the part kept when the memory is full, and the longest word kept.
+REMEMBERED, KEPT, LONGEST = 400_000, 0.4, 48
 
 
 class PieceTable:
@@ -133,7 +133,7 @@ class PieceTable:
                 pair = last[start] * width + piece
                 fits = pairs.get(pair)
                 if fits is None:
-                    if len(pairs) > 2_000_000:
+                    if len(pairs) > 500_000:
                         pairs.clear()
                     fits = pairs[pair] = self.side_by_side(last[start], piece)
                 if not fits:
@@ -201,15 +201,15 @@ class Memory(dict):
     When it is full, the chunks met first stay: frequent words are met early.
     """
 
-    def __init__(self, work):
+    def __init__(self, work, size: int = REMEMBERED):
         super().__init__()
-        self.work = work
+        self.work, self.size = work, size
 
     def __missing__(self, chunk: str):
         value = self.work(chunk)
         if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                first = list(islice(self.items(), KEPT))
+            if len(self) >= self.size:
+                first = list(islice(self.items(), int(self.size * KEPT)))
                 self.clear()
                 self.update(first)
             self[chunk] = value

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, strings
-from .pieces import Memory, PieceTable, table_for
+from .pieces import REMEMBERED, Memory, PieceTable, table_for
 
 LIMIT = 4096
 
@@ -63,7 +63,8 @@ class PrefixCounts:
 @lru_cache(maxsize=4)
 def _sizes(model: bytes) -> Memory:
     table = table_for(model)
-    return Memory(lambda chunk: table.chunk_counts(chunk)[-1])
+    # a count takes little room
+    return Memory(lambda chunk: table.chunk_counts(chunk)[-1], 2 * REMEMBERED)
 
 
 def count_tokens(
