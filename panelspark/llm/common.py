@@ -2,37 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_folder
-
-PACKAGE = Path(__file__).resolve().parents[1]
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
-
-    Task functions are pickled by reference, so a worker has to be able to import them
-    wherever it was started.
-    """
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    fd, name = tempfile.mkstemp(prefix=f"{PACKAGE.name}-", suffix=".zip")
-    with os.fdopen(fd, "wb") as out, zipfile.ZipFile(out, "w") as archive:
-        for path in sorted(PACKAGE.rglob("*.py")):
-            archive.write(path, str(Path(PACKAGE.name) / path.relative_to(PACKAGE)))
-    spark.sparkContext.addPyFile(name)  # Spark copies it to the executors itself
-    _shipped.add(app)
+from ..session import scratch_folder, ship  # noqa: F401
 
 
 def partitions(spark: SparkSession) -> int:
