@@ -34,10 +34,10 @@ AT_ONCE, TILE, BROADCAST = 1024, 4096, 1_000_000
 
 @lru_cache(maxsize=2)
 def functions(slots: int = SLOTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and offsets of ``slots`` hash functions x -> (a x + b mod 2^64) >> 32."""
+    """Odd factors and offsets of ``slots`` permutations x -> a x + b of the 32-bit numbers."""
     draw = np.random.default_rng(seed)
-    a = draw.integers(0, 2**64, slots, np.uint64) | np.uint64(1)
-    return a[:, None], draw.integers(0, 2**64, slots, np.uint64)[:, None]
+    a = draw.integers(0, 2**32, slots, np.uint32) | np.uint32(1)
+    return a[:, None], draw.integers(0, 2**32, slots, np.uint32)[:, None]
 
 
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(SHINGLE)]
@@ -48,23 +48,23 @@ def shingles(text: str) -> np.ndarray:
     """32-bit hashes of the distinct runs of five words (all words if fewer; none: empty)."""
     words = text.encode().lower().split()
     if not words:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     width = min(SHINGLE, len(h))
     runs = sum(h[k : len(h) - width + 1 + k] * _POWERS[k] for k in range(width))
     runs ^= runs >> np.uint64(29)
-    return np.unique(runs * _POWERS[0] >> np.uint64(32))
+    return np.unique((runs * _POWERS[0] >> np.uint64(32)).astype(np.uint32))
 
 
 def signature(found: np.ndarray) -> np.ndarray:
     """16 bits per slot, mixed from the smallest hash value; no shingles give all ones."""
     a, b = functions()
-    least = np.full(SLOTS, ~np.uint64(0))
+    least = np.full(SLOTS, ~np.uint32(0))
     for at in range(0, len(found), AT_ONCE):
         np.minimum(least, (a * found[None, at : at + AT_ONCE] + b).min(axis=1), out=least)
     if not len(found):
         return np.full(SLOTS, 0xFFFF, np.uint16)
-    return ((least >> np.uint64(32)) * np.uint64(0x9E3779B1) >> np.uint64(16)).astype(np.uint16)
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -89,7 +89,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blobs = [shingles(t).astype(np.uint32).tobytes() for t in strings(batch.column(1))]
+        blobs = [shingles(t).tobytes() for t in strings(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["rep", "found"])
 
 
@@ -153,7 +153,7 @@ def small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, tile: int = TILE) -> DataFrame:
-    """``(id, h1, h2, class_id)``: near-duplicate classes of all rows, written to the shared folder.
+    """``(id, h1, h2, sig, class_id)``: fingerprints and near-duplicate classes of all rows.
 
     ``class_id`` is the smallest id that links of Jaccard similarity ``similar`` or more reach;
     ``h1, h2`` are hashes of the text. Equal texts are one from the start. Texts of one band
@@ -201,10 +201,11 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: fl
     joined = reps.join(roots.withColumnRenamed("node", "rep"), "rep").select("root", "h1", "h2", "first")
     joined = written(joined, "joined")
     smallest = written(joined.groupBy("root").agg(F.min("first").alias("class_id")), "smallest")
+    # a text in no class of several is its own: found by its hashes, equal texts included
     in_classes = joined.join(smallest, "root").select("h1", "h2", "class_id")
     alone = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left_anti").select("h1", "h2", F.col("first").alias("class_id"))
     every = written(in_classes.unionByName(alone), "classes")
-    return written(prints.select("id", "h1", "h2").join(every, ["h1", "h2"]).select("id", "h1", "h2", "class_id").distinct(), "class-of")
+    return prints.join(every, ["h1", "h2"]).select("id", "h1", "h2", "sig", "class_id")
 
 
 ROW = "pid int, tail int, id bigint, h1 bigint, h2 bigint, kind int, body binary, class_id bigint"
@@ -238,22 +239,22 @@ def _place(ids: pa.Array, edges: np.ndarray) -> pa.Array:
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in descending order of ids, each text behind the row with its class, and at the end
+    """Rows in descending order of ids, each text behind a row with its fingerprint and class, and at the end
     the text that follows the last one."""
     open_ = zstandard.ZstdDecompressor()
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
-    waiting, pid, own_class, out = None, None, None, []
+    waiting, pid, own_class, own_sig, out = None, None, None, None, []
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(7 + 1)]
         for place, tail, id, _, _, kind, body, class_id in zip(*columns):
             if place != pid:
                 waiting, pid = None, place
             if kind == 0:
-                own_class = class_id
+                own_class, own_sig = class_id, np.frombuffer(body, np.uint16)
                 continue
             text = open_.decompress(body, max_output_size=1 << 31).decode() if body else ""
-            sig = signature(shingles(text))
+            sig = signature(shingles(text)) if tail else own_sig
             if waiting is not None:
                 last_id, last_text, last_sig, last_class = waiting
                 half = len(last_text) // 2
@@ -286,7 +287,7 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     """
     spark = docs.sparkSession
     keyed = _keyed(docs, id, text)
-    named = classes(docs, id, text)
+    named = written(classes(docs, id, text), "class-of")
     parts = partitions(spark)
     quantiles = [i / parts for i in range(1, parts)]
     found = named.where("id is not null").approxQuantile("id", quantiles, 0.1 / parts) if quantiles else []
@@ -304,7 +305,7 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     first_rows = keyed.join(F.broadcast(tails), follows).select("id", "text", "h1", "h2", "to")
     behind = first_rows.select("id", "text", "h1", "h2").mapInArrow(_packed(cuts), ROW)
     behind = behind.join(F.broadcast(tails), follows).select(F.col("to").alias("pid"), F.lit(1).alias("tail"), "id", "h1", "h2", "kind", "body", "class_id")
-    marks = placed.select("pid", F.lit(0).alias("tail"), "id", "h1", "h2", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("body"), "class_id")
+    marks = placed.select("pid", F.lit(0).alias("tail"), "id", "h1", "h2", F.lit(0).alias("kind"), F.col("sig").alias("body"), "class_id")
     rows = packed.unionByName(marks).unionByName(behind)
     rows = rows.repartitionById(len(cuts) + 1, F.col("pid"))
     rows = rows.sortWithinPartitions("pid", "tail", F.col("id").desc_nulls_last(), "h1", "h2", "kind")
