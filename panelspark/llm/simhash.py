@@ -281,12 +281,13 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs``, one per component: that with the smallest id; of rows that share
     it, the one whose text has the smallest hash. All columns stay as they are."""
-    own, name, row = spare(docs, "_text"), spare(docs, "_id"), spare(docs, "_row")
+    key, own, row = spare(docs, "_key"), spare(docs, "_text"), spare(docs, "_row")
+    column = F.col(f"`{id}`")
+    named = F.coalesce(column.cast("string"), F.lit("")).alias(key)
     groups = near_duplicates(docs, id, text, shingle, distance)
-    same = F.col(f"`{id}`").eqNullSafe(F.col("component_id"))
-    kept = groups.where(same).select(F.col(f"`{id}`").alias(name)).distinct()
-    kept = written(kept, "kept")
-    stays = docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col(name)), "left_semi")
-    one = Window.partitionBy(f"`{id}`").orderBy(own)
-    marked = stays.withColumn(own, F.xxhash64(F.col(f"`{text}`")))
-    return marked.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).drop(row, own)
+    kept = written(groups.where(column.eqNullSafe(F.col("component_id"))).select(named).distinct(), "kept")
+    marked = docs.select("*", named, F.xxhash64(F.col(f"`{text}`")).alias(own))
+    # texts travel once, at any size: the window finds them where the join has put them
+    stays = marked.join(kept.hint("merge"), key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(own))
+    return stays.withColumn(row, first).where(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
