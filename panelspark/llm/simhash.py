@@ -255,6 +255,17 @@ def close_links(distinct: DataFrame, distance: int = DISTANCE, node_rows: int =
     return ordered.mapInArrow(_linked(distance), "a bigint, b bigint")
 
 
+def named_components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``(bits, component_id)`` of every fingerprint in ``prints (id, bits)``: the smallest id of its component."""
+    distinct = written(prints.groupBy("bits").agg(F.min("id").alias("first")), "distinct")
+    linked = components(close_links(distinct, distance)).select(F.col("node").alias("bits"), "root")
+    members = written(distinct.join(linked, "bits"), "members")
+    smallest = written(members.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    in_groups = members.join(smallest, "root").select("bits", "component_id")
+    alone = distinct.join(linked, "bits", "left_anti").select("bits", F.col("first").alias("component_id"))
+    return in_groups.unionByName(alone)
+
+
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE
 ) -> DataFrame:
@@ -267,27 +278,26 @@ def near_duplicates(
     went in; an empty table gives an empty table; other columns are ignored.
     """
     prints = written(fingerprints(docs, id, text, shingle), "fingerprints")
-    distinct = written(prints.groupBy("bits").agg(F.min("id").alias("first")), "distinct")
-    linked = components(close_links(distinct, distance)).select(F.col("node").alias("bits"), "root")
-    members = written(distinct.join(linked, "bits"), "members")
-    smallest = written(members.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    in_groups = members.join(smallest, "root").select("bits", "component_id")
-    alone = distinct.join(linked, "bits", "left_anti").select("bits", F.col("first").alias("component_id"))
-    named = written(in_groups.unionByName(alone), "named")
+    named = written(named_components(prints, distance), "named")
     shown = F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint")
     return prints.join(named, "bits").select(F.col("id").alias(id), shown, "component_id")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs``, one per component: that with the smallest id; of rows that share
-    it, the one whose text has the smallest hash. All columns stay as they are."""
-    key, own, row = spare(docs, "_key"), spare(docs, "_text"), spare(docs, "_row")
-    column = F.col(f"`{id}`")
-    named = F.coalesce(column.cast("string"), F.lit("")).alias(key)
-    groups = near_duplicates(docs, id, text, shingle, distance)
-    kept = written(groups.where(column.eqNullSafe(F.col("component_id"))).select(named).distinct(), "kept")
-    marked = docs.select("*", named, F.xxhash64(F.col(f"`{text}`")).alias(own))
+    """The rows of ``docs``, one per component: that with the smallest id, null ids last; of rows
+    that share it, the one whose text has the smallest hash. All columns stay as they are."""
+    key, none, one, two, row = (spare(docs, c) for c in ("_key", "_none", "_one", "_two", "_row"))
+    column, body = F.col(f"`{id}`"), F.col(f"`{text}`")
+    # two hashes tell the texts of one id apart
+    told = [column.isNull().alias(none), F.xxhash64(body).alias(one), F.xxhash64(F.lit(SEED), body).alias(two)]
+    ranked = docs.select(F.struct(told[0], column.alias(key), *told[1:]).alias(key), body)
+    prints = written(fingerprints(ranked, key, text, shingle), "fingerprints")
+    named = F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key)
+    first = named_components(prints, distance).select("component_id.*")
+    # rows with one key have one text, so every component keeps one row
+    kept = written(first.select(named, none, one, two).distinct(), "kept")
+    marked = docs.select("*", F.coalesce(column.cast("string"), F.lit("")).alias(key), *told)
     # texts travel once, at any size: the window finds them where the join has put them
-    stays = marked.join(kept.hint("merge"), key, "left_semi")
-    first = F.row_number().over(Window.partitionBy(key).orderBy(own))
-    return stays.withColumn(row, first).where(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = marked.join(kept.hint("merge"), [key, none, one, two], "left_semi")
+    place = F.row_number().over(Window.partitionBy(key, none, one, two).orderBy(two))
+    return stays.withColumn(row, place).where(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -119,3 +119,22 @@ def test_odd_documents(odd_documents):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 5, 6, 8, 9]
     assert near_duplicates(odd_documents.limit(0)).count() == 0
     assert keep_one(odd_documents.limit(0)).count() == 0
+
+
+def test_every_component_keeps_one_row(spark):
+    def prose(seed):
+        draw = random.Random(seed)
+        return " ".join("".join(draw.choices("abcdefgh", k=6)) for _ in range(60))
+
+    rows = [
+        # texts without an id, two of them equal, one equal to a text with an id
+        (None, prose(1)), (None, prose(2)), (None, prose(3)), (None, prose(3)), (None, prose(4)), (9, prose(4)),
+        # one id with texts of several groups, one of which a smaller id has too
+        (5, prose(5)), (5, prose(6)), (5, prose(7)), (2, prose(7)),
+        (7, None), (7, prose(8)),
+    ]
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, _key int")
+    kept = keep_one(table)
+    assert kept.columns == table.columns
+    want = [(None, prose(1)), (None, prose(2)), (None, prose(3)), (9, prose(4)), (5, prose(5)), (5, prose(6)), (2, prose(7)), (7, None), (7, prose(8))]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in want)
