@@ -16,13 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import raw_bytes, ship, spare, written
 
 UNKNOWN = "und"
-# Four-byte strings all languages' trees keep together, the most frequent ones.
+# Four-byte strings of the languages whose trees are made and held together, one language at least.
 GRAMS = 2_000_000
 # Least belief in a language for a row to be kept, and bytes scored at once.
 SURE = 0.5
@@ -198,30 +199,63 @@ def held_out(id: str, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{id}`").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", grams_kept: int = GRAMS) -> Trees:
+def groups(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """Languages in order of names, cut into runs of at most ``most`` strings or one language."""
+    found: list[list[str]] = []
+    held = 0
+    for lang in sorted(sizes):
+        if not found or held + sizes[lang] > most:
+            found.append([])
+            held = 0
+        found[-1].append(lang)
+        held += sizes[lang]
+    return found
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", grams_kept: int = GRAMS) -> list[Broadcast[Trees]]:
     """Trees of all languages from every row with a language and a text.
 
-    All rows are counted, in Spark. Only the ``grams_kept`` most frequent strings, which bounds
-    what comes to the driver and goes to the tasks, make the trees.
+    All rows are counted, in Spark, and every string counts. A language's tree needs its own
+    strings only, so trees come to the driver and go to the tasks in groups of at most
+    ``grams_kept`` strings, or of one language. The strings of a language are bounded by its
+    alphabet, not by the rows.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     read = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     read = read.select(F.col(f"`{lang}`").alias("lang"), F.lower(F.col(f"`{text}`")).alias("text"))
     partial = read.mapInArrow(_count, "lang string, gram bigint, n bigint")
     counts = written(partial.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    total = counts.count()
-    if total > grams_kept:
-        # the most frequent strings of all languages; the quantile is exact to a thousandth
-        floor = counts.approxQuantile("n", [min(1.0, 1 - grams_kept / total + 0.001)], 0.001)[0]
-        counts = counts.where(F.col("n") > floor)
-    kept = counts.toArrow()
-    languages = sorted(set(kept.column("lang").to_pylist()))
-    number = {name: i for i, name in enumerate(languages)}
-    codes = np.array([number[name] for name in kept.column("lang").to_pylist()], np.int64)
-    return Trees.of(languages, codes, kept.column("gram").to_numpy().astype(np.uint32), kept.column("n").to_numpy())
-
-
-def identify(docs: DataFrame, trees: Trees, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shared = []
+    for languages in groups(sizes, grams_kept):
+        kept = counts.where(F.col("lang").isin(languages)).toArrow()
+        order = pa.compute.index_in(kept.column("lang"), pa.array(languages, kept.schema.field("lang").type))
+        codes = order.to_numpy().astype(np.int64)
+        trees = Trees.of(languages, codes, kept.column("gram").to_numpy().astype(np.uint32), kept.column("n").to_numpy())
+        shared.append(spark.sparkContext.broadcast(trees))
+    return shared
+
+
+def code_lengths(shared: list[Broadcast[Trees]], data: np.ndarray, bounds: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """All languages and every value's code lengths under them; of several groups of trees one
+    is in memory at a time."""
+    langs: list[str] = []
+    found = [np.zeros((len(bounds) - 1, 0))]
+    for group in shared:
+        alone = len(shared) > 1 and getattr(group, "_path", None)
+        trees = group.load_from_path(group._path) if alone else group.value
+        langs += trees.langs
+        own = [np.zeros((0, len(trees.langs)))]
+        for first, last in _slices(bounds):
+            body = data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
+            own.append(trees.bits(*normalised(*body)))
+        found.append(np.vstack(own))
+        del trees
+    return langs, np.hstack(found)
+
+
+def identify(docs: DataFrame, shared: list[Broadcast[Trees]], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its share of belief (0 to 1).
 
     The score is the posterior of the language under equal priors: 2 to the minus code length,
@@ -231,7 +265,6 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text", pred: str = "lan
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(trees)
     given = docs.columns
     body = F.col(f"`{text}`")
     rows = docs.select(
@@ -240,24 +273,20 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text", pred: str = "lan
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
         for batch in batches:
             lower = batch.column(batch.num_columns - 1)
             data, bounds = raw_bytes(lower)
-            names, scores = [], []
-            for first, last in _slices(bounds):
-                body, own = normalised(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
-                if trees.langs:
-                    bits = trees.bits(body, own)
-                    best = bits.argmin(axis=1)
-                    share = 1 / np.exp2(bits.min(axis=1)[:, None] - bits).sum(axis=1)
-                else:
-                    best, share = np.zeros(last - first, int), np.zeros(last - first)
-                letters = lower.slice(first, last - first).is_valid().to_numpy(zero_copy_only=False)
-                names += [trees.langs[b] if ok and trees.langs else UNKNOWN for b, ok in zip(best, letters)]
-                scores.append(np.where(letters, share, 0.0))
+            langs, bits = code_lengths(shared, data, bounds)
+            if langs:
+                best = bits.argmin(axis=1)
+                share = 1 / np.exp2(bits.min(axis=1)[:, None] - bits).sum(axis=1)
+            else:
+                best, share = np.zeros(len(lower), int), np.zeros(len(lower))
+            letters = lower.is_valid().to_numpy(zero_copy_only=False)
+            names = [langs[b] if ok and langs else UNKNOWN for b, ok in zip(best, letters)]
+            scores = np.where(letters, share, 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], [*given, pred, score]
+                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*given, pred, score]
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

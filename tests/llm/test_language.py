@@ -96,3 +96,14 @@ def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "some words", None)], "doc_id bigint, text string, lang string")
     row = predict_languages(docs).first()
     assert (row.lang_pred, row.score) == (UNKNOWN, 0.0)
+
+
+def test_a_rare_language_beside_a_hot_one_keeps_all_its_strings(spark):
+    hot = [("hot", f"{a}{b}{c} {c}{a}{b}") for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"] * 3
+    rare = [("rare", "zyzzyva zymurgy über")]
+    given = spark.createDataFrame(hot + rare, "lang string, text string")
+    texts = spark.createDataFrame([("zyzzyva",), ("aiq qai",), ("über",), ("bjr",), ("y",)], "text string")
+    whole = identify(texts, train(given)).collect()
+    assert [r.lang_pred for r in whole] == ["rare", "hot", "rare", "hot", "rare"]
+    for bound in (1, 20, 500):
+        assert identify(texts, train(given, "text", "lang", bound)).collect() == whole
