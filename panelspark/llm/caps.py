@@ -4,7 +4,9 @@ A filter is a direction; a vector falls into all filters whose cap it lies in. T
 form a random product code: the space is cut into blocks, every block has a list of random unit
 vectors, and a direction is one choice per block. All directions a vector exceeds the limit
 with are list-decoded block by block, with the best the remaining blocks can add as a bound, so
-far more filters can be had than could be tried one by one. Vectors meet in their common
+far more filters can be had than could be tried one by one. Every code turns the vectors in a
+random way of its own before it cuts them, so that no vector has its energy in one block of all
+codes, and a vector that few directions of a code reach takes the best ones. Vectors meet in their common
 filters and are compared exactly there. A pair counts in the first filter it shares, so nothing
 has to be removed afterwards and no pair is ever a row.
 """
@@ -31,6 +33,8 @@ CODES, HITS, CROWD, LIST, TILE, ROWS = 8, 3, 2.0, 1024, 4096, 256
 # Members up to which all pairs of a filter are compared at once with those of other filters.
 FEW = 16
 SEED = 7
+# Components up to which a turn is a random orthogonal matrix.
+DENSE = 1024
 
 
 @lru_cache(maxsize=8)
@@ -44,6 +48,28 @@ def code(dim: int, blocks: int, size: int, number: int = 0, seed: int = SEED) ->
     return tuple(found)
 
 
+@lru_cache(maxsize=2 * CODES)
+def turn(dim: int, number: int, seed: int = SEED) -> np.ndarray:
+    """The random turn of a code: an orthogonal matrix, or three rows of signs for long vectors."""
+    draw = np.random.default_rng([seed, dim, number])
+    if dim > DENSE:
+        return draw.choice(np.array([-1.0, 1.0]), (3, dim))
+    matrix, upper = np.linalg.qr(draw.normal(size=(dim, dim)))
+    return matrix * np.where(np.diag(upper) < 0, -1.0, 1.0)
+
+
+def turned(vectors: np.ndarray, number: int, seed: int = SEED) -> np.ndarray:
+    """Rows turned for a code. Long vectors take signs and a Hartley transform three times, which
+    spreads like a random matrix and needs none."""
+    by = turn(vectors.shape[1], number, seed)
+    if vectors.shape[1] <= DENSE:
+        return vectors @ by
+    for signs in by:
+        waves = np.fft.fft(vectors * signs, axis=1)
+        vectors = (waves.real - waves.imag) / math.sqrt(vectors.shape[1])
+    return vectors
+
+
 def scores(vector: np.ndarray, lists: tuple[np.ndarray, ...]) -> list[np.ndarray]:
     cuts = np.cumsum([c.shape[1] for c in lists])[:-1]
     return [c @ part for c, part in zip(lists, np.split(vector, cuts))]
@@ -86,19 +112,44 @@ def decoded(parts: list[np.ndarray], limit: float) -> np.ndarray:
     return np.sort(number)
 
 
-def _filters(blocks: int, size: int, limit: float):
+def nearest(parts: list[np.ndarray], count: int) -> np.ndarray:
+    """Numbers of the ``count`` directions with the largest sums of block scores, sorted."""
+    total, number = np.zeros(1), np.zeros(1, np.int64)
+    for s in parts:
+        order = np.argsort(-s, kind="stable")[:count]
+        number = (number[:, None] * len(s) + order).ravel()
+        total = (total[:, None] + s[order]).ravel()
+        best = np.argsort(-total, kind="stable")[:count]
+        total, number = total[best], number[best]
+    return np.sort(number)
+
+
+def reached(parts: list[np.ndarray], limit: float, least: int) -> np.ndarray:
+    """Directions at ``limit`` or more, or the ``least`` best ones if they are fewer."""
+    found = decoded(parts, limit)
+    return found if len(found) >= least else nearest(parts, least)
+
+
+def filters_of(vectors: np.ndarray, blocks: int, size: int, limit: float, least: int) -> list[np.ndarray]:
+    """The filters of every row of ``vectors`` in all codes, in ascending order."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    found: list[list[np.ndarray]] = [[] for _ in unit]
+    for c in range(CODES):
+        lists = code(unit.shape[1], blocks, size, c)
+        for own, vector in zip(found, turned(unit, c)):
+            own.append(reached(scores(vector, lists), limit, least) + c * size**blocks)
+    return [np.concatenate(own) for own in found]
+
+
+def _filters(blocks: int, size: int, limit: float, least: int):
     """Task function: adds the list of filters to rows ``(rep, label, vector, copies)``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for value in batch.column(2):
-                vector = np.asarray(value.as_py(), np.float64)
-                vector /= np.linalg.norm(vector)
-                every = [
-                    decoded(scores(vector, code(len(vector), blocks, size, c)), limit) + c * size**blocks for c in range(CODES)
-                ]
-                found.append(np.concatenate(every))
+            for at in range(0, batch.num_rows, ROWS):
+                vectors = np.array(batch.column(2).slice(at, ROWS).to_pylist(), np.float64)
+                found += filters_of(vectors, blocks, size, limit, least)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["rep", "label", "vector", "copies", "filters"]
             )
@@ -238,7 +289,7 @@ def cap_links(reps: DataFrame, cosine: float = COSINE, hits: int = HITS, tile: i
         kind = reps.schema["vector"].dataType.simpleString()
         fields = f"rep bigint, label string, vector {kind}, copies bigint, filters array<bigint>"
         rows = own.select("rep", "label", "vector", "copies")
-        parts.append(rows.mapInArrow(_filters(blocks, size, limit), fields))
+        parts.append(rows.mapInArrow(_filters(blocks, size, limit, hits), fields))
     filtered = parts[0] if parts else reps.withColumn("filters", F.array().cast("array<bigint>"))
     for part in parts[1:]:
         filtered = filtered.unionByName(part)

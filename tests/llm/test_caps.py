@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from panelspark.llm.caps import CODES, code, compared, decoded, near_vectors, scores, shape
+from panelspark.llm.caps import CODES, DENSE, HITS, code, compared, decoded, filters_of, near_vectors, nearest, scores, shape, turned
 
 
 def brute(rows, cosine=0.98):
@@ -126,3 +126,45 @@ def test_odd_vectors(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in near_vectors(table).collect()), key=key)
     assert got == sorted(brute(rows), key=key)
     assert near_vectors(table.limit(0)).count() == 0
+
+
+def uneven(kind, draw, dim=64):
+    v = draw.normal(size=dim)
+    if kind == "half":
+        v[dim // 2 :] *= 0.1
+    elif kind == "sparse":
+        v[draw.permutation(dim)[4:]] = 0
+    elif kind == "one":
+        v = np.eye(dim)[draw.integers(dim)]
+    return v / np.linalg.norm(v)
+
+
+@pytest.mark.parametrize("n", [100_000, 500_000_000])
+@pytest.mark.parametrize("kind", ["half", "sparse", "one"])
+def test_uneven_vectors_at_the_limit_meet(kind, n):
+    """Energy in one block of two or three is found like any other."""
+    draw = np.random.default_rng(4)
+    blocks, size, limit = shape(n, 64)
+    assert blocks == (2 if n < 1_000_000 else 3)
+    met = 0
+    for _ in range(100):
+        a = uneven(kind, draw)
+        b = uneven("half", draw) if kind == "half" else draw.normal(size=64)
+        b -= a * (a @ b)
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b)
+        met += np.intersect1d(*filters_of(np.stack([a, b]), blocks, size, limit, HITS)).size > 0
+    assert met >= 95
+
+
+def test_turns_keep_angles_and_best_directions_are_found():
+    draw = np.random.default_rng(5)
+    for dim in (1, 2, 64, DENSE + 1):
+        v = draw.normal(size=(3, dim))
+        assert np.allclose(turned(v, 1) @ turned(v, 1).T, v @ v.T)
+    lists = code(24, 3, 12)
+    parts = scores(draw.normal(size=24), lists)
+    total = (parts[0][:, None, None] + parts[1][:, None] + parts[2]).ravel()
+    assert nearest(parts, 5).tolist() == sorted(np.argsort(-total)[:5].tolist())
+    # every vector has filters, in ascending order, however high the limit
+    for found in filters_of(draw.normal(size=(5, 24)), 3, 12, 9.0, 3):
+        assert len(found) == 3 * CODES and (np.diff(found) > 0).all()
