@@ -37,7 +37,7 @@ SEED = 7
 DENSE = 1024
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=2 * CODES)
 def code(dim: int, blocks: int, size: int, number: int = 0, seed: int = SEED) -> tuple[np.ndarray, ...]:
     """Per block, ``size`` random unit vectors."""
     draw = np.random.default_rng([seed, dim, blocks, size, number])
@@ -75,6 +75,7 @@ def scores(vector: np.ndarray, lists: tuple[np.ndarray, ...]) -> list[np.ndarray
     return [c @ part for c, part in zip(lists, np.split(vector, cuts))]
 
 
+@lru_cache(maxsize=1024)
 def shape(vectors: int, dim: int, hits: int = HITS, crowd: float = CROWD) -> tuple[int, int, float]:
     """Blocks, list size and limit of a code whose filters hold about ``crowd`` of ``vectors``
     vectors: the limit that half of all random directions pass ``hits`` times."""
@@ -136,20 +137,27 @@ def filters_of(vectors: np.ndarray, blocks: int, size: int, limit: float, least:
     found: list[list[np.ndarray]] = [[] for _ in unit]
     for c in range(CODES):
         lists = code(unit.shape[1], blocks, size, c)
-        for own, vector in zip(found, turned(unit, c)):
+        # the directions of one block are as random without a turn
+        for own, vector in zip(found, turned(unit, c) if blocks > 1 else unit):
             own.append(reached(scores(vector, lists), limit, least) + c * size**blocks)
     return [np.concatenate(own) for own in found]
 
 
-def _filters(blocks: int, size: int, limit: float, least: int):
-    """Task function: adds the list of filters to rows ``(rep, label, vector, copies)``."""
+def _filters(most: int, hits: int):
+    """Task function: adds the list of filters to rows ``(rep, label, vector, copies)``; the code
+    follows from the length of a vector and ``most``, the vectors of the largest label."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for at in range(0, batch.num_rows, ROWS):
-                vectors = np.array(batch.column(2).slice(at, ROWS).to_pylist(), np.float64)
-                found += filters_of(vectors, blocks, size, limit, least)
+            lengths = batch.column(2).value_lengths().to_numpy()
+            found: list[np.ndarray] = [np.zeros(0, np.int64)] * batch.num_rows
+            for dim in np.unique(lengths).tolist():
+                rows = np.flatnonzero(lengths == dim)
+                for at in range(0, len(rows), ROWS):
+                    some = rows[at : at + ROWS]
+                    vectors = np.array(batch.column(2).take(pa.array(some)).to_pylist(), np.float64)
+                    for i, own in zip(some.tolist(), filters_of(vectors, *shape(most, dim, hits), hits)):
+                        found[i] = own
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["rep", "label", "vector", "copies", "filters"]
             )
@@ -281,18 +289,9 @@ def cap_links(reps: DataFrame, cosine: float = COSINE, hits: int = HITS, tile: i
     ship(spark)
     # the code grows with the largest label, so that a filter stays as crowded as it is
     top = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    dims = [r.d for r in reps.select(F.size("vector").alias("d")).distinct().orderBy("d").limit(1000).collect()]
-    parts = []
-    for dim in dims:
-        blocks, size, limit = shape(top, dim, hits)
-        own = reps if len(dims) == 1 else reps.where(F.size("vector") == dim)
-        kind = reps.schema["vector"].dataType.simpleString()
-        fields = f"rep bigint, label string, vector {kind}, copies bigint, filters array<bigint>"
-        rows = own.select("rep", "label", "vector", "copies")
-        parts.append(rows.mapInArrow(_filters(blocks, size, limit, hits), fields))
-    filtered = parts[0] if parts else reps.withColumn("filters", F.array().cast("array<bigint>"))
-    for part in parts[1:]:
-        filtered = filtered.unionByName(part)
+    kind = reps.schema["vector"].dataType.simpleString()
+    fields = f"rep bigint, label string, vector {kind}, copies bigint, filters array<bigint>"
+    filtered = reps.select("rep", "label", "vector", "copies").mapInArrow(_filters(top, hits), fields)
     filtered = written(filtered.withColumn("dim", F.size("vector")), "filters")
     key = ["label", "dim", "filter"]
     entries = filtered.select("rep", "label", "dim", F.explode("filters").alias("filter"))

@@ -168,3 +168,11 @@ def test_turns_keep_angles_and_best_directions_are_found():
     # every vector has filters, in ascending order, however high the limit
     for found in filters_of(draw.normal(size=(5, 24)), 3, 12, 9.0, 3):
         assert len(found) == 3 * CODES and (np.diff(found) > 0).all()
+
+
+def test_more_than_a_thousand_lengths(spark):
+    rows = [(n, 0) for n in range(1, 1004)] + [(n, 1) for n in range(998, 1004)]
+    ids = spark.createDataFrame(rows, "label int, copy int").repartition(4)
+    table = ids.selectExpr("label * 10 + copy vec_id", "label", "transform(sequence(1, label), i -> sin(i * label) + copy * 0.001) embedding")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(table).collect()}
+    assert got == {n * 10 + c: (int(n >= 998), n * 10) for n, c in rows}
