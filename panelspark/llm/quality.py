@@ -278,7 +278,7 @@ class QualityModel:
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> QualityModel:
     """Count the vote patterns of all texts, fit the label model, and fit the scorer to the
-    posteriors of at most ``sample`` texts: those with the smallest hashes. There are no more
+    posteriors of at most ``sample`` different texts: those with the smallest hashes. There are no more
     patterns than three to the number of rules, which bounds what comes to the driver."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{text}`").alias("text"))
@@ -305,11 +305,11 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> QualityM
                     [pa.array(reading.votes()[some]), pa.array([r.tobytes() for r in rows], pa.binary()), place], ["code", "x", "h"]
                 )
 
-    # the hash range holds about twice the sample, so ranking touches few rows at any size
-    total, place = texts.count(), F.xxhash64("text")
-    share = min(1.0, 2 * sample / max(total, 1))
-    near = texts if share == 1 else texts.where(place <= F.lit(int((share - 0.5) * 2**64)))
-    rows = near.select("text", place.alias("h")).mapInArrow(examples, "code bigint, x binary, h bigint")
+    # one row per text: copies of a few texts do not fill the sample
+    place, spoken = F.xxhash64("text"), texts.where(F.col("text").rlike("[^\\x09-\\x0d ]"))
+    last = spoken.select(place.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    near = spoken.where(place <= F.lit(last).cast("bigint")).groupBy(place.alias("h")).agg(F.min("text").alias("text"))
+    rows = near.select("text", "h").mapInArrow(examples, "code bigint, x binary, h bigint")
     taken = rows.orderBy("h", "code").limit(sample).toArrow()
     raw = b"".join(taken.column("x").to_pylist())
     x = np.frombuffer(raw, np.float16).reshape(-1, 2 * SLOTS).astype(np.float32)

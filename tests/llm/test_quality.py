@@ -74,3 +74,17 @@ def test_odd_documents(odd_documents):
     assert quality(odd_documents.limit(0)).count() == 0
     scored = score(odd_documents, train(odd_documents), posterior="p", out="s")
     assert scored.columns == [*odd_documents.columns, "p", "s"] and scored.count() == len(rows)
+
+
+def test_copies_do_not_fill_the_sample(spark, documents, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from panelspark.llm import quality as module
+
+    texts = documents.select("text").where("length(text) > 50").distinct()
+    hot = texts.orderBy(F.xxhash64("text")).limit(1)
+    copies = hot.crossJoin(spark.range(300)).select("text")
+    seen = []
+    monkeypatch.setattr(module, "fit_scorer", lambda x, good: seen.append(x) or fit_scorer(x, good))
+    train(texts.unionByName(copies), sample=20)
+    assert len(seen[0]) == 20 and len(np.unique(seen[0], axis=0)) == 20
