@@ -14,7 +14,10 @@ from .language import predict_languages
 from .licences import licence_summary
 from .minhash import fingerprint_edits
 from .mixing import draw
+from .pii import personal_digest
 from .quality import quality
+from .runs import run_digests, with_planted_repeats
+from .search import search
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .warc import round_trip
@@ -24,11 +27,11 @@ ORACLE: dict[str, str] = {}
 MODEL = "piece_bpe_32k.model"
 
 
-def query(table: str, sql: str | None = None):
-    """Register a function of one whole table under its own name."""
+def query(*tables: str, sql: str | None = None):
+    """Register a function of whole tables under its own name."""
 
-    def register(build: Callable[[DataFrame], DataFrame]):
-        QUERIES[build.__name__] = lambda spark, folder: build(configure(spark).read.parquet(f"{folder}/{table}.parquet"))
+    def register(build: Callable[..., DataFrame]):
+        QUERIES[build.__name__] = lambda spark, folder: build(*[configure(spark).read.parquet(f"{folder}/{t}.parquet") for t in tables])
         if sql is not None:
             ORACLE[build.__name__] = sql
         return build
@@ -63,7 +66,7 @@ def op5_quality(docs: DataFrame) -> DataFrame:
 
 @query(
     "pages",
-    """
+    sql="""
     WITH p AS (
       SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
     d AS (
@@ -102,7 +105,7 @@ MIX_ENTROPY, MIX_EPOCHS = 0.998, 1.5
 
 @query(
     "documents",
-    f"""
+    sql=f"""
     WITH RECURSIVE t AS (
       SELECT doc_id, source, coalesce('=' || source, '') AS s,
         CASE WHEN length(text) > 0 THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END AS tok
@@ -138,3 +141,46 @@ MIX_ENTROPY, MIX_EPOCHS = 0.998, 1.5
 def op10_temperature_mix(docs: DataFrame) -> DataFrame:
     drawn = draw(docs, epochs=MIX_EPOCHS, entropy=MIX_ENTROPY, repeats=None)
     return drawn.select("doc_id", "source", "block", "order_key")
+
+
+@query("documents")
+def op11_periodic_runs(docs: DataFrame) -> DataFrame:
+    return run_digests(with_planted_repeats(docs))
+
+
+@query(
+    "documents",
+    "benchmark",
+    sql=r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+      FROM documents),
+    held AS (SELECT r, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+    whole AS (SELECT count(*)::BIGINT AS N_, sum(n)::BIGINT AS L_ FROM held),
+    tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+    w AS (SELECT term, floor(1000 * ln((2 * N_ + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, N_),
+    b AS (
+      SELECT item, item_id, term, count(*) AS times
+      FROM (
+        SELECT row_number() OVER () AS item, item_id,
+          unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark)
+      GROUP BY item, item_id, term),
+    s AS (
+      SELECT item, item_id, r, doc_id,
+        sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * N_) // L_))))::BIGINT AS score
+      FROM b JOIN tf USING (term) JOIN w USING (term) JOIN held USING (r), whole
+      GROUP BY item, item_id, r, doc_id)
+    SELECT item_id, rank::INT AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    WHERE rank <= 20
+    """,
+)
+def op12_reversed_search(docs: DataFrame, items: DataFrame) -> DataFrame:
+    return search(docs, items)
+
+
+@query("documents")
+def op13_personal_data(docs: DataFrame) -> DataFrame:
+    return personal_digest(docs)
