@@ -153,13 +153,16 @@ b AS (SELECT *, (xy * ss - sy * xs) / (xx * ss - xs * xs) AS bx, (sy * xx - xy *
 """
 
 
-@query(ABSORB_SQL + """
+ABSORB_CLUSTER_SQL = ABSORB_SQL + """
 u AS (SELECT g, sum(w * (tx - xs / ss * ts) * (ty - bx * tx - bs * ts)) / any_value(xxs) AS ub, sum(w * (ty - bx * tx - bs * ts)) / any_value(sw) AS uc FROM q, b GROUP BY g),
 v AS (SELECT count(*) / (count(*) - 1.0) AS k, sum(ub * ub) AS vb, sum((uc - xbar * ub) ** 2) AS vc FROM u, b),
 h AS (SELECT k * (n - 1.0) / (n - 1 - 1 - 1 - ((SELECT count(*) FROM m) - 1)) AS f, vb, vc, bx, ybar - xbar * bx AS cons FROM v, b)
 SELECT 'l_quantity' AS term, round(bx, 4) AS coef, round(sqrt(f * vb), 4) AS se FROM h
 UNION ALL SELECT '_cons', round(cons, 4), round(sqrt(f * vc), 4) FROM h
-""")
+"""
+
+
+@query(ABSORB_CLUSTER_SQL)
 def absorb_two_way(t):
     df = t.lineitem.withColumn("w", F.col("l_tax") + 0.5)
     fit = absorb(df, "l_extendedprice", "l_quantity", ("l_linestatus", "l_shipdate"), "w", cluster="l_linenumber")
@@ -176,23 +179,73 @@ def absorb_alternating(t):
     return _coefs(t, fit, "coef", digits=4)
 
 
+# Orders as one effect and half of the lines of 32 orders as the other: each 32 orders are a part of their own,
+# where the second effect is one dummy at most.
 @query("""
+WITH f AS (SELECT l_extendedprice AS y, l_quantity AS x, (l_linenumber > 3)::DOUBLE AS s, l_orderkey AS d, l_orderkey // 32 AS part, l_tax + 0.5 AS w FROM lineitem),
+m AS (SELECT d, sum(w * y) / sum(w) AS my, sum(w * x) / sum(w) AS mx, sum(w * s) / sum(w) AS ms FROM f GROUP BY d),
+q AS (SELECT part, w, y - my AS ty, x - mx AS tx, s - ms AS ts FROM f JOIN m USING (d)),
+z AS (SELECT part, sum(w * ts * ts) AS ss, sum(w * tx * ts) AS xs, sum(w * ty * ts) AS ys FROM q GROUP BY part),
+r AS (SELECT w, CASE WHEN ss > 1e-9 THEN tx - xs / ss * ts ELSE tx END AS rx, CASE WHEN ss > 1e-9 THEN ty - ys / ss * ts ELSE ty END AS ry FROM q JOIN z USING (part)),
+b AS (SELECT sum(w * rx * ry) / sum(w * rx * rx) AS b, sum(w * rx * rx) AS xx, sum(w * ry * ry) AS yy, count(*) AS n,
+  (SELECT count(*) FROM m) + (SELECT count(*) FROM z WHERE ss > 1e-9) AS levels FROM r),
+t AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM f)
+SELECT 'coef' AS kind, 'l_quantity' AS name, round(b, 4) AS value FROM b
+UNION ALL SELECT 'coef', '_cons', round(my - b * mx, 4) FROM b, t
+UNION ALL SELECT 'se', 'l_quantity', round(sqrt((yy - b * b * xx) / (n - 1 - levels) / xx), 4) FROM b
+UNION ALL SELECT 'stat', 'absorbed', levels - 1 FROM b
+UNION ALL SELECT 'stat', 'r2_within', round(b * b * xx / yy, 8) FROM b
+""")
+def absorb_parts(t):
+    df = t.lineitem.select(
+        "l_extendedprice", "l_quantity", "l_orderkey", (F.col("l_tax") + 0.5).alias("w"),
+        F.concat_ws("-", F.expr("l_orderkey div 32"), F.col("l_linenumber") > 3).alias("half"),
+    )
+    fit = absorb(df, "l_extendedprice", "l_quantity", ("l_orderkey", "half"), "w", max_levels=100)
+    coefs = coefficient_table(t.spark, {"m": fit})
+    stats = stat_table(t.spark, {"m": fit}).where(F.col("stat").isin("absorbed", "r2_within"))
+    rows = coefs.select(F.lit("coef").alias("kind"), F.col("term").alias("name"), F.round("coef", 4).alias("value"))
+    rows = rows.unionByName(coefs.where("term <> '_cons'").select(F.lit("se").alias("kind"), F.col("term").alias("name"), F.round("se", 4).alias("value")))
+    return rows.unionByName(stats.select(F.lit("stat").alias("kind"), F.col("stat").alias("name"), F.round("value", 8).alias("value")))
+
+
+@query(ABSORB_CLUSTER_SQL)
+def absorb_many_levels(t):
+    """Both effects as if they were too long for dummies."""
+    df = t.lineitem.withColumn("w", F.col("l_tax") + 0.5)
+    fit = absorb(df, "l_extendedprice", "l_quantity", ("l_linestatus", "l_shipdate"), "w", cluster="l_linenumber", max_levels=1)
+    return _coefs(t, fit, "coef", "se", digits=4)
+
+
+EVENT_SQL = """
 WITH p AS (SELECT user_id % 5 AS r, CAST(ts AS DATE) AS d, avg(value) AS y FROM events GROUP BY ALL),
 g AS (SELECT d, avg(y) FILTER (r > 0) - max(y) FILTER (r = 0) AS gap, d - DATE '2024-01-16' AS k FROM p GROUP BY d),
 base AS (SELECT gap AS b FROM g WHERE k = -1)
 SELECT CASE WHEN k < 0 THEN 'lead' || -k ELSE 'lag' || k END AS term, round(gap - b, 6) AS coef FROM g, base WHERE k <> -1
-""")
+"""
+
+
+@query(EVENT_SQL)
 def event_study(t):
+    return _event_study(t)
+
+
+def _event_study(t, **limits):
     daily = t.events.groupBy((F.col("user_id") % 5).alias("region"), F.to_date("ts").alias("d")).agg(
         F.avg("value").alias("y")
     )
     days = F.datediff("d", F.lit("2024-01-16").cast("date"))
     fit = fit_event_study(
-        daily, "y", "", F.when(F.col("region") > 0, days), ("region", "d"), cluster="region"
+        daily, "y", "", F.when(F.col("region") > 0, days), ("region", "d"), cluster="region", **limits
     )
     return _coefs(t, fit, "coef").where("term <> '_cons'")
 
 
+@query(EVENT_SQL)
+def event_study_many_levels(t):
+    return _event_study(t, max_levels=1)
+
+
 @query("""
 SELECT o_orderkey, o_orderpriority, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INTEGER) AS code FROM orders
 """)

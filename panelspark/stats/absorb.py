@@ -4,7 +4,8 @@ Exact route: rows collapse (in the JVM, before the shuffle) to one cell per comb
 the two effects, event time and cluster. The effect with many levels is then taken out by
 demeaning within its groups, the one with few levels stays as dummies. Only cells meet in a
 group, never rows, so a level that holds a third of all rows costs no more than any other.
-Two effects that both have very many levels are demeaned in turns until nothing changes.
+Two effects that both have very many levels are taken out by conjugate gradients over the graph
+of their cells (``effect_graph``); coefficients, errors and statistics are the same.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import wmean
 from ..operators.joins import sized_join
-from ..session import checkpointed
+from ..session import checkpointed, written
+from .effect_graph import parts, residual_effects
 from .terms import Term, expand_terms
 from .wls import CONSTANT, Fit, cluster_factor, recentred, solve, wls
 
@@ -201,6 +203,75 @@ def _score_task(layout: _Layout, coef: np.ndarray):
     return run
 
 
+def _graph_gram_task(layout: _Layout):
+    """Per task: sums of products of the regressors and y less both effects (``f``), as (i, j, v)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k, c = layout.k, layout.c
+        acc = np.zeros((k + 1, k + 1))
+        for pdf in batches:
+            for part, event, sw, m, f in _dense(layout, pdf):
+                _, mxy, mxx = layout.controls(part)
+                acc[:c, :c] += mxx.sum(axis=0)
+                acc[:c, k] += mxy.sum(axis=0)
+                acc[k, :c] += mxy.sum(axis=0)
+                acc[k, k] += part["myy"].sum()
+                on = event >= 0
+                np.add.at(acc, (event[on], event[on]), sw[on])
+                for i in [*range(c), k]:
+                    np.add.at(acc[i], event[on], m[on, i])
+                    np.add.at(acc[:, i], event[on], m[on, i])
+                both = f.T @ m
+                acc += f.T @ (f * sw[:, None]) - both - both.T
+        i, j = np.nonzero(np.triu(acc))
+        yield pd.DataFrame({"i": i, "j": j, "v": acc[i, j]})
+
+    return run
+
+
+def _graph_score_task(layout: _Layout, coef: np.ndarray):
+    """Per task: cluster scores of the regressors less both effects, and of the constant, as (cluster, i, v)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k, c = layout.k, layout.c
+        padded = np.append(coef, 0.0)  # position -1: no dummy
+        for pdf in batches:
+            for part, event, sw, m, f in _dense(layout, pdf):
+                mx, mxy, mxx = layout.controls(part)
+                # what every row of a cell has besides its own y and controls
+                shift = f[:, k] - f[:, :k] @ coef + padded[event]
+                total = m[:, k] - mx @ coef[:c] - sw * shift
+                score = np.zeros((len(part), k + 1))
+                score[:, :c] = mxy - mxx @ coef[:c] - mx * shift[:, None]
+                on = event >= 0
+                score[on, event[on]] = total[on]
+                score[:, :k] -= f[:, :k] * total[:, None]
+                score[:, k] = total
+                names, g = np.unique(part["_g"].to_numpy(), return_inverse=True)
+                sums = np.zeros((len(names), k + 1))
+                np.add.at(sums, g, score)
+                i, j = np.nonzero(sums)
+                yield pd.DataFrame({"g": names[i], "i": j, "v": sums[i, j]})
+
+    return run
+
+
+def _dense(layout: _Layout, pdf: pd.DataFrame) -> Iterator[tuple]:
+    """Blocks of cells: event positions, weights, weighted sums and effects of every regressor and y."""
+    k, c = layout.k, layout.c
+    step = max(1, BLOCK // (k + 1))
+    for low in range(0, len(pdf), step):
+        part = pdf.iloc[low : low + step]
+        event = part["_event"].map(layout.events).fillna(-1).to_numpy().astype(int)
+        sw = part["sw"].to_numpy(float)
+        m = np.zeros((len(part), k + 1))
+        m[:, :c] = layout.controls(part)[0]
+        on = event >= 0
+        m[on, event[on]] = sw[on]
+        m[:, k] = part["my"].to_numpy(float)
+        yield part, event, sw, m, np.stack(part["f"].to_numpy())
+
+
 def _score_products(scores: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Sum over clusters of score x score', added up in the tasks; and the number of clusters."""
 
@@ -251,7 +322,12 @@ def absorb(
 
     The constant is the weighted mean of y less the fitted part. ``event`` adds one dummy per
     distinct value but ``base`` (named lead1 ... / lag0 ...); rows without a value have none.
-    An effect whose levels lie within clusters costs no degrees of freedom.
+    An effect whose levels lie within clusters costs no degrees of freedom. A regressor that the
+    effects explain entirely is left out. Effects that fall into parts without a common level have
+    one more redundant level per part.
+
+    An effect of at most ``max_levels`` levels is made of dummies; otherwise both are taken out by
+    conjugate gradients. The results are the same.
     """
     terms = expand_terms(formula) if isinstance(formula, str) else list(formula)
     # the data are read once; everything after works on the cells
@@ -264,24 +340,38 @@ def absorb(
         F.sum("my").alias("my"),
         F.sum("myy").alias("myy"),
         *[F.sum(f"mx{i}").alias(f"mx{i}") for i in range(len(terms))],
+        *[F.sum(f"mxx{i}_{i}").alias(f"mxx{i}") for i in range(len(terms))],
     ).first()
     n, sw = whole["n"], whole["sw"]
     if whole["first"] < whole["second"]:
         cells = cells.withColumns({"_big": F.col("_small"), "_small": F.col("_big")})
     try:
-        small_levels = few_levels(cells, "_small", max_levels)
+        small_levels = list(few_levels(cells, "_small", max_levels))
+        dummies = True
     except TooManyLevels:
-        if event:
-            raise
-        return absorb_in_turns(df, y, terms, fes, w, cluster)
-    shares = few_levels(cells, "_event", max_levels) if event else {}
+        small_levels, dummies = [], False
+    shares = few_levels(cells, "_event", MAX_LEVELS) if event else {}
     events = [v for v in shares if v != base]
-    by_group = cells.repartition("_big").sortWithinPartitions("_big")
-    layout = _Layout(len(terms), events, list(small_levels))
-    k = layout.k
-    upper = _matrix(by_group.mapInPandas(_gram_task(layout), "i int, j int, v double"), (k + 1, k + 1))
+    layout = _Layout(len(terms), events, small_levels)
+    k, m_all = layout.k, len(terms) + len(events)
+    if dummies:
+        by_group = cells.repartition("_big").sortWithinPartitions("_big")
+        upper = _matrix(by_group.mapInPandas(_gram_task(layout), "i int, j int, v double"), (k + 1, k + 1))
+    else:
+        sums_of = [F.col(f"mx{i}") for i in range(len(terms))]
+        sums_of += [F.when(F.col("_event") == v, F.col("sw")).otherwise(0.0) for v in events]
+        by_group = written(residual_effects(cells, [*sums_of, F.col("my")]), "effects")
+        upper = _matrix(by_group.mapInPandas(_graph_gram_task(layout), "i int, j int, v double"), (k + 1, k + 1))
     sums = (upper + upper.T - np.diag(np.diag(upper))) * (n / sw)
-    coef, inverse, kept = solve(sums[:k, :k], sums[:k, k])
+    # what is left of a regressor that the effects explain is rounding
+    raw = [whole[f"mxx{i}"] - whole[f"mx{i}"] ** 2 / sw for i in range(len(terms))]
+    raw += [shares[v] - shares[v] ** 2 / sw for v in events]
+    gone = np.flatnonzero(np.diag(sums)[:m_all] <= 1e-12 * (n / sw) * np.array(raw))
+    sums[gone] = sums[:, gone] = 0.0
+    # the effects first: what they explain is left out, not one of their levels
+    turn = [*range(m_all, k), *range(m_all)]
+    coef, inverse, kept = (np.empty(k), np.zeros((k, k)), np.zeros(k, bool))
+    coef[turn], inverse[np.ix_(turn, turn)], kept[turn] = solve(sums[np.ix_(turn, turn)], sums[turn, k])
     used = np.where(kept, coef, 0.0)
     rhs, yy = sums[:k, k], sums[k, k]
     rss = max(float(yy - 2 * used @ rhs + used @ sums[:k, :k] @ used), 0.0)
@@ -297,7 +387,10 @@ def absorb(
 
     names = [t.name for t in terms] + [event_name(v) for v in events] + [CONSTANT]
     m = int(kept[visible].sum())
-    small_dof = int(kept[len(visible):].sum())
+    if dummies:
+        small_dof = int(kept[len(visible):].sum())
+    else:
+        small_dof = cells.select("_small").distinct().count() - parts(cells)
     bigs, big_nested = _levels_in_clusters(cells, "_big")
     small_nested = bool(cluster) and _levels_in_clusters(cells, "_small")[1]
     absorbed = (0 if small_nested else small_dof) + (0 if cluster and big_nested else bigs - 1)
@@ -318,10 +411,14 @@ def absorb(
     if fe:
         fe_coef, _, _ = solve(sums[np.ix_(fe, fe)], rhs[fe])
         left = yy - np.nansum(fe_coef * rhs[fe])
+    else:
+        left = yy
+    if fe or not dummies:
         stats["r2_within"] = 1 - rss / left if left > 0 else math.nan
     if cluster:
         kind = cells.schema["_g"].dataType.simpleString()
-        scores = by_group.mapInPandas(_score_task(layout, used), f"g {kind}, i int, v double")
+        task = _score_task(layout, used) if dummies else _graph_score_task(layout, used)
+        scores = by_group.mapInPandas(task, f"g {kind}, i int, v double")
         meat, clusters = _score_products(scores, k + 1)
         stats["clusters"] = clusters
         if clusters < 2:
@@ -391,12 +488,12 @@ def absorb_in_turns(
     cluster: str | None = None,
     tolerance: float = 1e-10,
 ) -> Fit:
-    """The same model by alternating projections, for effects too numerous to be dummies.
+    """The same model by alternating projections, for any number of effects.
 
-    Degrees of freedom and statistics are those of the other route: every level of the effects
-    but one each, none for an effect whose levels lie within clusters. Effects
-    that fall into parts without a common level have one more redundant level per
-    part, which only the other route sees.
+    Degrees of freedom and statistics are those of ``absorb``: every level of the effects
+    but one each, none for an effect whose levels lie within clusters. Two effects that fall into
+    parts without a common level have one more redundant level per part; among more than two
+    effects such levels are not looked for.
     """
     terms = expand_terms(formula) if isinstance(formula, str) else list(formula)
     cols = ["_y", *[f"_x{i}" for i in range(len(terms))]]
@@ -420,10 +517,13 @@ def absorb_in_turns(
     n, m = fit.stats["n"], fit._rank - 1
     tss *= n / raw["_sw"]
     rss = fit.stats["rmse"] ** 2 * (n - m - 1)
-    every = sum(raw[f"_n_{f}"] - 1 for f in fes)
+    costs = {f: raw[f"_n_{f}"] - 1 for f in fes}
+    if len(fes) == 2:
+        costs[min(fes, key=costs.__getitem__)] -= parts(rows.select(*[F.col(f).alias(c) for f, c in zip(fes, ("_big", "_small"))])) - 1
+    every = sum(costs.values())
     absorbed = every
     if cluster:
-        absorbed = sum(raw[f"_n_{f}"] - 1 for f in fes if not _levels_in_clusters(rows, f)[1])
+        absorbed = sum(costs[f] for f in fes if not _levels_in_clusters(rows, f)[1])
     full_dof = n - m - 1 - every
     slopes = fit.coef[:-1]
     fit.names = [t.name for t in terms] + [CONSTANT]

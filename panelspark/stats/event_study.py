@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .absorb import absorb
+from .absorb import MAX_LEVELS, absorb
 from .wls import Fit, joint_test
 
 
@@ -18,6 +18,7 @@ def event_study(
     w: str | None = None,
     cluster: str | None = None,
     base: int = -1,
+    max_levels: int = MAX_LEVELS,
 ) -> Fit:
     """Two-way fixed effects with a dummy per value of ``event`` (NULL for rows never treated).
 
@@ -25,7 +26,7 @@ def event_study(
     """
     if not isinstance(event, str):
         df, event = df.withColumn("_time", event.cast("int")), "_time"
-    fit = absorb(df, y, controls, fes, w, cluster, event=event, base=base)
+    fit = absorb(df, y, controls, fes, w, cluster, event=event, base=base, max_levels=max_levels)
     for kind in ("lead", "lag"):
         names = [n for n in fit.names if n.startswith(kind) and n[len(kind):].isdigit()]
         if names:

@@ -76,15 +76,13 @@ def solve(gram: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     kept = np.zeros(k, dtype=bool)
     safe = np.where(scale > 0, scale, 1.0)
     scaled = gram / np.outer(safe, safe)
+    # Cholesky in the order given; what is left of a diagonal is the share the regressors before leave unexplained
+    lower = np.zeros((k, k))
     for j in range(k):
-        if scale[j] == 0:
-            continue
-        before = np.flatnonzero(kept)
-        left = 1.0
-        if len(before):
-            cross = scaled[before, j]
-            left = 1.0 - cross @ np.linalg.solve(scaled[np.ix_(before, before)], cross)
-        kept[j] = left > 1e-11
+        column = scaled[j:, j] - lower[j:, :j] @ lower[j, :j]
+        if scale[j] > 0 and column[0] > 1e-11:
+            kept[j] = True
+            lower[j:, j] = column / math.sqrt(column[0])
     use = np.flatnonzero(kept)
     inverse = np.zeros((k, k))
     inverse[np.ix_(use, use)] = np.linalg.inv(scaled[np.ix_(use, use)]) / np.outer(safe[use], safe[use])

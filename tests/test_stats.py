@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.stats import distributions as dist
 from panelspark.stats import tables
 from panelspark.stats.absorb import absorb, absorb_in_turns
+from panelspark.stats.effect_graph import parts
 from panelspark.stats.event_study import event_study
 from panelspark.stats.terms import expand_terms
 from panelspark.stats.wls import coefficient_table, joint_test, stat_table, wls
@@ -250,3 +251,66 @@ def test_regressors_far_from_zero_keep_the_constant(spark):
     slope, constant = np.polyfit(x - 1e7, y, 1)
     assert fit.coef[0] == pytest.approx(slope, rel=1e-9)
     assert fit.coef[1] == pytest.approx(constant - slope * 1e7, rel=1e-9)
+
+
+def in_parts(n=1600, parts=4, levels=48, seed=21):
+    """Two effects that fall into parts, with controls, event time and weights."""
+    rng = np.random.default_rng(seed)
+    part = rng.integers(0, parts, n)
+    each = levels // parts
+    a, b = part * each + rng.integers(0, each, n), part * each + rng.integers(0, each, n)
+    pdf = pd.DataFrame({"a": a, "b": b, "x": rng.normal(size=n) + a / 9, "z": rng.normal(size=n) - b / 7, "w": rng.uniform(0.5, 2, n), "g": a % 13, "h": np.arange(n) % 17})
+    pdf["time"] = np.where(rng.random(n) < 0.5, rng.integers(-2, 3, n), np.nan)
+    pdf["y"] = 2 * pdf.x - pdf.z + a / 3 - b / 5 + pdf.time.fillna(0) + rng.normal(size=n)
+    return pdf
+
+
+@pytest.mark.parametrize("event,cluster", [(False, None), (True, "g"), (True, "h")])
+def test_graph_route_equals_explicit_dummies_on_effects_in_parts(spark, event, cluster):
+    pdf = in_parts()
+    df = spark.createDataFrame(pdf).withColumn("t", F.when(~F.isnan("time"), F.col("time")).cast("int"))
+    fits = [absorb(df, "y", "x + z", ("a", "b"), "w", cluster, event="t" if event else None, max_levels=m) for m in (2000, 5)]
+    times = [-2, 0, 1, 2] if event else []
+    shown = np.column_stack([pdf.x, pdf.z, *[(pdf.time == t).to_numpy(float) for t in times]])
+    whole = np.column_stack([shown, dummies(pdf.a, False), dummies(pdf.b, False)])
+    w = pdf.w.to_numpy() * len(pdf) / pdf.w.sum()
+    inverse = np.linalg.pinv(whole.T @ (whole * w[:, None]))
+    coef = inverse @ whole.T @ (w * pdf.y.to_numpy())
+    e = pdf.y.to_numpy() - whole @ coef
+    k, rank, n = shown.shape[1], np.linalg.matrix_rank(whole), len(pdf)
+    absorbed = rank - k - 1
+    if cluster == "g":  # every level of a lies in one
+        absorbed -= pdf.a.nunique() - 1
+    if cluster:
+        score = pd.DataFrame(whole * (w * e)[:, None]).groupby(pdf[cluster]).sum().to_numpy()
+        groups = len(score)
+        cov = groups / (groups - 1) * (n - 1) / (n - k - 1 - absorbed) * inverse @ score.T @ score @ inverse
+    else:
+        cov = inverse * (w * e * e).sum() / (n - rank)
+    for fit in fits:
+        np.testing.assert_allclose(fit.coef[:k], coef[:k], rtol=1e-8)
+        np.testing.assert_allclose(fit.se[:k], np.sqrt(np.diag(cov))[:k], rtol=1e-7)
+        assert fit.stats["absorbed"] == absorbed
+    one, other = fits
+    assert one.names == other.names and one.df_resid == other.df_resid and set(one.stats) == set(other.stats)
+    np.testing.assert_allclose(other.cov, one.cov, rtol=1e-6, atol=1e-12)
+    for name, value in one.stats.items():
+        np.testing.assert_allclose(other.stats[name], value, rtol=1e-8, err_msg=name)
+
+
+def test_parts_of_chains_stars_and_pairs(spark):
+    chain = [(i // 2, (i + 1) // 2) for i in range(200)]
+    star = [(1000, 1000 + i) for i in range(50)]
+    pairs = [(2000 + i, 2000 + i) for i in range(7)]
+    assert parts(spark.createDataFrame(chain + star + pairs + star, "_big int, _small int")) == 9
+    assert parts(spark.createDataFrame([], "_big int, _small int")) == 0
+
+
+def test_a_regressor_the_effects_explain_is_left_out_on_both_routes(spark):
+    pdf = in_parts(600).assign(u=lambda d: d.a * 2.0 + d.b, g=1)
+    df = spark.createDataFrame(pdf)
+    for limit in (2000, 5):
+        fit = absorb(df, "y", "x + u", ("a", "b"), "w", max_levels=limit)
+        assert math.isnan(fit.coef[1]) and fit.stats["df_m"] == 1
+        plain = absorb(df, "y", "x", ("a", "b"), "w", max_levels=limit)
+        assert fit.coef[0] == pytest.approx(plain.coef[0], rel=1e-9) and fit.se[0] == pytest.approx(plain.se[0], rel=1e-9)
