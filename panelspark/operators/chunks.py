@@ -1,14 +1,18 @@
 """Neighbour look-ups, fills and running sums that never put one key into one task.
 
 A plain window ``partitionBy(key)`` hands all rows of a key to a single task. Here a long
-table is cut along its order column into chunks of a bounded row count, windows run per
-(key, chunk), and what has to cross a cut travels as *boundary rows*: one extra row per
-(key, chunk), computed from a partial aggregate, placed before or after the chunk's own rows
-and dropped again afterwards. A table below the bound takes the plain window.
+table is cut into chunks of a bounded row count, windows run per (key, chunk), and what has to
+cross a cut travels as *boundary rows*: one extra row per (key, chunk), computed from a partial
+aggregate, placed before or after the chunk's own rows and dropped again afterwards. A table
+below the bound takes the plain window.
+
+Cuts follow the whole order, a hash of the row behind it, nulls first: rows without a value and rows
+of one value are cut like all others; only rows equal in every column cannot be told apart.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -16,9 +20,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows a chunk is meant to have, and the most chunks a search looks through.
+from ..session import written
+
+# Rows a chunk is meant to have, and rows looked at to place one border.
 ROWS_PER_CHUNK = 4_000_000
-CHUNKS = 4096
+SEEN_PER_CHUNK = 128
+# Settles the order of rows whose order columns are equal.
+TIE = "_tie"
 
 
 @dataclass(frozen=True)
@@ -35,20 +43,31 @@ class Carry:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Chunk borders along one column, each chunk from its border up to the next one."""
+    """Chunk borders, one sorted array of places in the order: as many entries as chunks, whatever the rows."""
 
-    borders: tuple[float, ...]
+    order: tuple[str, ...]
+    borders: DataFrame
+    count: int
 
-    def chunk(self, position: Column) -> Column:
-        """Number of the chunk, found by halving; rows without a position sort first (-1)."""
+    def numbered(self, df: DataFrame, out: str = "_chunk") -> DataFrame:
+        """Add the number of borders at or in front of each row, found by halving, one projection a step.
 
-        def search(low: int, high: int) -> Column:
-            if low == high:
-                return F.lit(low).cast("bigint")
-            middle = (low + high) // 2
-            return F.when(position < F.lit(self.borders[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+        ``df`` needs ``TIE``.
+        """
+        borders, place, found = self.borders.scalar(), _place(self.order), F.col(out)
+        df = df.withColumn(out, F.lit(0))
+        for bit in reversed(range(self.count.bit_length())):
+            step = 1 << bit
+            passed = (found + step <= self.count) & (F.get(borders, found + (step - 1)) <= place)
+            df = df.withColumn(out, F.when(passed, found + step).otherwise(found))
+        return df
 
-        return F.when(position.isNull(), F.lit(-1).cast("bigint")).otherwise(search(0, len(self.borders)))
+
+def with_tie(df: DataFrame) -> DataFrame:
+    """Add a hash of the row; maps and variants have none, columns of this module are copies of others."""
+    own = {"_peek", "_seen", "_knot", "_edge"}
+    hashed = [f.name for f in df.schema.fields if f.name not in own and not re.search(r"\b(map|variant)\b", f.dataType.simpleString())]
+    return df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in hashed]) if hashed else F.lit(0).cast("bigint"))
 
 
 def position(df: DataFrame, column: str) -> Column:
@@ -69,23 +88,26 @@ def position(df: DataFrame, column: str) -> Column:
     raise TypeError(f"{column} must be a number, text, date or timestamp to be cut into chunks")
 
 
-def plan_cuts(df: DataFrame, column: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Cuts | None:
-    """Choose chunk borders from a row count and, for a long table, the quantiles of the column.
+def plan_cuts(df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> Cuts | None:
+    """Choose chunk borders from a row count and, for a long table, a sorted sample of its order.
 
-    Only the order column is read. None means the table is short enough for a plain window.
-    Quantiles put as many rows on either side of a border however skewed the values are; only
-    rows of one value cannot be told apart and stay together.
+    None means the table is short enough for a plain window. Every so many rows of the sample one is a border,
+    and the first of each sorted partition, so chunks may be smaller than asked for but hardly larger.
     """
-    pos = position(df, column)
     total = df.count()
     if total <= rows_per_chunk:
         return None
-    parts = min(CHUNKS, -(-total * 5 // (rows_per_chunk * 4)))
-    found = df.select(pos.alias("_pos")).where("_pos is not null and not isnan(_pos)").approxQuantile(
-        "_pos", [i / parts for i in range(1, parts)], 0.1 / parts
-    )
-    borders = tuple(sorted(set(found)))
-    return Cuts(borders) if borders else None
+    parts = -(-total * 5 // (rows_per_chunk * 4))
+    share = SEEN_PER_CHUNK * parts / total
+    seen = with_tie(df).select(_place(order).alias("at"))
+    seen = seen.sample(share, 1) if share < 1 else seen
+    step = SEEN_PER_CHUNK if share < 1 else max(1, total // parts)
+    # the lower 33 bits count the rows of a partition
+    numbered = seen.orderBy("at").withColumn("n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    every = numbered.where(F.col("n") % step == 0).agg(F.sort_array(F.collect_set("at")).alias("borders"))
+    borders = written(every, "borders")
+    count = borders.select(F.size("borders")).first()[0]
+    return Cuts(tuple(order), borders, count) if count > 0 else None
 
 
 def over_chunks(
@@ -102,39 +124,46 @@ def over_chunks(
 
     ``before`` / ``after`` say what the boundary row ahead of / behind a chunk carries.
     ``sized_by`` is a cheaper table with at least as many rows as ``df``, such as the input it
-    was made from: counted first, and cut instead of ``df`` if it has the order column.
+    was made from: counted first, and cut instead of ``df`` if it has the order columns. Rows of
+    equal order follow each other by a hash of all their columns.
     """
     keys, order = list(keys), list(order)
     position(df, order[0])  # an order column that cannot be cut is refused at any size
     if sized_by is not None and sized_by.count() <= rows_per_chunk:
         cuts = None
     else:
-        known = sized_by if sized_by is not None and order[0] in sized_by.columns else df
-        cuts = plan_cuts(known, order[0], rows_per_chunk)
+        known = sized_by if sized_by is not None and set(order) <= set(sized_by.columns) else df
+        cuts = plan_cuts(known, order, rows_per_chunk)
+    detail = with_tie(df)
     if cuts is None:
-        plain = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns(compute(plain))
+        plain = Window.partitionBy(*keys).orderBy(*order, TIE)
+        return detail.withColumns(compute(plain)).drop(TIE)
 
-    detail = df.withColumn("_chunk", cuts.chunk(position(df, order[0])))
+    detail = cuts.numbered(detail)
     rows = detail.withColumn("_edge", F.lit(0))
-    per_key = Window.partitionBy(*keys).orderBy("_chunk")
-    for edge, carries, others in (
-        (-1, before, per_key.rowsBetween(Window.unboundedPreceding, -1)),
-        (1, after, per_key.rowsBetween(1, Window.unboundedFollowing)),
-    ):
-        if not carries:
-            continue
-        summary = detail.groupBy(*keys, "_chunk").agg(*[c.summary.alias(f"_s_{n}") for n, c in carries.items()])
-        boundary = summary.select(
-            *keys,
-            "_chunk",
-            F.lit(edge).alias("_edge"),
-            *[c.over(f"_s_{n}", others).alias(n) for n, c in carries.items()],
-        )
+    before, after = before or {}, after or {}
+    if before or after:
+        # one reading of the rows gives what crosses the cuts in either direction
+        summaries = {f"_b_{n}": c.summary for n, c in before.items()} | {f"_a_{n}": c.summary for n, c in after.items()}
+        summary = detail.groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in summaries.items()])
+        per_key = Window.partitionBy(*keys).orderBy("_chunk")
+        ahead, behind = per_key.rowsBetween(Window.unboundedPreceding, -1), per_key.rowsBetween(1, Window.unboundedFollowing)
+        crossing = {f"_b_{n}": c.over(f"_b_{n}", ahead) for n, c in before.items()}
+        crossing |= {f"_a_{n}": c.over(f"_a_{n}", behind) for n, c in after.items()}
+        crossing = summary.select(*keys, "_chunk", *[c.alias(n) for n, c in crossing.items()])
+        edges = [e for e, carries in ((-1, before), (1, after)) if carries]
+        crossing = crossing.withColumn("_edge", F.explode(F.array(*[F.lit(e) for e in edges])))
+
+        def carried(name: str) -> Column:
+            one = F.when(F.col("_edge") == -1, F.col(f"_b_{name}")) if name in before else None
+            two = F.when(F.col("_edge") == 1, F.col(f"_a_{name}")) if name in after else None
+            return two if one is None else one if two is None else F.coalesce(one, two)
+
+        boundary = crossing.select(*keys, "_chunk", "_edge", *[carried(n).alias(n) for n in {**before, **after}])
         rows = rows.unionByName(boundary, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("_edge", *order)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_edge", *order, TIE)
     done = rows.withColumns(compute(inside)).where(F.col("_edge") == 0)
-    return done.drop("_chunk", "_edge")
+    return done.drop("_chunk", "_edge", TIE)
 
 
 def _nearest_first(name: str, others: WindowSpec) -> Column:
@@ -149,8 +178,8 @@ def _sum_of(name: str, others: WindowSpec) -> Column:
     return F.sum(name).over(others)
 
 
-def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in order])
+def _place(order: Sequence[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in order], F.col(TIE))
 
 
 def next_value(
@@ -160,7 +189,7 @@ def next_value(
     ins = list(columns.values())
     packed = df.withColumn("_peek", F.struct(*[F.col(f"`{c}`") for c in ins]))
     # a chunk's first row, whatever its values, is the successor of the previous chunk's last row
-    carry = Carry(F.min_by("_peek", _order_struct(order)), _nearest_first)
+    carry = Carry(F.min_by("_peek", _place(order)), _nearest_first)
     done = over_chunks(packed, keys, order, lambda w: {"_next": F.lead("_peek").over(w)}, after={"_peek": carry}, **sizing)
     return done.withColumns({out: F.col(f"_next.`{c}`") for out, c in columns.items()}).drop("_peek", "_next")
 
@@ -171,7 +200,7 @@ def previous_value(
     """Mirror image of :func:`next_value`."""
     ins = list(columns.values())
     packed = df.withColumn("_peek", F.struct(*[F.col(f"`{c}`") for c in ins]))
-    carry = Carry(F.max_by("_peek", _order_struct(order)), _nearest_last)
+    carry = Carry(F.max_by("_peek", _place(order)), _nearest_last)
     done = over_chunks(packed, keys, order, lambda w: {"_prev": F.lag("_peek").over(w)}, before={"_peek": carry}, **sizing)
     return done.withColumns({out: F.col(f"_prev.`{c}`") for out, c in columns.items()}).drop("_peek", "_prev")
 
@@ -189,7 +218,7 @@ def carry_forward(
     Results are named ``column + suffix``; an empty suffix replaces the columns.
     """
     packed = df.withColumn("_seen", _present(columns))
-    set_only = F.when(F.col("_seen").isNotNull(), _order_struct(order))
+    set_only = F.when(F.col("_seen").isNotNull(), _place(order))
     carry = Carry(F.max_by("_seen", set_only), _nearest_last)
 
     def compute(w: WindowSpec) -> dict[str, Column]:
@@ -204,7 +233,7 @@ def carry_backward(
 ) -> DataFrame:
     """Fill up: mirror image of :func:`carry_forward`."""
     packed = df.withColumn("_seen", _present(columns))
-    set_only = F.when(F.col("_seen").isNotNull(), _order_struct(order))
+    set_only = F.when(F.col("_seen").isNotNull(), _place(order))
     carry = Carry(F.min_by("_seen", set_only), _nearest_first)
 
     def compute(w: WindowSpec) -> dict[str, Column]:
@@ -226,7 +255,7 @@ def interpolate_linear(
         raise ValueError(f"ends must be 'hold' or 'null', not {ends!r}")
     out = out or value
     packed = df.withColumn("_pos", position(df, t)).withColumn("_knot", _present([value, "_pos"]))
-    set_only = F.when(F.col("_knot").isNotNull(), F.col("_pos"))
+    set_only = F.when(F.col("_knot").isNotNull(), _place([t]))
 
     def compute(w: WindowSpec) -> dict[str, Column]:
         return {
@@ -259,11 +288,23 @@ def rolling_mean_fill(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str | None = None, **sizing
 ) -> DataFrame:
     """Replace a missing value by the mean of the rows before and after it that have one."""
-    both = next_value(df, keys, order, {"_nx": value}, **sizing)
-    both = previous_value(both, keys, order, {"_pv": value}, **{**sizing, "sized_by": sizing.get("sized_by") or df})
-    pv, nx = F.col("_pv").cast("double"), F.col("_nx").cast("double")
+    packed = df.withColumn("_peek", F.struct(F.col(f"`{value}`").cast("double").alias("v")))
+
+    def compute(w: WindowSpec) -> dict[str, Column]:
+        return {"_prev": F.lag("_peek").over(w), "_next": F.lead("_peek").over(w)}
+
+    done = over_chunks(
+        packed,
+        keys,
+        order,
+        compute,
+        before={"_peek": Carry(F.max_by("_peek", _place(order)), _nearest_last)},
+        after={"_peek": Carry(F.min_by("_peek", _place(order)), _nearest_first)},
+        **sizing,
+    )
+    pv, nx = F.col("_prev.v"), F.col("_next.v")
     mean = F.when(pv.isNotNull() & nx.isNotNull(), (pv + nx) / 2).otherwise(F.coalesce(pv, nx))
-    return both.withColumn(out or value, F.coalesce(F.col(f"`{value}`").cast("double"), mean)).drop("_nx", "_pv")
+    return done.withColumn(out or value, F.coalesce(F.col(f"`{value}`").cast("double"), mean)).drop("_peek", "_prev", "_next")
 
 
 def running_sum(

@@ -24,12 +24,8 @@ TYPE_OVERRIDES = {
 }
 
 
-def _whole_number(digits: int) -> T.DataType:
-    """The smallest signed integer that holds every number of that many digits."""
-    for bits, dtype in ((8, T.ByteType()), (16, T.ShortType()), (32, T.IntegerType())):
-        if 2 ** (bits - 1) > 10**digits:
-            return dtype
-    return T.LongType()
+# Decimal digits that always fit, by type; longer numbers are bigint.
+WHOLE_NUMBERS = {T.ByteType(): 2, T.ShortType(): 4, T.IntegerType(): 9}
 
 
 def source_type_to_spark(source_type: str, decimals: bool = False) -> T.DataType:
@@ -47,7 +43,7 @@ def source_type_to_spark(source_type: str, decimals: bool = False) -> T.DataType
     if number:
         digits, scale = int(number[1]), int(number[2] or 0)
         if scale == 0:
-            return _whole_number(digits)
+            return next((kind for kind, fits in WHOLE_NUMBERS.items() if digits <= fits), T.LongType())
         return T.DecimalType(min(digits, 38), min(scale, digits, 38)) if decimals else T.DoubleType()
     raise ValueError(f"no Spark type for {source_type!r}")
 
@@ -57,15 +53,14 @@ def spark_type_column(source_type: str) -> Column:
     name = F.upper(F.trim(F.col(source_type)))
     digits = F.regexp_extract(name, r"^NUMBER\s*\(\s*(\d+)", 1).try_cast("int")
     scale = F.coalesce(F.regexp_extract(name, r",\s*(\d+)\s*\)$", 1).try_cast("int"), F.lit(0))
-    return (
+    found = (
         F.when(name.rlike(r"^(VARCHAR2?|CHAR)\s*\(\d+\)$"), F.lit("string"))
         .when((name == "DATE") | name.rlike(r"^TIMESTAMP\s*\(\d\)$"), F.lit("timestamp_ntz"))
         .when(digits.isNotNull() & (scale > 0), F.lit("double"))
-        .when(digits <= 2, F.lit("tinyint"))
-        .when(digits <= 4, F.lit("smallint"))
-        .when(digits <= 9, F.lit("int"))
-        .when(digits.isNotNull(), F.lit("bigint"))
     )
+    for kind, fits in WHOLE_NUMBERS.items():
+        found = found.when(digits <= fits, F.lit(kind.simpleString()))
+    return found.when(digits.isNotNull(), F.lit("bigint"))
 
 
 def borrow_types(catalogue: DataFrame, wanted: DataFrame) -> DataFrame:

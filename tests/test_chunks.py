@@ -95,19 +95,19 @@ def test_hot_key_is_split(spark):
         # half of the rows crowd into one hundredth of the time span
         F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") * 100).alias("t"),
     )
-    cuts = chunks.plan_cuts(df, "t", rows_per_chunk=500)
-    sizes = df.groupBy("k", cuts.chunk(chunks.position(df, "t")).alias("c")).count()
+    cuts = chunks.plan_cuts(df, ["t"], rows_per_chunk=500)
+    sizes = cuts.numbered(chunks.with_tie(df), "c").groupBy("k", "c").count()
     assert sizes.agg(F.max("count")).first()[0] <= 600
 
 
 def test_short_table_takes_plain_window(spark):
-    assert chunks.plan_cuts(spark.range(10), "id") is None
+    assert chunks.plan_cuts(spark.range(10), ["id"]) is None
 
 
 def test_one_outlier_does_not_crowd_a_chunk(spark):
     df = spark.range(20_000).select(F.when(F.col("id") == 0, F.lit(1e15)).otherwise(F.col("id") / 1000).alias("t"))
-    cuts = chunks.plan_cuts(df, "t", rows_per_chunk=500)
-    sizes = df.groupBy(cuts.chunk(chunks.position(df, "t")).alias("c")).count()
+    cuts = chunks.plan_cuts(df, ["t"], rows_per_chunk=500)
+    sizes = cuts.numbered(chunks.with_tie(df), "c").groupBy("c").count()
     assert sizes.agg(F.max("count")).first()[0] <= 600
 
 
@@ -124,3 +124,46 @@ def test_an_order_that_cannot_be_cut_is_refused_at_any_size(spark, rows_per_chun
     df = spark.range(10).select("id", F.array("id").alias("a"))
     with pytest.raises(TypeError, match="must be a number"):
         chunks.number_rows(df, [], ["a"], "n", rows_per_chunk=rows_per_chunk)
+
+
+def crowded(share_null, share_tied, n=6000):
+    rng = np.random.default_rng(9)
+    draw = rng.random(n)
+    t = np.where(draw < share_null, np.nan, np.where(draw < share_null + share_tied, 500.0, rng.integers(0, 1000, n)))
+    pdf = pd.DataFrame({"k": rng.choice(["hot", "a"], n, p=[0.95, 0.05]), "t": t, "i": np.arange(n)})
+    pdf["v"] = np.where(rng.random(n) < 0.5, np.nan, rng.integers(0, 100, n).astype(float))
+    return pdf
+
+
+@pytest.mark.parametrize("null,tied,order", [(0.9, 0.0, ["t"]), (0.0, 0.9, ["t", "i"]), (0.5, 0.4, ["t"])])
+def test_nulls_and_ties_are_cut_like_all_others(spark, null, tied, order):
+    df = spark.createDataFrame(crowded(null, tied)).withColumn("t", F.when(~F.isnan("t"), F.col("t")))
+    cuts = chunks.plan_cuts(df, order, rows_per_chunk=300)
+    sizes = cuts.numbered(chunks.with_tie(df), "c").groupBy("c").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert sizes[0] <= 600 and sizes[1] < 100
+
+
+@pytest.mark.parametrize("null,tied,keys", [(0.9, 0.0, ["k"]), (0.0, 0.9, [])])
+def test_crowded_orders_equal_pandas(spark, null, tied, keys):
+    pdf = crowded(null, tied, 3000)
+    df = spark.createDataFrame(pdf).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("t", "v")})
+    order, sizing = ["t", "i"], {"rows_per_chunk": 200}
+    done = {
+        "nx": chunks.next_value(df, keys, order, {"nx": "i"}, **sizing),
+        "pv": chunks.previous_value(df, keys, order, {"pv": "i"}, **sizing),
+        "sum": chunks.running_sum(df, keys, order, {"sum": "i"}, **sizing),
+        "v_last": chunks.carry_forward(df, keys, order, ["v"], **sizing),
+        "v_next": chunks.carry_backward(df, keys, order, ["v"], **sizing),
+        "mean": chunks.rolling_mean_fill(df, keys, order, "v", "mean", **sizing),
+        "n": chunks.number_rows(df, keys, order, "n", **sizing),
+    }
+    parts = []
+    for _, g in pdf.groupby("k") if keys else [(None, pdf)]:
+        g = g.sort_values(order, na_position="first")
+        mean = g.v.fillna(pd.concat([g.v.shift(1), g.v.shift(-1)], axis=1).mean(axis=1))
+        parts.append(pd.DataFrame({"nx": g.i.shift(-1), "pv": g.i.shift(1), "sum": g.i.cumsum(), "v_last": g.v.ffill(), "v_next": g.v.bfill(), "mean": mean,
+                                   "n": np.arange(1, len(g) + 1), "i": g.i}))
+    want = pd.concat(parts).set_index("i").sort_index()
+    for c, out in done.items():
+        got = out.select("i", c).toPandas().set_index("i").sort_index()
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), err_msg=c)
