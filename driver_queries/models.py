@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.functions.names import label_code
+from panelspark.plans import models
 from panelspark.stats import tables
 from panelspark.stats.absorb import absorb, absorb_in_turns
 from panelspark.stats.event_study import event_study as fit_event_study
@@ -265,7 +266,45 @@ def wls_far_from_zero(t):
     return rows.select("term", F.round(F.col("coef") / scale, 6).alias("coef"))
 
 
-@query()
+# Saturated models: a coefficient is a signed sum of cell means (bits of the cell within the bits of the term), and so is its influence.
+# With seven clusters t has six degrees of freedom, whose distribution is a short sum.
+SATURATED_SQL = """
+, c AS (SELECT model, c, sum(w) AS sw, sum(w * y) / sum(w) AS mean FROM x GROUP BY ALL),
+s AS (SELECT model, g, c, sum(w * (y - mean)) / any_value(sw) AS u FROM x JOIN c USING (model, c) GROUP BY ALL),
+t AS (SELECT model, c AS term FROM c),
+b AS (SELECT model, term, sum((-1) ** (bit_count(term) - bit_count(c)) * mean) AS coef FROM t JOIN c USING (model) WHERE (c & term) = c GROUP BY ALL),
+i AS (SELECT model, term, g, sum((-1) ** (bit_count(term) - bit_count(c)) * u) AS u FROM t JOIN s USING (model) WHERE (c & term) = c GROUP BY ALL),
+v AS (SELECT model, term, sum(u * u) AS v FROM i GROUP BY ALL),
+z AS (SELECT model, count(*) AS n, count(DISTINCT g) AS groups, sum(w * (y - mean) ** 2) AS rss, sum(w * y * y) - sum(w * y) ** 2 / sum(w) AS tss FROM x JOIN c USING (model, c) GROUP BY ALL),
+k AS (SELECT model, count(*) AS k FROM c GROUP BY ALL),
+r AS (
+  SELECT model, coalesce(nullif(array_to_string(list_filter([CASE WHEN term & 1 > 0 THEN 'treated' END, CASE WHEN term & 2 > 0 THEN 'post' END,
+      CASE WHEN term & 4 > 0 THEN 'not_midday' END], lambda q: q IS NOT NULL), '#'), ''), '_cons') AS term,
+    coef, sqrt(v * groups / (groups - 1.0) * (n - 1.0) / (n - k)) AS se
+  FROM b JOIN v USING (model, term) JOIN z USING (model) JOIN k USING (model)),
+p AS (
+  SELECT model, term, coef, se, 1 - sin(a) * (1 + cos(a) ** 2 / 2 + 3 * cos(a) ** 4 / 8) AS p FROM (SELECT *, atan(abs(coef / se) / sqrt(6)) AS a FROM r)),
+st AS (SELECT model, n, 1 - rss / tss AS r2, 1 - rss / tss * (n - 1.0) / (n - k) AS r2_a FROM z JOIN k USING (model))
+"""
+
+
+def _six_digits(x: str) -> str:
+    """SQL for six significant digits, zeros at the end included."""
+    decimals = f"(5 - floor(log10(abs({x}))))::INT"
+    return f"CASE WHEN abs({x}) BETWEEN 0.0001 AND 999999 THEN printf('%.' || {decimals} || 'f', {x}) ELSE printf('%.5e', {x}) END"
+
+
+@query(FLAGS.replace("l_quantity AS w", "l_quantity AS w, l_linenumber AS g") + """
+, x AS (SELECT 'base' AS model, a + 2 * p AS c, y, w, g FROM f UNION ALL SELECT 'triple', a + 2 * p + 4 * m, y, w, g FROM f)
+""" + SATURATED_SQL + f"""
+, cells AS (
+  SELECT model, term AS row, {_six_digits("coef")} || CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END
+    || ' (' || {_six_digits("se")} || ')' AS cell FROM p
+  UNION ALL SELECT model, 'n', {_six_digits("n::DOUBLE")} FROM st
+  UNION ALL SELECT model, 'r2', {_six_digits("r2")} FROM st
+  UNION ALL SELECT model, 'r2_a', {_six_digits("r2_a")} FROM st)
+SELECT row, max(cell) FILTER (model = 'base') AS base, max(cell) FILTER (model = 'triple') AS triple FROM cells GROUP BY row
+""")
 def result_table(t):
     """Two models side by side with standard errors and stars."""
     flags = _flags(t)
@@ -274,3 +313,28 @@ def result_table(t):
         "triple": wls(flags, "l_discount", "treated*post*not_midday", "l_quantity", "l_linenumber"),
     }
     return tables.model_table(t.spark, fits)
+
+
+SAMPLE_SQL = ["true", "l_linestatus = 'O'", "l_linestatus <> 'O' AND l_quantity > 10"]
+
+
+@query("WITH f AS (SELECT (l_returnflag = 'R')::INT AS a, (l_shipdate >= '1998-07-01')::INT AS p, l_discount AS y, l_quantity AS w, l_linenumber AS g, l_linestatus, l_quantity FROM lineitem)"
+    ", x AS (" + " UNION ALL ".join(f"SELECT 's{i}' AS model, a + 2 * p AS c, y, w, g FROM f WHERE {s}" for i, s in enumerate(SAMPLE_SQL)) + ")"
+    + SATURATED_SQL + """
+SELECT model, term, round(coef, 8) AS coef, round(se, 8) AS se, round(p, 6) AS p FROM p
+UNION ALL SELECT model, 'r2_a', round(r2_a, 8), NULL, NULL FROM st UNION ALL SELECT model, 'n', n, NULL, NULL FROM st
+""")
+def sample_models(t):
+    """One specification on three sub-samples, fitted together."""
+    frame = t.lineitem.select(
+        (F.col("l_returnflag") == "R").cast("double").alias("treated"),
+        (F.col("l_shipdate") >= F.lit("1998-07-01").cast("timestamp_ntz")).cast("double").alias("post"),
+        "l_discount", "l_quantity", "l_linenumber", "l_linestatus",
+    )
+    samples = {f"s{i}": s for i, s in enumerate(SAMPLE_SQL)}
+    specs = {s: models.Spec("l_discount", "treated*post", sample=s) for s in samples}
+    fits = models.estimate(frame, specs, "l_quantity", "l_linenumber", samples=samples)
+    rows = coefficient_table(t.spark, fits).select("model", "term", F.round("coef", 8).alias("coef"), F.round("se", 8).alias("se"), F.round("p", 6).alias("p"))
+    stats = stat_table(t.spark, fits).where(F.col("stat").isin("n", "r2_a"))
+    none = F.lit(None).cast("double")
+    return rows.unionByName(stats.select("model", F.col("stat").alias("term"), F.round("value", 8).alias("coef"), none.alias("se"), none.alias("p")))

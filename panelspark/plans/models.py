@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import with_labels
-from ..session import checkpointed
+from ..session import written
 from ..stats.event_study import event_study, treated_time
-from ..stats.wls import Fit, wls
+from ..stats.many import Model, wls_many
+from ..stats.wls import Fit
 
 # Scale of the cubed wind speed, so that its coefficient is readable.
 WIND_SCALE = 10_000.0
@@ -117,16 +118,18 @@ def estimate(
     fes: tuple[str, str] = ("regionid", "date"),
     samples: dict[str, str | None] | None = None,
 ) -> dict[str, Fit]:
-    """Fit every specification on its sub-sample of the model frame."""
+    """Fit every specification on its sub-sample of the model frame.
+
+    The plain regressions share three scans of their columns; an event study reads its sample once.
+    """
     samples = SAMPLES if samples is None else samples
-    # every fit reads the frame several times
-    frame = checkpointed(frame)
-    fits = {}
-    for name, spec in specs.items():
+    plain = {n: Model(s.y, s.formula, samples[s.sample]) for n, s in specs.items() if s.kind == "wls"}
+    events = {n: s for n, s in specs.items() if s.kind == "event"}
+    if events:
+        frame = written(frame, "model-frame")
+    fits = wls_many(frame, plain, w, cluster) if plain else {}
+    for name, spec in events.items():
         condition = samples[spec.sample]
         rows = frame if condition is None else frame.where(condition)
-        if spec.kind == "event":
-            fits[name] = event_study(rows, spec.y, spec.formula, "timevar", fes, w, cluster)
-        else:
-            fits[name] = wls(rows, spec.y, spec.formula, w, cluster)
-    return fits
+        fits[name] = event_study(rows, spec.y, spec.formula, "timevar", fes, w, cluster)
+    return {name: fits[name] for name in specs}

@@ -12,6 +12,7 @@ from panelspark.stats import tables
 from panelspark.stats.absorb import absorb, absorb_in_turns
 from panelspark.stats.effect_graph import parts
 from panelspark.stats.event_study import event_study
+from panelspark.stats.many import Model, wls_many
 from panelspark.stats.terms import expand_terms
 from panelspark.stats.wls import coefficient_table, joint_test, stat_table, wls
 
@@ -314,3 +315,29 @@ def test_a_regressor_the_effects_explain_is_left_out_on_both_routes(spark):
         assert math.isnan(fit.coef[1]) and fit.stats["df_m"] == 1
         plain = absorb(df, "y", "x", ("a", "b"), "w", max_levels=limit)
         assert fit.coef[0] == pytest.approx(plain.coef[0], rel=1e-9) and fit.se[0] == pytest.approx(plain.se[0], rel=1e-9)
+
+
+@pytest.mark.parametrize("cluster", [None, "region"])
+def test_many_models_equal_each_alone(spark, cluster):
+    pdf = make(31, 500).assign(far=lambda d: d.z + 1e6, hole=lambda d: d.x.where(d.day % 3 > 0), same=lambda d: d.x * 2)
+    df = spark.createDataFrame(pdf).withColumn("hole", F.when(~F.isnan("hole"), F.col("hole")))
+    models = {
+        "plain": Model("y", "x"),
+        "wide": Model("y", "x*z + far + day^2"),
+        "hole": Model("y", "x + hole"),
+        "late": Model("x", "z + far", "day > 20"),
+        "none_missing": Model("hole", "z", "day <= 20 OR hole IS NULL"),
+        "same": Model("y", "x + same"),
+    }
+    got = wls_many(df, models, "w", cluster)
+    assert list(got) == list(models)
+    for name, model in models.items():
+        rows = df if model.sample is None else df.where(model.sample)
+        one = wls(rows, model.y, model.formula, "w", cluster)
+        assert got[name].names == one.names and got[name].df_resid == one.df_resid
+        np.testing.assert_allclose(got[name].coef, one.coef, rtol=1e-7, err_msg=name)
+        np.testing.assert_allclose(got[name].se, one.se, rtol=1e-6, err_msg=name)
+        for stat, value in one.stats.items():
+            assert got[name].stats[stat] == pytest.approx(value, rel=1e-7), (name, stat)
+    with pytest.raises(ValueError, match="no complete rows to fit empty"):
+        wls_many(df, {"empty": Model("y", "x", "day < 0")}, "w")
