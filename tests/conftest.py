@@ -1,8 +1,11 @@
+import os
 import pathlib
 import sys
 
 import pytest
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy is imported
+
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
 from panelspark.session import build_session  # noqa: E402
