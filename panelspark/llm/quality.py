@@ -4,6 +4,10 @@ Several rules vote good, bad or nothing on every text. Expectation-maximisation
 of vote patterns of all texts estimates how often each rule is right, and so the posterior of
 every pattern. The posteriors train a linear scorer on hashed word shapes and byte pairs, which
 then scores every text by itself, also where the rules are silent.
+
+Words are measured in code points. Rules that need blanks between words are not asked about texts in
+scripts that set none, and what is written in scripts other than Latin is judged by the label model: the
+scorer's byte pairs and word shapes say nothing about it.
 """
 
 from __future__ import annotations
@@ -37,6 +41,11 @@ RULES = (
     ("sentences", "sentences", -1.0, 9.0, 0.02, 0.4),
 )
 ABSTAIN, GOOD, BAD = 0, 1, 2
+# Rules that mean nothing where words are not set apart by blanks, the share of such letters from which
+# a text is of that kind, and the digit of a vote pattern that says so.
+NEED_BLANKS, LOOSE, UNASKED = ("length", "sentences"), 0.2, 3 ** len(RULES)
+# Marks that end a sentence in other scripts, in UTF-8.
+STOPS = [int.from_bytes(c.encode(), "big") for c in "\u3002\uff01\uff1f\u0964\u0965\u1362\u17d4\u104b\u061f\u06d4\u0589"]
 
 # Byte classes.
 LETTER, CAPITAL, DIGIT, MARK, SYMBOL, BLANK = range(6)
@@ -61,8 +70,11 @@ class Reading:
 
     texts: int
     words: np.ndarray  # words per text
+    loose: np.ndarray  # letters per text that belong to a script without blanks
+    is_loose: np.ndarray
+    known: np.ndarray  # share of a text, by bytes of words, that the scorer can judge
     measures: dict[str, np.ndarray]
-    word_text: np.ndarray  # text of each word
+    word_text: np.ndarray  # text of each word the scorer can judge
     word_slot: np.ndarray
     pair_text: np.ndarray  # text of each byte pair
     pair_slot: np.ndarray
@@ -88,6 +100,21 @@ class Reading:
         def per_word(values: np.ndarray, kind=np.int64) -> np.ndarray:
             return np.add.reduceat(values, first, dtype=kind) if len(first) else np.zeros(0, kind)
 
+        # first bytes of letters beyond the Latin ones, and of scripts without blanks
+        after = np.append(data[1:], np.uint8(0))
+        far = (data == 0xF0) & (after >= 0xA0)
+        other = ((data >= 0xCD) & (data <= 0xE1) | (data >= 0xE3) & (data <= 0xED) | far) & ~(
+            (data == 0xE1) & (after >= 0xB8) & (after <= 0xBB)
+        )
+        tight = (
+            (data >= 0xE4) & (data <= 0xE9)
+            | (data == 0xE3) & (after >= 0x81)
+            | (data == 0xE0) & (after >= 0xB8)
+            | (data == 0xE1) & ((after <= 0x81) | (after == 0x9E) | (after == 0x9F))
+            | far
+        )
+        points = per_word(data[body] & 0xC0 != 0x80)
+        strange = per_word(other[body]) > 0
         inside = kind[body]
         capital, letter = per_word(inside == CAPITAL), per_word(inside <= CAPITAL)
         symbol, digit = per_word(inside == SYMBOL), per_word(inside == DIGIT)
@@ -106,6 +133,10 @@ class Reading:
         shout = (capital >= 2) & (capital == letter)
         double = (tail == before) & (tail_kind >= MARK)
         stop = np.isin(tail, [ord(c) for c in ".!?"]) & ~double
+        if strange.any() or (tail >= 128).any():
+            two = before.astype(np.int64) << 8 | tail
+            three = np.where(size > 2, data[np.maximum(end - 3, 0)], 0).astype(np.int64) << 16 | two
+            stop |= np.isin(two, STOPS) | np.isin(three, STOPS)
 
         words = np.bincount(text, minlength=n)
         some = np.maximum(words, 1)
@@ -120,7 +151,7 @@ class Reading:
             "symbols": share(tail_kind == SYMBOL),
             "repeats": share(repeat),
             "marks": share(double),
-            "length": bytes_of / some,
+            "length": np.bincount(text, points, n) / some,
             "sentences": share(stop),
         }
         shape = (
@@ -131,23 +162,34 @@ class Reading:
             | double << 4
             | (symbol > 0) << 5
             | tail_kind.astype(np.int64) << 6
-            | np.minimum(size, 15) << 9
+            | np.minimum(points, 15) << 9
         ) if len(start) else np.zeros(0, np.int64)
         follows = np.ones(max(len(data) - 1, 0), bool)
         follows[filled[filled > 0] - 1] = False
         at = np.flatnonzero(follows)
+        owner = np.repeat(np.arange(n), np.maximum(np.diff(bounds) - 1, 0))
+        known = np.ones(n)
+        if strange.any():
+            unread = np.zeros(len(data), bool)
+            unread[body] = np.repeat(strange, size)
+            read = ~(unread[at] | unread[at + 1])
+            at, owner = at[read], owner[read]
+            known = 1 - np.bincount(text, size * strange, n) / np.maximum(bytes_of, 1)
         pair = data[at].astype(np.int64) << 8 | data[at + 1]
-        length = np.maximum(np.diff(bounds) - 1, 0)
-        return cls(n, words, measures, text, slot(shape), np.repeat(np.arange(n), length), slot(pair))
+        loose = np.bincount(text, per_word(tight[body]), n)
+        is_loose = loose > LOOSE * np.maximum(np.bincount(text, points, n), 1)
+        return cls(n, words, loose, is_loose, known, measures, text[~strange], slot(shape[~strange]), owner, slot(pair))
 
     def votes(self) -> np.ndarray:
-        """One digit in base three per rule."""
-        code = np.zeros(self.texts, np.int64)
-        enough = self.words >= FEW
-        for i, (_, measure, below, above, low, high) in enumerate(RULES):
+        """One digit in base three per rule, one more where rules on blanks are not asked."""
+        code = self.is_loose * np.int64(UNASKED)
+        # two letters of a script without blanks count as a word
+        enough = self.words + self.loose // 2 >= FEW
+        for i, (name, measure, below, above, low, high) in enumerate(RULES):
             value = self.measures[measure]
             vote = np.where((value < below) | (value > above), BAD, np.where((value >= low) & (value <= high), GOOD, ABSTAIN))
-            code += np.where(enough, vote, ABSTAIN) * 3**i
+            asked = enough & ~self.is_loose if name in NEED_BLANKS else enough
+            code += np.where(asked, vote, ABSTAIN) * 3**i
         return code
 
     def features(self) -> np.ndarray:
@@ -159,7 +201,8 @@ class Reading:
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """Features times weights, without the features."""
-        a = np.bincount(self.word_text, weights[:SLOTS][self.word_slot], self.texts) / np.maximum(self.words, 1)
+        words = np.maximum(np.bincount(self.word_text, minlength=self.texts), 1)
+        a = np.bincount(self.word_text, weights[:SLOTS][self.word_slot], self.texts) / words
         pairs = np.maximum(np.bincount(self.pair_text, minlength=self.texts), 1)
         return a + np.bincount(self.pair_text, weights[SLOTS:][self.pair_slot], self.texts) / pairs
 
@@ -174,6 +217,11 @@ def readings(column: pa.Array) -> Iterator[Reading]:
         first = last
 
 
+def _asked(rule: int, code: np.ndarray) -> np.ndarray:
+    """Whether a rule was put to the texts of vote patterns."""
+    return (code < UNASKED) | (RULES[rule][0] not in NEED_BLANKS)
+
+
 @dataclass
 class LabelModel:
     """Latent kinds of text: good ones first, then one kind of bad text per rule.
@@ -189,13 +237,13 @@ class LabelModel:
         """Probability of each kind for vote patterns."""
         log = np.tile(np.log(self.kinds), (len(code), 1))
         for i in range(len(RULES)):
-            log += np.log(self.shares[i][:, code // 3**i % 3]).T
+            log += np.where(_asked(i, code), np.log(self.shares[i][:, code // 3**i % 3]), 0.0).T
         share = np.exp(log - log.max(axis=1, keepdims=True))
         return share / share.sum(axis=1, keepdims=True)
 
     def posterior(self, code: np.ndarray) -> np.ndarray:
         """Probability of good; without a vote it is the share of good texts."""
-        return np.where(code > 0, self.belief(code)[:, 0], self.kinds[0])
+        return np.where(code % UNASKED > 0, self.belief(code)[:, 0], self.kinds[0])
 
     def accuracies(self) -> dict[str, float]:
         """Per rule, how often its vote is right when it votes."""
@@ -219,11 +267,13 @@ def fit_labels(code: np.ndarray, count: np.ndarray, rounds: int = 200) -> LabelM
     Starts from the plain opinion that a bad vote makes a text bad in that rule's way, shared
     out if several rules vote bad. Votes are independent given the kind; shares are smoothed
     and kept within what is assumed of the rules, without which a kind may drift to what two
-    rules overlap on. Texts on which no rule votes tell nothing and are left out.
+    rules overlap on. Texts on which no rule votes tell nothing and are left out; a rule that was not asked
+    about a text learns nothing from it.
     """
-    code, count = code[code > 0], count[code > 0]
+    heard = code % UNASKED > 0
+    code, count = code[heard], count[heard]
     vote = np.stack([code // 3**i % 3 for i in range(len(RULES))])
-    bad = (vote == BAD).astype(float)
+    bad = (vote == BAD).astype(float)  # a rule that was not asked has the digit of one that abstains
     belief = np.vstack([np.where(bad.any(axis=0), 0.1, 10.0), bad + 0.01]).T
     belief /= belief.sum(axis=1, keepdims=True)
     while True:
@@ -231,7 +281,7 @@ def fit_labels(code: np.ndarray, count: np.ndarray, rounds: int = 200) -> LabelM
         shares = np.full((len(RULES), len(RULES) + 1, 3), 0.5)
         for i in range(len(RULES)):
             for v in (ABSTAIN, GOOD, BAD):
-                shares[i, :, v] += weight[:, vote[i] == v].sum(axis=1)
+                shares[i, :, v] += weight[:, (vote[i] == v) & _asked(i, code)].sum(axis=1)
         shares /= shares.sum(axis=2, keepdims=True)
         for i in range(len(RULES)):
             _bounded(shares[i, 0], 0.0, FALSE_ALARM)
@@ -278,8 +328,9 @@ class QualityModel:
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> QualityModel:
     """Count the vote patterns of all texts, fit the label model, and fit the scorer to the
-    posteriors of at most ``sample`` different texts: those with the smallest hashes. There are no more
-    patterns than three to the number of rules, which bounds what comes to the driver."""
+    posteriors of at most ``sample`` different texts: those with the smallest hashes (texts mostly in scripts
+    the scorer does not judge are left out of it). There are no more patterns than twice three to the number
+    of rules, which bounds what comes to the driver."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{text}`").alias("text"))
 
@@ -297,7 +348,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> QualityM
         for batch in batches:
             done = 0
             for reading in readings(batch.column(0)):
-                some = reading.words > 0
+                some = (reading.words > 0) & (reading.known >= 0.5)
                 rows = reading.features()[some].astype(np.float16)
                 place = batch.column(1).slice(done, reading.texts).filter(pa.array(some))
                 done += reading.texts
@@ -333,9 +384,13 @@ def score(
         for batch in batches:
             good, value = [np.zeros(0)], [np.zeros(0)]
             for reading in readings(batch.column(at)):
-                raw = np.clip(reading.sums(model.weights) + model.constant, -30, 30)
                 spoken = reading.words > 0
-                good.append(np.where(spoken, model.labels.posterior(reading.votes()), 0.0))
+                weak = model.labels.posterior(reading.votes())
+                sure = np.clip(weak, 1e-3, 1 - 1e-3)
+                raw = reading.sums(model.weights) + model.constant
+                # the label model speaks for what the scorer cannot judge
+                raw = np.clip(reading.known * raw + (1 - reading.known) * np.log(sure / (1 - sure)), -30, 30)
+                good.append(np.where(spoken, weak, 0.0))
                 value.append(np.where(spoken, 1 / (1 + np.exp(-raw)), 0.0))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.concatenate(good)), pa.array(np.concatenate(value))], [*given, posterior, out]
