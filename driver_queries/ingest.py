@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.operators.chunks import number_rows
-from panelspark.session import checkpointed
-from panelspark.sources import catalogue, climate, links, sections, typed
+from panelspark.session import checkpointed, scratch_folder, written
+from panelspark.sources import catalogue, climate, containers, links, quarantine, sections, typed
 
 from .registry import query
 
@@ -269,3 +269,132 @@ WHERE host = home AND link NOT LIKE '%/' AND lower(link) NOT LIKE '%fcas%' GROUP
 def link_inventory(t):
     found = links.extract_links(t.pages)
     return links.link_inventory(found, suffixes=(), skip=("FCAS",), children_only=False)
+
+
+def _lines(t, damaged=False):
+    """Every order as a report file: packed by thousands of keys, every third one in an archive inside the archive."""
+    key, kind = F.col("o_orderkey"), F.col("o_custkey") % 7
+    part = F.date_format("o_orderdate", "yyyy/MM/dd")
+    where = [F.concat(F.lit("a"), F.floor(key / 2000).cast("string"), F.lit(".zip")).alias("archive")]
+    name = F.concat(F.lit("o"), key.cast("string"), F.lit(".csv"))
+    if damaged:
+        name = F.when(kind == 2, F.concat(F.lit("o"), key.cast("string"), F.lit(".zip"))).when(
+            kind == 3, F.concat(F.lit("o"), key.cast("string"), F.lit(".txt"))
+        ).otherwise(name)
+    where.append(F.when(key % 3 == 0, F.concat(F.lit("inner.zip/"), name)).otherwise(name).alias("member"))
+
+    def line(*fields):
+        return F.encode(F.concat(F.concat_ws(",", *[F.lit(f) if isinstance(f, str) else f for f in fields]), F.lit("\n")), "utf-8")
+
+    head = t.orders.select(
+        *where,
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("part"), line("C", "SETP", "X", "Y", "Z", part, "00:05:00").alias("line")),
+                F.struct(F.lit(1).alias("part"), line("I", "SALES", "LINES", "2", "PART", "QTY", "FLAG", "NOTE").alias("line")),
+            )
+        ).alias("r"),
+    ).select("archive", "member", "r.part", "r.line")
+    orders = t.orders.select("o_orderkey", "o_custkey", *where)
+    lines = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    flag = F.when(F.col("l_linenumber") == 1, F.lit("one")).otherwise(F.col("l_linenumber").cast("string"))
+    data = line("D", "SALES", "LINES", "2", _text("l_partkey"), _text("l_quantity"), flag, F.lit('"a \n b"'))
+    body = lines.select("archive", "member", F.lit(2).alias("part"), data.alias("line"))
+    counts = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    closed = t.orders.select("o_orderkey", "o_custkey", *where).join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    count = F.coalesce("n", F.lit(0)) + 3
+    if damaged:
+        count = F.when(kind == 0, F.lit(0)).otherwise(count)
+    end = closed.select("archive", "member", F.lit(4).alias("part"), line("C", "END OF REPORT", count.cast("string")).alias("line"))
+    out = head.unionByName(body).unionByName(end)
+    if damaged:  # bytes that are no text, after the data
+        broken = orders.where(kind == 1).select("archive", "member", F.lit(3).alias("part"), F.unhex(F.lit("44FFFE0A")).alias("line"))
+        out = out.unionByName(broken)
+    return out
+
+
+def _packed(t, damaged=False):
+    """The records of archives written for the purpose."""
+    folder = scratch_folder(t.spark, "archives")
+    written(containers.write_archives(_lines(t, damaged), folder, "archive", "member", "part", "line"), "packed")
+    return containers.read_containers(t.spark, folder)
+
+
+PACKED_SQL = """
+WITH f AS (SELECT o_orderkey, o_custkey % 7 AS kind, 'a' || (o_orderkey // 2000) || '.zip' AS file,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'inner.zip/' ELSE '' END || 'o' || o_orderkey AS stem FROM orders)
+"""
+
+
+@query(PACKED_SQL + """
+SELECT file, stem || '.csv' AS member, 'D' AS kind, l_partkey AS part, l_quantity AS qty, count(*) AS n
+FROM f JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
+UNION ALL SELECT file, stem || '.csv', 'C', NULL, NULL, 2 FROM f UNION ALL SELECT file, stem || '.csv', 'I', NULL, NULL, 1 FROM f
+""")
+def container_roundtrip(t):
+    """Orders packed into archives within archives, and read back member by member."""
+    file = F.element_at(F.split("path", "/"), -1).alias("file")
+    kind = F.get("fields", F.lit(0))
+
+    def value(place, dtype):
+        return F.when(kind == "D", F.get("fields", F.lit(place)).try_cast(dtype))
+
+    records = _packed(t).where(F.col("error").isNull())
+    return records.groupBy(
+        file, "member", kind.alias("kind"), value(4, "bigint").alias("part"), value(5, "double").alias("qty")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(PACKED_SQL + """
+SELECT file, stem || CASE kind WHEN 2 THEN '.zip' WHEN 3 THEN '.txt' ELSE '.csv' END AS member,
+  CASE kind WHEN 0 THEN 'InvalidReport' WHEN 1 THEN 'UnicodeDecodeError' WHEN 2 THEN 'BadZipFile' WHEN 3 THEN 'UnknownFile' END AS error_class,
+  CASE WHEN kind = 3 THEN 'warning' WHEN kind < 3 THEN 'error' ELSE 'sound' END AS verdict,
+  CASE WHEN kind > 3 THEN 3 + (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) END AS records
+FROM f
+""")
+def container_problems(t):
+    """Damaged members set aside, records of sound ones committed."""
+    sink = scratch_folder(t.spark, "sink")
+    bad = quarantine.commit_sound(_packed(t, damaged=True), sink)
+    kept = quarantine.read_committed(t.spark, sink).groupBy("path", "member").agg(F.count(F.lit(1)).alias("records"))
+    file = F.element_at(F.split("path", "/"), -1).alias("file")
+    none = F.lit(None)
+    return bad.select(file, "member", "error_class", F.col("severity").alias("verdict"), none.cast("bigint").alias("records")).unionByName(
+        kept.select(file, "member", none.cast("string").alias("error_class"), F.lit("sound").alias("verdict"), "records")
+    )
+
+
+@query("""
+SELECT l_partkey AS part, l_quantity AS qty, CASE WHEN l_linenumber > 1 THEN CAST(l_linenumber AS TINYINT) END AS flag, count(*) AS n,
+  (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_custkey % 7 > 3) AS rejected
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 7 > 3 GROUP BY ALL
+""")
+def ingest_chain(t):
+    """Archives to typed Parquet: read, set bad files aside, split, map, type, count what does not fit."""
+    sink = scratch_folder(t.spark, "chain")
+    quarantine.commit_sound(_packed(t, damaged=True), sink)
+    rows = sections.split_sections(quarantine.read_committed(t.spark, sink))
+    mapping = t.spark.createDataFrame([("SALES", "LINES", "SALES_LINES")], "report_name string, report_subtype string, table_name string")
+    mapped = sections.map_tables(rows, mapping).drop("path", "member")
+    kinds = {"PART": T.LongType(), "QTY": T.DoubleType(), "FLAG": T.ByteType(), "NOTE": T.StringType()}
+    schema = T.StructType([T.StructField(name, dtype) for name, dtype in kinds.items()])
+    counts = typed.write_typed_tables(mapped, {"SALES_LINES": schema}, f"{sink}/tables")
+    bad = counts.agg(F.sum("rejected").alias("rejected"))
+    got = t.spark.read.parquet(f"{sink}/tables/SALES_LINES")
+    per_row = got.groupBy(F.col("PART").alias("part"), F.col("QTY").alias("qty"), F.col("FLAG").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+    return per_row.join(F.broadcast(bad))
+
+
+@query("""
+SELECT 'AT' AS column_name, count(*) AS filled, count(*) FILTER (event_id % 5 = 0) AS rejected FROM events
+UNION ALL SELECT 'USER_ID', count(*) FILTER (event_id % 7 <> 0), count(*) FILTER (event_id % 7 <> 0 AND user_id > 127) FROM events
+UNION ALL SELECT 'KIND', count(event_type), count(event_type) FROM events UNION ALL SELECT 'ABSENT', 0, 0 FROM (SELECT 1)
+""")
+def rejected_values(t):
+    """How many values of each column do not fit its type."""
+    stamp = F.when(F.col("event_id") % 5 == 0, F.lit("2020-13-45 99:00")).otherwise(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"))
+    user = F.when(F.col("event_id") % 7 == 0, F.lit(" ")).otherwise(_text("user_id"))
+    pairs = {"AT": stamp, "USER_ID": user, "KIND": F.col("event_type")}
+    rows = t.events.select(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]).alias("values"))
+    kinds = {"AT": T.TimestampNTZType(), "USER_ID": T.ByteType(), "KIND": T.IntegerType(), "ABSENT": T.StringType()}
+    return typed.reject_counts(rows, T.StructType([T.StructField(name, dtype) for name, dtype in kinds.items()]))

@@ -1,26 +1,83 @@
 """Zip archives (nested to any depth) and plain CSV files as a table of CSV records.
 
-One task streams one file; it holds a batch of records, not the file's content expanded.
-A file is read as a single binary value, so Spark bounds it at 2 GiB.
+A first job lists the members of every archive from its directory; runs of members of a bounded
+size, or one larger member, are the units a second job reads. Files are opened where they lie and
+streamed, so neither an archive nor a member is ever held whole.
 """
 
 from __future__ import annotations
 
 import csv
+import errno
 import io
+import math
 import posixpath
 import zipfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 RECORD_SCHEMA = (
     "path string, member string, record_no bigint, fields array<string>, "
     "header array<string>, lead array<string>, error string, error_class string"
 )
+# A unit: members (by place) of the archive reached through ``chain``, the places of archives
+# stored inside archives. Without members it is a plain file.
+UNIT_SCHEMA = "path string, inside string, chain array<int>, members array<int>, bytes bigint"
 BATCH_RECORDS = 5_000
+# Unpacked bytes of a unit, and of a task.
+UNIT, TASK = 64 << 20, 256 << 20
+READ_AHEAD = 1 << 20
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path behind an address as Spark writes it."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
+    elif uri.startswith("/"):
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
+
+
+class _Remote(io.RawIOBase):
+    """An open file of the file system, with the errors of an ordinary one."""
+
+    def __init__(self, source):
+        self.source = source
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.source.tell()
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        target = offset + (0, self.source.tell(), self.source.size())[whence]
+        if target < 0:
+            raise OSError(errno.EINVAL, "negative seek")
+        return self.source.seek(target)
+
+    def readinto(self, into) -> int:
+        return self.source.readinto(into)
+
+    def close(self) -> None:
+        self.source.close()
+        super().close()
+
+
+def _stream(path: str) -> io.BufferedReader:
+    system, name = file_system(path)
+    return io.BufferedReader(_Remote(system.open_input_file(name)), READ_AHEAD)
 
 
 def _records(path: str, member: str, text) -> Iterator[tuple]:
@@ -34,12 +91,15 @@ def _records(path: str, member: str, text) -> Iterator[tuple]:
         yield (path, member, number, fields, header, lead, None, None)
 
 
-def _open(path: str, member: str, name: str, stream) -> Iterator[tuple]:
+def _open(path: str, member: str, name: str, stream, only: list[int] | None = None) -> Iterator[tuple]:
     """Records of a file by its suffix; what goes wrong becomes a row and ends this file only."""
     try:
         if name.lower().endswith(".zip"):
             with zipfile.ZipFile(stream) as archive:
-                for inner in archive.infolist():
+                found = archive.infolist()
+                # in the order of the bytes, so that a packed archive is unpacked forwards
+                for place in sorted(range(len(found)) if only is None else only, key=lambda k: found[k].header_offset):
+                    inner = found[place]
                     if inner.is_dir():
                         continue
                     inside = f"{member}/{inner.filename}" if member else inner.filename
@@ -56,35 +116,155 @@ def _open(path: str, member: str, name: str, stream) -> Iterator[tuple]:
         yield (path, member, None, None, None, None, str(problem), type(problem).__name__)
 
 
+def _units(path: str, inside: str, chain: list[int], stream) -> Iterator[tuple]:
+    """Runs of members of an archive; an archive stored in it unpacked is entered, a packed one is a member."""
+    run, size = [], 0
+    with zipfile.ZipFile(stream) as archive:
+        for place, inner in enumerate(archive.infolist()):
+            if inner.is_dir():
+                continue
+            if inner.filename.lower().endswith(".zip") and inner.compress_type == zipfile.ZIP_STORED:
+                name = f"{inside}/{inner.filename}" if inside else inner.filename
+                try:
+                    with archive.open(inner) as handle:
+                        entered = list(_units(path, name, [*chain, place], handle))
+                    yield from entered
+                    continue
+                except Exception:  # noqa: BLE001 - the reader says what is wrong with it
+                    pass
+            if run and size + inner.file_size > UNIT:
+                yield (path, inside, chain, run, size)
+                run, size = [], 0
+            run, size = [*run, place], size + inner.file_size
+    if run:
+        yield (path, inside, chain, run, size)
+
+
+def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in UNIT_SCHEMA.split(", ")]
+    for batch in batches:
+        for path, length in zip(batch["path"], batch["length"]):
+            whole = [(path, "", [], None, int(length))]
+            units = whole
+            if path.lower().endswith(".zip"):
+                try:
+                    with _stream(path) as stream:
+                        units = list(_units(path, "", [], stream))
+                except Exception:  # noqa: BLE001 - the reader says what is wrong with it
+                    units = whole
+            yield pd.DataFrame(units, columns=columns)
+
+
+def _unit_records(path: str, inside: str, chain: list[int], members: list[int] | None) -> Iterator[tuple]:
+    try:
+        with ExitStack() as opened:
+            stream = opened.enter_context(_stream(path))
+            for place in chain:
+                outer = opened.enter_context(zipfile.ZipFile(stream))
+                stream = opened.enter_context(outer.open(outer.infolist()[place]))
+            yield from _open(path, inside, posixpath.basename(path if members is None else inside or path), stream, members)
+    except Exception as problem:  # noqa: BLE001 - a bad file must not stop its siblings
+        yield (path, inside, None, None, None, None, str(problem), type(problem).__name__)
+
+
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
+    rows = []
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            rows = []
-            name = posixpath.basename(path)
-            for row in _open(path, "", name, io.BytesIO(content)):
+        for path, inside, chain, members in zip(batch["path"], batch["inside"], batch["chain"], batch["members"]):
+            places = None if members is None else [int(m) for m in members]
+            for row in _unit_records(path, inside, [int(c) for c in chain], places):
                 rows.append(row)
                 if len(rows) == BATCH_RECORDS:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
-
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
 
-def read_containers(spark: SparkSession, path: str, glob: str = "*.{zip,ZIP,Zip,csv,CSV}") -> DataFrame:
-    """Every CSV record below ``path``: (path, member, record_no, fields, header, lead, error, error_class).
 
-    ``fields`` counts records, not lines (quoted values may hold line breaks). A file or
-    member that cannot be read shows up as a row with ``error`` set; its siblings go on.
-    """
+def list_units(spark: SparkSession, path: str, glob: str = "*.{zip,ZIP,Zip,csv,CSV}") -> DataFrame:
+    """The units of all files below ``path``, written: (path, inside, chain, members, bytes)."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(path)
-        .select("path", "content")
+        .select("path", "length")
+        .repartition(spark.sparkContext.defaultParallelism)
     )
-    return files.mapInPandas(_expand, RECORD_SCHEMA)
+    return written(files.mapInPandas(_list, UNIT_SCHEMA), "units")
+
+
+def read_containers(spark: SparkSession, path: str, glob: str = "*.{zip,ZIP,Zip,csv,CSV}", task_bytes: int = TASK) -> DataFrame:
+    """Every CSV record below ``path``: (path, member, record_no, fields, header, lead, error, error_class).
+
+    ``fields`` counts records, not lines (quoted values may hold line breaks). A file or
+    member that cannot be read shows up as a row with ``error`` set; its siblings go on.
+    Directories are read at once, records when the result is used, ``task_bytes`` of them in a
+    task unless one member is larger. The file system has to be one pyarrow knows.
+    """
+    units = list_units(spark, path, glob)
+    total, n = units.agg(F.sum("bytes"), F.count(F.lit(1))).first()
+    tasks = max(1, min(n, max(math.ceil((total or 0) / task_bytes), spark.sparkContext.defaultParallelism)))
+    return units.repartition(tasks).mapInPandas(_expand, RECORD_SCHEMA)
+
+
+def write_archives(lines: DataFrame, folder: str, archive: str, member: str, order: str, line: str) -> DataFrame:
+    """Pack the byte strings of ``line`` into archives below ``folder``; result: (path), one per archive.
+
+    ``member`` is the name inside; one that starts with ``name.zip/`` goes to an archive inside the
+    archive. Lines of a member follow ``order``. An archive is written by one task, streamed, under a name
+    of its own attempt and renamed at the end. Evaluate the result once, for instance by writing it.
+    """
+    columns = [archive, member, line]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = file_system(folder)
+        system.create_dir(base, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        stack, current, done = ExitStack(), (None, None, None), []
+
+        def finish(name: str | None) -> None:
+            stack.close()
+            if name is not None:
+                system.move(f"{base}/.{name}-{attempt}", f"{base}/{name}")
+                done.append(f"{folder}/{name}")
+
+        outer = target = inner_stack = handle = None
+        for batch in batches:
+            for name, inside, content in zip(*(batch[c] for c in columns)):
+                first, _, rest = inside.partition(".zip/")
+                nested = f"{first}.zip" if rest else None
+                if name != current[0]:
+                    finish(current[0])
+                    out = stack.enter_context(system.open_output_stream(f"{base}/.{name}-{attempt}"))
+                    outer = stack.enter_context(zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED))
+                    inner_stack = stack.enter_context(ExitStack())
+                    handle = stack.enter_context(ExitStack())
+                    current = (name, "", None)
+                if nested != current[1]:
+                    handle.close()
+                    inner_stack.close()
+                    target = outer
+                    if nested:
+                        stored = zipfile.ZipInfo(nested)
+                        raw = inner_stack.enter_context(outer.open(stored, "w", force_zip64=True))
+                        target = inner_stack.enter_context(zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED))
+                    current = (name, nested, None)
+                if inside != current[2]:
+                    handle.close()
+                    info = zipfile.ZipInfo(rest or inside)
+                    info.compress_type = zipfile.ZIP_DEFLATED
+                    write = handle.enter_context(target.open(info, "w", force_zip64=True)).write
+                    current = (name, nested, inside)
+                write(content)
+        finish(current[0])
+        yield pd.DataFrame({"path": done})
+
+    # members of an inner archive stand together
+    inner = F.when(F.contains(member, F.lit(".zip/")), F.substring_index(member, ".zip/", 1))
+    ordered = lines.repartition(archive).sortWithinPartitions(F.col(archive), inner, F.col(member), F.col(order))
+    return ordered.select(*columns).mapInPandas(pack, "path string")
 
 
 # Archives known to be corrupt at their origin, and members not worth a complaint.

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.quality import ExpectationError
+from ..session import scratch_folder
+
 # The two ways a timestamp is written.
 TIMESTAMP_FORMATS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss.SSS")
 # Types of the columns that tell copies of a row apart.
@@ -24,6 +27,47 @@ def typed(text: Column, dtype: T.DataType) -> Column:
     return value.try_cast(dtype)
 
 
+def unreadable(text: Column, dtype: T.DataType) -> Column:
+    """Whether a value is there but does not fit its type, so that :func:`typed` makes it NULL."""
+    return F.coalesce((F.trim(text) != "") & typed(text, dtype).isNull(), F.lit(False))
+
+
+def reject_counts(rows: DataFrame, schema: T.StructType, values: str = "values") -> DataFrame:
+    """(column_name, filled, rejected) of one table's data rows, taken in one scan.
+
+    ``filled`` counts values that are not empty, ``rejected`` those of them that do not fit their type.
+    """
+    counts = []
+    for field in schema.fields:
+        text = F.try_element_at(F.col(values), F.lit(field.name))
+        counts += [F.count_if(F.trim(text) != ""), F.count_if(unreadable(text, field.dataType))]
+    one = rows.agg(*[c.alias(f"_{i}") for i, c in enumerate(counts)])
+    lines = [
+        F.struct(F.lit(f.name).alias("column_name"), F.col(f"_{2 * i}").alias("filled"), F.col(f"_{2 * i + 1}").alias("rejected"))
+        for i, f in enumerate(schema.fields)
+    ]
+    return one.select(F.explode(F.array(*lines)).alias("r")).select("r.*")
+
+
+def watch_rejects(rows: DataFrame, schema: T.StructType, seen: Observation, values: str = "values") -> DataFrame:
+    """``rows`` unchanged; once a job has read them, ``seen.get`` holds the rejected values per column.
+
+    The counts are metrics of that job itself, so a load is checked without a second scan:
+    ``expect_readable(seen)`` raises where there are any.
+    """
+    found = [
+        F.count_if(unreadable(F.try_element_at(F.col(values), F.lit(f.name)), f.dataType)).alias(f.name) for f in schema.fields
+    ]
+    return rows.observe(seen, *found)
+
+
+def expect_readable(seen: Observation, at_most: int = 0) -> None:
+    """Raise if a watched load met more than ``at_most`` rejected values in a column."""
+    bad = {name: n for name, n in sorted(seen.get.items()) if n > at_most}
+    if bad:
+        raise ExpectationError("; ".join(f"{name}: {n} unreadable values" for name, n in bad.items()))
+
+
 def typed_table(rows: DataFrame, schema: T.StructType, values: str = "values", drop: Sequence[str] = ()) -> DataFrame:
     """Data rows of one table (map column -> text) as typed columns, aligned by name.
 
@@ -97,3 +141,21 @@ def write_by_month(df: DataFrame, path: str, ts: str, *keys: str) -> None:
 def write_tables(mapped: DataFrame, path: str) -> None:
     """Data rows of all tables to one folder per table, values still as text."""
     write_compacted(mapped, path, ["table_name"])
+
+
+def write_typed_tables(mapped: DataFrame, schemas: dict[str, T.StructType], path: str) -> DataFrame:
+    """Every table of ``schemas`` to ``path/<table>``, typed by its own schema; result: (table_name, column_name, filled, rejected).
+
+    Rows are staged once by table, so each table then reads its own folder only. Rows of tables without a
+    schema are left in the staging folder. The counts come from the staged rows, table by table.
+    """
+    spark = mapped.sparkSession
+    staged = scratch_folder(spark, "tables")
+    write_tables(mapped, staged)
+    whole = spark.read.schema(mapped.schema).parquet(staged)
+    counts = []
+    for name, schema in schemas.items():
+        rows = whole.where(F.col("table_name") == name)
+        write_compacted(typed_table(rows, schema), f"{path}/{name}")
+        counts.append(reject_counts(rows, schema).select(F.lit(name).alias("table_name"), "column_name", "filled", "rejected"))
+    return reduce(DataFrame.unionByName, counts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.operators.quality import ExpectationError
-from panelspark.sources import catalogue, climate, containers, links, sections, tables, typed, weather
+from panelspark.sources import catalogue, climate, containers, links, quarantine, sections, tables, typed, weather
 
 TWO_TABLES = (
     "C,SETP.WORLD,DVD,OPERATOR,PUBLIC,2020/06/04,00:03:11\n"
@@ -83,6 +83,72 @@ def test_known_bad_archives_are_warnings(records):
     assert {r["severity"] for r in relaxed.collect()} == {"warning"}
 
 
+def test_units_are_runs_of_members(spark, tmp_path, monkeypatch):
+    inner = zipped(**{f"i{k}.csv": TWO_TABLES for k in range(6)})
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:  # stored, so the archive inside is entered
+        z.writestr("inner.zip", inner)
+        z.writestr("packed.zip", inner, zipfile.ZIP_DEFLATED)
+        for k in range(5):
+            z.writestr(f"o{k}.csv", TWO_TABLES)
+        z.writestr("same.csv", TWO_TABLES)
+    (tmp_path / "a.zip").write_bytes(out.getvalue())
+    monkeypatch.setattr(containers, "UNIT", 2 * len(TWO_TABLES))
+    run = [u for u in containers._units(str(tmp_path / "a.zip"), "", [], io.BytesIO(out.getvalue()))]
+    assert [(u[1], u[2], u[3]) for u in run[:3]] == [("inner.zip", [0], [0, 1]), ("inner.zip", [0], [2, 3]), ("inner.zip", [0], [4, 5])]
+    assert all(u[4] <= 2 * len(TWO_TABLES) or len(u[3]) == 1 for u in run)
+    got = [row for u in run for row in containers._unit_records(str(tmp_path / "a.zip"), u[1], u[2], u[3])]
+    whole = containers._open("p", "", "a.zip", io.BytesIO(out.getvalue()))
+    assert sorted(r[1:4] for r in got) == sorted(r[1:4] for r in whole)
+    assert len({r[1] for r in got}) == 18
+    # the same through Spark, one task per unit
+    records = containers.read_containers(spark, str(tmp_path), task_bytes=1)
+    assert records.where("error IS NULL").count() == 18 * 9
+
+
+def test_write_archives_streams_members(spark, tmp_path):
+    rows = [(f"{a}.zip", m, k, f"{m},{k}\n".encode()) for a in "xy" for m in ("z.csv", "in.zip/b.csv", "a.csv", "in.zip/a.csv") for k in range(3)]
+    lines = spark.createDataFrame(rows, "archive string, member string, k int, line binary").repartition(3)
+    made = containers.write_archives(lines, str(tmp_path / "out"), "archive", "member", "k", "line").collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in made) == ["x.zip", "y.zip"]
+    got = containers.read_containers(spark, str(tmp_path / "out")).collect()
+    assert all(r.error is None and r.fields == [r.member, str(r.record_no - 1)] for r in got) and len(got) == len(rows)
+    assert containers.read_containers(spark, str(tmp_path / "out"), "*.csv").count() == 0
+
+
+def test_commit_holds_sound_files_only(spark, folder, records, tmp_path):
+    (folder / "cut.csv").write_bytes(TWO_TABLES.encode() * 3000 + b"D,\xff\xfe\n")
+    records = containers.read_containers(spark, str(folder))
+    assert records.where("member = '' AND path LIKE '%cut.csv' AND error IS NULL").count() > 0  # they flow first
+    sink = str(tmp_path / "sink")
+    with pytest.raises(Exception, match="(?i)path"):
+        quarantine.read_committed(spark, sink)
+    bad = {(r["file"], r["error_class"]) for r in name_of(quarantine.commit_sound(records, sink)).collect()}
+    assert bad == {
+        ("corrupt.zip", "BadZipFile"), ("outer.ZIP:broken.zip", "BadZipFile"), ("outer.ZIP:inner.zip/readme.txt", "UnknownFile"),
+        ("cut.csv", "UnicodeDecodeError"), ("short.csv", "InvalidReport"), ("late.csv", "InvalidReport"),
+        ("open.csv", "InvalidReport"), ("odd.csv", "InvalidReport"),
+    }
+    kept = {r["file"] for r in name_of(quarantine.read_committed(spark, sink)).select("file").distinct().collect()}
+    assert kept == {"plain.CSV", "outer.ZIP:flat.CSV", "outer.ZIP:inner.zip/deep.csv", "other.csv", "tail.csv", "empty_section.csv"}
+    counts = {r["file"]: r["records"] for r in name_of(spark.read.parquet(f"{sink}/manifest")).collect()}
+    assert counts["plain.CSV"] == 9 and set(counts) == kept
+
+
+def test_rejected_values_are_counted_in_the_load_itself(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    rows = spark.createDataFrame([({"A": a, "B": b},) for a, b in (("1", "x"), ("300", ""), ("q", "2"), (None, " "))], "values map<string,string>")
+    schema = T.StructType([T.StructField("A", T.ByteType()), T.StructField("B", T.IntegerType()), T.StructField("C", T.StringType())])
+    assert [tuple(r) for r in typed.reject_counts(rows, schema).collect()] == [("A", 3, 2), ("B", 2, 1), ("C", 0, 0)]
+    seen = Observation()
+    typed.typed_table(typed.watch_rejects(rows, schema, seen), schema).write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"A": 2, "B": 1, "C": 0}
+    typed.expect_readable(seen, at_most=2)
+    with pytest.raises(ExpectationError, match="A: 2 unreadable values; B: 1"):
+        typed.expect_readable(seen)
+
+
 def test_validation(records):
     csvs = records.where("fields IS NOT NULL")
     out = {r["file"]: (r["is_report"], r["problem"]) for r in name_of(sections.validate_sections(csvs)).collect()}
