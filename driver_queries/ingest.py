@@ -379,10 +379,10 @@ def ingest_chain(t):
     kinds = {"PART": T.LongType(), "QTY": T.DoubleType(), "FLAG": T.ByteType(), "NOTE": T.StringType()}
     schema = T.StructType([T.StructField(name, dtype) for name, dtype in kinds.items()])
     counts = typed.write_typed_tables(mapped, {"SALES_LINES": schema}, f"{sink}/tables")
-    bad = counts.agg(F.sum("rejected").alias("rejected"))
+    rejected = counts.agg(F.sum("rejected")).first()[0]
     got = t.spark.read.parquet(f"{sink}/tables/SALES_LINES")
     per_row = got.groupBy(F.col("PART").alias("part"), F.col("QTY").alias("qty"), F.col("FLAG").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
-    return per_row.join(F.broadcast(bad))
+    return per_row.withColumn("rejected", F.lit(rejected).cast("bigint"))
 
 
 @query("""
@@ -398,3 +398,43 @@ def rejected_values(t):
     rows = t.events.select(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]).alias("values"))
     kinds = {"AT": T.TimestampNTZType(), "USER_ID": T.ByteType(), "KIND": T.IntegerType(), "ABSENT": T.StringType()}
     return typed.reject_counts(rows, T.StructType([T.StructField(name, dtype) for name, dtype in kinds.items()]))
+
+
+@query(LINKS_SQL + "SELECT page_id, url, pos, href, link FROM l")
+def page_links_hostile(t):
+    """The same pages with values out of their quotes, coded letters, and links in comments and scripts."""
+    bare = F.regexp_replace("html", """(?i)(<a\\s[^>]*?href\\s*=\\s*)["']([^"'\\s>]+)["']""", "$1$2")
+    coded = F.regexp_replace(bare, """((?i:<a\\s[^>]*?href\\s*=\\s*)[^\\s>]*?)e""", "$1&#x65;")
+    titled = F.regexp_replace(coded, r"(?i)<a\s", "<a title='a > b href=no' data-href=\"no\" ")
+    noise = F.lit("<!-- <a href='no'> --><script>if (a < b) { x = \"<a href='no'>\" }</script><p a = b>1 < 2 <")
+    return links.extract_links(t.pages.withColumn("html", F.concat(noise, F.lit(">"), titled, F.lit("<!-- <a href=no>")))).drop("size")
+
+
+@query("""
+WITH o AS (SELECT DISTINCT o_orderkey AS k, o_orderkey // 100 AS page, 'https://www.market.example/R/C' || (o_orderkey // 100) || '/' AS url FROM orders),
+f AS (SELECT k, page, 'F' || (k % 997) || CASE k % 6 WHEN 0 THEN '.zip' ELSE '.CSV' END AS file_name,
+  CASE k % 6 WHEN 0 THEN url ELSE url || 'sub/' END || 'F' || (k % 997) || CASE k % 6 WHEN 0 THEN '.zip' ELSE '.CSV' END AS link, k * 7 AS size
+  FROM o WHERE k % 6 < 2)
+SELECT file_name, arg_max(link, k) AS link, arg_max(size, k) AS size FROM f GROUP BY file_name
+""")
+def listed_files(t):
+    """Listings of a hundred orders each with all rules on: own folder, endings, unwanted parts, roll-ups, sizes."""
+    key = F.col("o_orderkey")
+    page = F.floor(key / 100)
+    name = F.concat(F.lit("F"), (key % 997).cast("string"))
+    hrefs = [
+        F.concat(name, F.lit(".zip")),
+        F.concat(F.lit("/R/C"), page.cast("string"), F.lit("/sub/"), name, F.lit(".CSV")),
+        F.concat(F.lit("/R/OTHER/"), name, F.lit(".zip")),
+        F.concat(name, F.lit(".txt")),
+        F.lit("MMSDM_2020_01.zip"),
+        F.concat(F.lit("P_FCAS_"), name, F.lit(".zip")),
+    ]
+    href = hrefs[-1]
+    for i, one in enumerate(hrefs[:-1]):
+        href = F.when(key % 6 == i, one).otherwise(href)
+    entry = F.concat(F.lit("<br> 1/02/2024 11:05 PM  "), (key * 7).cast("string"), F.lit(' <A HREF="'), href, F.lit('">x</A>'))
+    rows = t.orders.select(page.alias("page_id"), F.struct(key.alias("k"), entry.alias("e")).alias("r")).distinct()
+    pages = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["e"]), "").alias("html"))
+    url = F.concat(F.lit("https://www.market.example/R/C"), F.col("page_id").cast("string"), F.lit("/"))
+    return links.link_inventory(links.extract_links(pages.withColumn("url", url)))

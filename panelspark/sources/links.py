@@ -41,10 +41,21 @@ SKIPPED_PARTS = (
 )
 ROLL_UP = r"MMSDM_\d{4}_\d{2}.zip"
 
-# an anchor with the text in front of it; a match can only begin where a tag ends, which
-# keeps the search linear in the length of the page
-ANCHOR = r"""(?is)(?:\A|>)[^<>]*+<a\s[^>]*?href\s*=\s*["'][^"']*["']"""
-HREF = r"""(?is)href\s*=\s*["']([^"']*)["']"""
+# The page as tokens, each the text in front of a tag and the tag. Every position begins a token and nothing
+# is tried twice, which keeps the search linear. Comments, scripts and styles are one token, as is what an
+# unclosed one or an unclosed tag leaves. A quote opens a value only behind an equals sign.
+INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+TOKEN = (
+    r"(?is)[^<]*+(?:<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)|<(?=[a-z/])"
+    + INSIDE
+    + r"(?:>|\z)|<|\z)"
+)
+ANCHOR = r"(?is)^[^<]*+<a[\s/].*>$"
+BASE = r"(?is)^[^<]*+<base[\s/].*>$"
+ATTRIBUTE = r"""(?s)[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)?+"""
+HREF = r"(?is)^href\s*="
+# Entities an address is coded with.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 # a listing shows the size between the half of the day and the anchor
 LISTED_SIZE = r"(?i)\b[AP]M\s+(\d+)\s*<a\s"
 
@@ -87,17 +98,68 @@ def absolute(page: Column, href: Column) -> Column:
     )
 
 
+def decoded(text: Column) -> Column:
+    """Entities, named or by number, replaced once; a number that is no character gives U+FFFD."""
+
+    def after(piece: Column) -> Column:
+        number = F.when(
+            piece.rlike(r"^#[0-9]{1,7};"), F.regexp_extract(piece, r"^#([0-9]{1,7});", 1).try_cast("bigint")
+        ).when(piece.rlike(r"^#[xX][0-9a-fA-F]{1,6};"), F.conv(F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]+);", 1), 16, 10).try_cast("bigint"))
+        point = F.when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF) | (number == 0), F.lit(0xFFFD)).otherwise(number)
+        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        rest = F.regexp_replace(piece, r"^#?[0-9A-Za-z]+;", "")
+        out = F.when(point.isNotNull(), F.concat(char, rest))
+        for name, sign in ENTITIES.items():
+            out = out.when(piece.startswith(f"{name};"), F.concat(F.lit(sign), rest))
+        return out.otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    first, others = F.get(pieces, F.lit(0)), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.when(F.contains(text, F.lit("&")), F.concat(first, F.array_join(F.transform(others, after), ""))).otherwise(text)
+
+
+def _raw_href(token: Column) -> Column:
+    """The first href attribute of a tag as written, NULL if it has none."""
+    tag = F.regexp_replace(token, r"^[^<]*+<[A-Za-z]+", "")
+    return F.get(F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 0), lambda a: a.rlike(HREF)), F.lit(0))
+
+
+def _with_value(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """Add the decoded value of an attribute; step by step, as each step is used more than once by the next."""
+    value, bare = F.col("_value"), F.col("_bare")
+    quoted = value.rlike(r"""^["']""") & (F.length(value) > 1)
+    return (
+        df.withColumn("_value", F.regexp_replace(raw, r"(?s)^[^=]*+=\s*+", ""))
+        .withColumn("_bare", F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+        .withColumn(out, F.trim(decoded(bare)))
+        .drop("_value", "_bare")
+    )
+
+
 def extract_links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Every link of every page: (page_id, url, pos, href, link, size), size being the number listed in front."""
-    anchors = pages.select(page_id, url, F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), 0)).alias("pos", "_a"))
-    href = F.regexp_extract("_a", HREF, 1)
-    return anchors.select(
+    """Every link of every page: (page_id, url, pos, href, link, size), size being the number listed in front.
+
+    Values may stand in quotes or without, entities are decoded, links in comments and scripts are none, and
+    addresses are relative to the page's first ``<base href>`` where it has one. A null page has no links.
+    """
+    tokens = F.regexp_extract_all(html, F.lit(TOKEN), 0)
+    wanted = F.filter(tokens, lambda t: t.rlike(ANCHOR) | t.rlike(BASE))
+    read = F.transform(wanted, lambda t: F.struct(t.rlike(BASE).alias("base"), t.alias("token"), _raw_href(t).alias("raw")))
+    found = pages.select(F.col(page_id), F.col(url), F.filter(read, lambda t: t["raw"].isNotNull()).alias("_t"))
+    based = _with_value(found.withColumn("_raw", F.get(F.filter("_t", lambda t: t["base"]), F.lit(0))["raw"]), "_raw", "_base")
+    home = F.when(F.col("_base").isNotNull(), absolute(F.col(url), F.col("_base"))).otherwise(F.col(url))
+    anchors = F.filter("_t", lambda t: ~t["base"])
+    rows = based.select(page_id, url, home.alias("_home"), F.posexplode(anchors).alias("pos", "_a"))
+    rows = rows.select(page_id, url, "_home", "pos", F.col("_a.token").alias("_token"), F.col("_a.raw").alias("_raw"))
+    # a generator of one row: filters on links stay above it instead of repeating the whole decoding
+    read_once = _with_value(rows, "_raw", "_href").withColumn("href", F.explode(F.array("_href")))
+    return read_once.select(
         page_id,
         url,
         "pos",
-        href.alias("href"),
-        absolute(F.col(url), href).alias("link"),
-        F.regexp_extract("_a", LISTED_SIZE, 1).try_cast("bigint").alias("size"),
+        "href",
+        absolute(F.col("_home"), F.col("href")).alias("link"),
+        F.regexp_extract("_token", LISTED_SIZE, 1).try_cast("bigint").alias("size"),
     )
 
 

@@ -305,6 +305,26 @@ def test_links(spark):
     assert [r["file_name"] for r in links.by_size(first).collect()] == ["A.zip", "B.CSV", "C.zip"]
 
 
+def test_hostile_pages(spark):
+    html = (
+        "<!-- <a href='c.zip'>no</a> --><base target=x><base href='/B/d/'><base href=/no/>"
+        "<a href=one.zip>1</a><A\nHREF = 'two.zip?a=1&amp;b=&#50;&#x20AC;&amp;lt;&bad;&#1114112;'>2</a>"
+        '<a title="x > y href=no" data-href=no href="three.zip" href=no>3</a><a name=n>4</a>'
+        "<a href=it's.zip>5</a><abbr href=no><script>'<a href=no>'</script><a href=\"six.zip\"/>6</a>"
+        "<style>a > b {} <a href=no></style>1 < 2 <a href=''>7</a><!-- open <a href=no>"
+    )
+    pages = spark.createDataFrame([(1, "https://h/R/x.html", html), (2, "https://h/", None), (3, "https://h/", "")], "page_id int, url string, html string")
+    got = links.extract_links(pages).orderBy("pos").collect()
+    assert [r["href"] for r in got] == ["one.zip", "two.zip?a=1&b=2\u20ac&lt;&bad;\ufffd", "three.zip", "it's.zip", "six.zip", ""]
+    assert [r["link"] for r in got][0] == "https://h/B/d/one.zip" and {r["page_id"] for r in got} == {1}
+
+
+def test_long_hostile_pages_are_linear(spark):
+    pages = [(1, "https://a.example/", bad * 100_000) for bad in ("<a href=", "<!--", "<a href='", "='\"", "<a ", "&#", "< ")]
+    found = links.extract_links(spark.createDataFrame(pages, "page_id int, url string, html string"))
+    assert found.count() <= len(pages)
+
+
 def test_long_page_without_links_is_linear(spark):
     html = "<p>" + "word " * 400_000 + "</p>"
     pages = spark.createDataFrame([(1, "https://a.example/", html)], "page_id int, url string, html string")
