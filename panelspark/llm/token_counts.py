@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache, partial
+from itertools import islice
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,55 +16,59 @@ from .common import ship, strings
 from .pieces import REMEMBERED, Memory, PieceTable, table_for
 
 LIMIT = 4096
+# Chunks of a text held as separate strings at once.
+BLOCK = 1 << 16
 
 
 class PrefixCounts:
-    """Token counts of all prefixes of one text, by code points; nothing is encoded again.
+    """Token counts of all prefixes of one text, by code points.
 
-    Counts are kept per chunk (chunks are independent) and opened per character on demand.
+    The counts are made once, chunk by chunk (chunks are independent), into one array of four
+    bytes per code point. Questions are answered from the array; nothing is encoded again.
     """
 
-    def __init__(self, table: PieceTable, text: str, sizes=None):
-        self.table, self.text = table, text
-        self.chunks = table.chunks.findall(table.spaced(text))
-        per_chunk = map(sizes.__getitem__, self.chunks) if sizes is not None else (table.chunk_counts(c)[-1] for c in self.chunks)
-        self.before = [0, *accumulate(per_chunk)]
+    def __init__(self, table: PieceTable, text: str, of_chunk: Callable[[str], np.ndarray] | None = None):
+        of_chunk = of_chunk or partial(_chunk_counts, table)
+        self.counts = np.zeros(len(text) + 1, np.int32)
+        chunks = (m.group() for m in table.chunks.finditer(table.spaced(text)))
+        # the marker in front of the text is no code point of it
+        end, before = -1, 0
+        while block := list(islice(chunks, BLOCK)):
+            found = np.concatenate([of_chunk(chunk) for chunk in block])
+            sizes = np.fromiter(map(len, block), np.int64, len(block))
+            last = found[np.cumsum(sizes) - 1]
+            found += np.repeat(before + np.cumsum(last) - last, sizes).astype(np.int32)
+            self.counts[max(end, 0) + 1 : end + len(found) + 1] = found[1:] if end < 0 else found
+            end, before = end + len(found), int(found[-1])
 
     @property
     def total(self) -> int:
-        return self.before[-1]
+        return int(self.counts[-1])
+
+    @cached_property
+    def least(self) -> np.ndarray:
+        """The least count of a prefix and all longer ones; never falls, unlike the counts."""
+        return np.minimum.accumulate(self.counts[::-1])[::-1]
 
     def at(self, n_chars: int) -> int:
         """Tokens of the first ``n_chars`` code points."""
-        if n_chars <= 0:
-            return 0
-        end = 0
-        for k, chunk in enumerate(self.chunks):
-            # the marker in front of the text is no code point of it
-            if end + len(chunk) >= n_chars + 1:
-                return self.before[k] + self.table.chunk_counts(chunk)[n_chars + 1 - end]
-            end += len(chunk)
-        return self.total
+        return int(self.counts[min(max(n_chars, 0), len(self.counts) - 1)])
 
     def longest(self, budget: int) -> int:
         """Code points of the longest prefix that has at most ``budget`` tokens."""
         if self.total <= budget:
-            return len(self.text)
-        # the chunk that passes the budget holds the answer: a non-empty part of any later one costs more
-        k = bisect_left(self.before, budget + 1) - 1
-        start = sum(map(len, self.chunks[:k]))
-        best = start - 1
-        for n, tokens in enumerate(self.table.chunk_counts(self.chunks[k])):
-            if self.before[k] + tokens <= budget:
-                best = start + n - 1
-        return max(best, 0)
+            return len(self.counts) - 1
+        return max(int(np.searchsorted(self.least, budget, "right")) - 1, 0)
+
+
+def _chunk_counts(table: PieceTable, chunk: str) -> np.ndarray:
+    """Counts of the non-empty prefixes of a chunk."""
+    return np.array(table.chunk_counts(chunk)[1:], np.int32)
 
 
 @lru_cache(maxsize=4)
-def _sizes(model: bytes) -> Memory:
-    table = table_for(model)
-    # a count takes little room
-    return Memory(lambda chunk: table.chunk_counts(chunk)[-1], 2 * REMEMBERED)
+def _remembered(model: bytes) -> Memory:
+    return Memory(partial(_chunk_counts, table_for(model)), REMEMBERED)
 
 
 def count_tokens(
@@ -81,11 +85,11 @@ def count_tokens(
     proto = Path(model).read_bytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sizes = table_for(proto), _sizes(proto)
+        table, of_chunk = table_for(proto), _remembered(proto).__getitem__
         for batch in batches:
             n_bytes, n_tokens, over, fit = [], [], [], []
             for value in strings(batch.column(1)):
-                counts = PrefixCounts(table, value, sizes)
+                counts = PrefixCounts(table, value, of_chunk)
                 n_bytes.append(len(value.encode()))
                 n_tokens.append(counts.total)
                 over.append(counts.total > limit)

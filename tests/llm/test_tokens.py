@@ -45,6 +45,26 @@ def test_counts_of_all_prefixes_equal_encoding_each(library, table):
             assert counts.longest(budget) == max(n for n, tokens in enumerate(each) if tokens <= budget)
 
 
+def test_questions_are_answered_without_encoding(library, table, monkeypatch):
+    for text in ["", "a" * 3000, "one word and another\nline " * 5000]:
+        counts = PrefixCounts(table, text)
+        with monkeypatch.context() as closed:
+            closed.setattr(PieceTable, "prefixes", None)
+            closed.setattr(PieceTable, "chunk_counts", None)
+            for n in (0, 1, 7, len(text) // 2, len(text)):
+                assert counts.at(n) == len(library.encode(text[:n]))
+            fits = counts.longest(50)
+        assert len(library.encode(text[:fits])) <= 50 and (fits == len(text) or counts.least[fits + 1] > 50)
+        assert len(counts.counts) == len(text) + 1 and counts.counts.itemsize == 4
+
+
+def test_counts_of_a_text_of_many_blocks(library, table, monkeypatch):
+    monkeypatch.setattr("panelspark.llm.token_counts.BLOCK", 3)
+    for text in texts(60, 30, 5):
+        counts = PrefixCounts(table, text)
+        assert [counts.at(n) for n in range(len(text) + 1)] == [len(library.encode(text[:n])) for n in range(len(text) + 1)]
+
+
 def test_neighbours_are_what_encoding_both_texts_says(library, table):
     draw = random.Random(3)
     plain = [i for p, i in table.ids.items() if not p.startswith("▁")]
