@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 from .common import raw_bytes, ship, spare, written
 
 UNKNOWN = "und"
-# Four-byte strings of the languages whose trees are made and held together, one language at least.
-GRAMS = 2_000_000
-# Least belief in a language for a row to be kept, and bytes scored at once.
+# Trees made and held together have at most so many (four-byte string, language) cells, one language at least.
+CELLS = 4_000_000
+# Least belief in a language for a row to be kept.
 SURE = 0.5
+# A text may cost so many times the bits a byte that all but one in a hundred held-out texts of its
+# language stay below, and so many bits more (short texts vary).
+DEARER, COMMON, SPARE_BITS = 1.5, 0.99, 200.0
+# Bytes counted or scored at once.
 SLICE = 1 << 20
 BLANK = 32
 
@@ -41,6 +45,7 @@ def normalised(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     blank = data == BLANK
     keep = np.ones(len(data), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
+    keep[bounds[:-1][bounds[:-1] < len(data)]] = True  # a value does not depend on the one before it
     kept = np.concatenate(([0], np.cumsum(keep)))
     return data[keep], kept[bounds]
 
@@ -78,9 +83,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in batch.column(0).unique().to_pylist():
             part = table.filter(pa.compute.equal(table.column(0), lang)).column(1).combine_chunks()
             data, bounds = raw_bytes(part)
-            for at in _slices(bounds):
-                body, own = normalised(data[bounds[at[0]] : bounds[at[-1]]], bounds[at[0] : at[-1] + 1] - bounds[at[0]])
-                key, count = np.unique(grams(body, own), return_counts=True)
+            for _, _, body, own, known in _parts(data, bounds):
+                key, count = np.unique(grams(body, own)[known:], return_counts=True)
                 if lang in seen:
                     key, count = added([seen[lang][0], key], [seen[lang][1], count])
                 seen[lang] = key, count
@@ -100,6 +104,23 @@ def _slices(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def _parts(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """The values in parts of bounded size: first and last value, normalised bytes, their bounds,
+    and how many bytes in front belong to the part before. A long value comes in several parts,
+    each with the three bytes before it, which are all that a byte's cost depends on."""
+    for first, last in _slices(bounds):
+        raw = data[bounds[first] : bounds[last]]
+        if len(raw) <= SLICE:
+            yield first, last, *normalised(raw, bounds[first : last + 1] - bounds[first]), 0
+            continue
+        carried = raw[:0]
+        for at in range(0, len(raw), SLICE):
+            body = np.concatenate((carried, raw[at : at + SLICE]))
+            body, own = normalised(body, np.array([0, len(body)]))
+            yield first, last, body, own, len(carried)
+            carried = body[-3:]
+
+
 @dataclass
 class Trees:
     """Frozen costs in bits of all languages, ready for look-up."""
@@ -200,11 +221,12 @@ def held_out(id: str, folds: int = 4, fold: int = 2) -> Column:
 
 
 def groups(sizes: dict[str, int], most: int) -> list[list[str]]:
-    """Languages in order of names, cut into runs of at most ``most`` strings or one language."""
+    """Languages in order of names, cut into runs of at most ``most`` cells (strings times
+    languages) or one language."""
     found: list[list[str]] = []
     held = 0
     for lang in sorted(sizes):
-        if not found or held + sizes[lang] > most:
+        if not found or (held + sizes[lang]) * (len(found[-1]) + 1) > most:
             found.append([])
             held = 0
         found[-1].append(lang)
@@ -212,13 +234,13 @@ def groups(sizes: dict[str, int], most: int) -> list[list[str]]:
     return found
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", grams_kept: int = GRAMS) -> list[Broadcast[Trees]]:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", cells: int = CELLS) -> list[Broadcast[Trees]]:
     """Trees of all languages from every row with a language and a text.
 
     All rows are counted, in Spark, and every string counts. A language's tree needs its own
-    strings only, so trees come to the driver and go to the tasks in groups of at most
-    ``grams_kept`` strings, or of one language. The strings of a language are bounded by its
-    alphabet, not by the rows.
+    strings only, so trees come to the driver and go to the tasks in groups of at most ``cells``
+    strings times languages, which is what their tables hold, or of one language. The strings of
+    a language are bounded by its alphabet, not by the rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -228,7 +250,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", grams_kept: i
     counts = written(partial.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = []
-    for languages in groups(sizes, grams_kept):
+    for languages in groups(sizes, cells):
         kept = counts.where(F.col("lang").isin(languages)).toArrow()
         order = pa.compute.index_in(kept.column("lang"), pa.array(languages, kept.schema.field("lang").type))
         codes = order.to_numpy().astype(np.int64)
@@ -237,35 +259,49 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", grams_kept: i
     return shared
 
 
-def code_lengths(shared: list[Broadcast[Trees]], data: np.ndarray, bounds: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """All languages and every value's code lengths under them; of several groups of trees one
-    is in memory at a time."""
+def code_lengths(shared: list[Broadcast[Trees]], data: np.ndarray, bounds: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All languages, every value's code lengths under them, and its normalised bytes; of several
+    groups of trees one is in memory at a time."""
     langs: list[str] = []
     found = [np.zeros((len(bounds) - 1, 0))]
+    size = np.zeros(len(bounds) - 1)
     for group in shared:
         alone = len(shared) > 1 and getattr(group, "_path", None)
         trees = group.load_from_path(group._path) if alone else group.value
         langs += trees.langs
-        own = [np.zeros((0, len(trees.langs)))]
-        for first, last in _slices(bounds):
-            body = data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
-            own.append(trees.bits(*normalised(*body)))
-        found.append(np.vstack(own))
+        own = np.zeros((len(bounds) - 1, len(trees.langs)))
+        size[:] = 0
+        for first, last, body, at, known in _parts(data, bounds):
+            own[first:last] += trees.bits(body, at)
+            size[first:last] += np.diff(at) - known
+            if known:
+                own[first:last] -= trees.bits(body[:known], np.array([0, known]))
+        found.append(own)
         del trees
-    return langs, np.hstack(found)
-
-
-def identify(docs: DataFrame, shared: list[Broadcast[Trees]], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    return langs, np.hstack(found), size
+
+
+def identify(
+    docs: DataFrame,
+    shared: list[Broadcast[Trees]],
+    text: str = "text",
+    pred: str = "lang_pred",
+    score: str = "score",
+    bits: str | None = None,
+    size: str | None = None,
+) -> DataFrame:
     """``docs`` with the predicted language and its share of belief (0 to 1).
 
     The score is the posterior of the language under equal priors: 2 to the minus code length,
     normalised. A null text or one without a letter is ``und`` with score 0, and so is every row
     if nothing was learned. Equal code lengths go to the first language in order of names. Only
-    the text is read; all columns pass through.
+    the text is read; all columns pass through. With ``bits`` and ``size`` the code length under
+    the predicted language and the number of bytes it is for come too (0 for ``und``).
     """
     spark = docs.sparkSession
     ship(spark)
     given = docs.columns
+    extra = [name for name in (bits, size) if name]
     body = F.col(f"`{text}`")
     rows = docs.select(
         *[F.col(f"`{c}`") for c in given],
@@ -276,21 +312,24 @@ def identify(docs: DataFrame, shared: list[Broadcast[Trees]], text: str = "text"
         for batch in batches:
             lower = batch.column(batch.num_columns - 1)
             data, bounds = raw_bytes(lower)
-            langs, bits = code_lengths(shared, data, bounds)
+            langs, lengths, n_bytes = code_lengths(shared, data, bounds)
             if langs:
-                best = bits.argmin(axis=1)
-                share = 1 / np.exp2(bits.min(axis=1)[:, None] - bits).sum(axis=1)
+                best, least = lengths.argmin(axis=1), lengths.min(axis=1)
+                share = 1 / np.exp2(least[:, None] - lengths).sum(axis=1)
             else:
-                best, share = np.zeros(len(lower), int), np.zeros(len(lower))
+                best, least, share = np.zeros(len(lower), int), np.zeros(len(lower)), np.zeros(len(lower))
             letters = lower.is_valid().to_numpy(zero_copy_only=False)
             names = [langs[b] if ok and langs else UNKNOWN for b, ok in zip(best, letters)]
             scores = np.where(letters, share, 0.0)
+            measured = [pa.array(np.where(letters, x, 0.0)) for x, name in ((least, bits), (n_bytes, size)) if name]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*given, pred, score]
+                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores), *measured],
+                [*given, pred, score, *extra],
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(work, f"{fields}, `{pred}` string, `{score}` double")
+    more = "".join(f", `{name}` double" for name in extra)
+    return rows.mapInArrow(work, f"{fields}, `{pred}` string, `{score}` double{more}")
 
 
 def predict_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -305,12 +344,33 @@ def predict_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     return identify(rows.select(f"`{id}`", "held_out", "text"), trees).drop("text")
 
 
+def dearest(docs: DataFrame, shared: list[Broadcast[Trees]], text: str = "text") -> dict[str, float]:
+    """Most bits a byte a text of each language may cost, from ``docs``, texts no tree has seen.
+
+    One row per learned language comes to the driver.
+    """
+    seen = identify(docs.select(F.col(f"`{text}`").alias("text")), shared, bits="bits", size="size")
+    rate = F.percentile_approx(F.col("bits") / F.col("size"), COMMON, 1000)
+    rows = seen.where("size > 0").groupBy("lang_pred").agg(rate.alias("rate")).collect()
+    return {r.lang_pred: DEARER * r.rate for r in rows}
+
+
 def keep_known(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sure: float = SURE) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language, with the columns they have.
 
-    Rows without letters and rows whose best language has less than ``sure`` of the belief go.
+    Rows without letters and rows whose best language has less than ``sure`` of the belief go. So
+    do rows their best language explains badly, as it does a language nobody labelled or letters
+    without sense: more than ``DEARER`` times the bits a byte of the held-out labelled texts. A
+    language without held-out texts sets no such limit.
     """
-    trees = train(docs.where(~held_out(id) & F.col(f"`{id}`").isNotNull()), text, lang)
-    pred, score = spare(docs, "_pred"), spare(docs, "_belief")
-    known = identify(docs, trees, text, pred, score)
-    return known.where((F.col(pred) != UNKNOWN) & (F.col(score) >= sure)).drop(pred, score)
+    apart, labelled = held_out(id), F.col(f"`{lang}`").isNotNull()
+    trees = train(docs.where(~apart & F.col(f"`{id}`").isNotNull()), text, lang)
+    limits = dearest(docs.where(apart & labelled), trees, text)
+    pred, score, bits, size = (spare(docs, name) for name in ("_pred", "_belief", "_bits", "_size"))
+    known = identify(docs, trees, text, pred, score, bits, size)
+    most = F.lit(float("inf"))
+    if limits:
+        table = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+        most = F.coalesce(F.try_element_at(table, F.col(pred)) * F.col(size) + SPARE_BITS, most)
+    sound = (F.col(pred) != UNKNOWN) & (F.col(score) >= sure) & (F.col(bits) <= most)
+    return known.where(sound).drop(pred, score, bits, size)

@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 
-from panelspark.llm.language import UNKNOWN, identify, predict_languages, train
+from panelspark.llm import language
+from panelspark.llm.language import UNKNOWN, groups, held_out, identify, keep_known, predict_languages, train
 
 TRAIN = [
     ("en", "The cat sat on the mat. The dog ran!"),
@@ -74,8 +75,6 @@ def test_held_out_accuracy_on_whole_documents(documents):
 def test_labels_of_held_out_rows_play_no_part(spark, documents):
     from pyspark.sql import functions as F
 
-    from panelspark.llm.language import held_out
-
     spoiled = documents.withColumn("lang", F.when(held_out("doc_id"), F.lit("zz")).otherwise(F.col("lang")))
     a = {r.doc_id: (r.lang_pred, r.score) for r in predict_languages(documents).collect()}
     b = {r.doc_id: (r.lang_pred, r.score) for r in predict_languages(spoiled).collect()}
@@ -105,5 +104,47 @@ def test_a_rare_language_beside_a_hot_one_keeps_all_its_strings(spark):
     texts = spark.createDataFrame([("zyzzyva",), ("aiq qai",), ("über",), ("bjr",), ("y",)], "text string")
     whole = identify(texts, train(given)).collect()
     assert [r.lang_pred for r in whole] == ["rare", "hot", "rare", "hot", "rare"]
-    for bound in (1, 20, 500):
+    for bound in (1, 20, 500, 5000):
         assert identify(texts, train(given, "text", "lang", bound)).collect() == whole
+
+
+def test_long_texts_are_cut_without_a_trace(spark, trees, monkeypatch):
+    import numpy as np
+
+    from panelspark.llm.language import code_lengths
+
+    texts = ["the mat  ", "  der hut -- und 42 Größe, 日本 " * 40, "", " --- ", "!" * 300 + "a", "then"]
+    raw = [t.lower().encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    _, want, size = code_lengths(trees, data, bounds)
+    for cut in (1, 2, 5, 64):
+        monkeypatch.setattr(language, "SLICE", cut)
+        _, found, n_bytes = code_lengths(trees, data, bounds)
+        assert np.allclose(found, want, atol=1e-6) and (n_bytes == size).all()
+
+
+def test_memory_of_a_very_long_text_and_of_many_languages(trees):
+    import tracemalloc
+
+    import numpy as np
+
+    data = np.frombuffer(b"the cat sat on the mat and the dog " * 500_000, np.uint8)
+    tracemalloc.start()
+    language.code_lengths(trees, data, np.array([0, len(data)]))
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+    runs = groups({f"l{i:03}": 100_000 for i in range(200)}, language.CELLS)
+    assert sum(map(len, runs)) == 200 and max(len(r) ** 2 * 100_000 for r in runs) <= language.CELLS
+
+
+def test_texts_no_language_explains_go_and_clean_ones_stay(spark, documents):
+    import random
+
+    draw = random.Random(4)
+    junk = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3000))
+    foreign = "zażółć gęślą jaźń wszystkich chrząszczy brzmiących w trzcinie szczebrzeszyńskiej " * 30
+    fields = documents.schema
+    rows = [tuple({"doc_id": 10**9 + i, "text": t}.get(f.name) for f in fields) for i, t in enumerate([junk, foreign])]
+    kept = keep_known(documents.unionByName(spark.createDataFrame(rows, fields)))
+    assert kept.where("doc_id >= 1000000000").count() == 0
+    assert kept.count() == documents.where(r"text rlike '\\p{L}'").count()
