@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.names import label_code
@@ -9,7 +10,8 @@ from panelspark.plans import models
 from panelspark.stats import tables
 from panelspark.stats.absorb import absorb, absorb_in_turns
 from panelspark.stats.event_study import event_study as fit_event_study
-from panelspark.stats.wls import coefficient_table, stat_table, wls
+from panelspark.stats.grouped import grouped_wls
+from panelspark.stats.wls import coefficient_table, joint_test, stat_table, wls
 
 from .registry import query
 
@@ -143,6 +145,64 @@ def grouped_regression(t):
     return out.withColumns({"coef": F.round("coef", 4), "r2": F.round("r2", 8)})
 
 
+@query("""
+WITH s AS (SELECT l_partkey, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a,
+  regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, avg(l_quantity) AS mx FROM lineitem GROUP BY l_partkey),
+e AS (SELECT *, greatest(syy - b * b * sxx, 0) AS rss FROM s WHERE n > 2 AND sxx > 0 AND syy > 0)
+SELECT l_partkey, 'l_quantity' AS term, n, round(b, 4) AS coef, round(sqrt(rss / (n - 2) / sxx), 3) AS se, round(1 - rss / syy, 6) AS r2 FROM e
+UNION ALL SELECT l_partkey, '_cons', n, round(a, 4), round(sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)), 3), round(1 - rss / syy, 6) FROM e
+""")
+def grouped_regression_many(t):
+    out = grouped_wls(t.lineitem, "l_extendedprice", "l_quantity", ["l_partkey"])
+    sound = out.where("df_resid > 0 and r2 is not null").withColumn("kept", F.min(F.col("coef").isNotNull()).over(Window.partitionBy("l_partkey")))
+    rounded = {"coef": F.round("coef", 4), "se": F.round("se", 3), "r2": F.round("r2", 6)}
+    return sound.where("kept").withColumns(rounded).select("l_partkey", "term", "n", "coef", "se", "r2")
+
+
+@query("""
+WITH f AS (SELECT l_suppkey AS g, l_extendedprice AS y, l_quantity AS x, l_discount AS z, l_tax + 0.5 AS w FROM lineitem),
+m AS (SELECT g, count(*) AS n, sum(w * x) / sum(w) AS mx, sum(w * z) / sum(w) AS mz, sum(w * y) / sum(w) AS my FROM f GROUP BY g),
+s AS (SELECT g, any_value(n) AS n, any_value(mx) AS mx, any_value(mz) AS mz, any_value(my) AS my,
+  sum(w * (x - mx) ** 2) AS xx, sum(w * (z - mz) ** 2) AS zz, sum(w * (x - mx) * (z - mz)) AS xz,
+  sum(w * (x - mx) * (y - my)) AS xy, sum(w * (z - mz) * (y - my)) AS zy FROM f JOIN m USING (g) GROUP BY g),
+b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM s)
+SELECT g AS l_suppkey, 'l_quantity' AS term, n, round(bx, 4) AS coef FROM b
+UNION ALL SELECT g, 'l_discount', n, round(bz, 3) FROM b
+UNION ALL SELECT g, '_cons', n, round(my - bx * mx - bz * mz, 3) FROM b
+""")
+def grouped_regression_weighted(t):
+    df = t.lineitem.withColumn("w", F.col("l_tax") + 0.5)
+    out = grouped_wls(df, "l_extendedprice", "l_quantity + l_discount", ["l_suppkey"], "w")
+    digits = F.when(F.col("term") == "l_quantity", F.round("coef", 4)).otherwise(F.round("coef", 3))
+    return out.select("l_suppkey", "term", "n", digits.alias("coef"))
+
+
+@query("""
+WITH f AS (SELECT l_extendedprice AS y, l_linenumber AS k, l_returnflag AS g FROM lineitem),
+m AS (SELECT k, avg(y) AS my, count(*) AS nk FROM f GROUP BY k),
+u AS (SELECT g, sum(CASE k WHEN 1 THEN y - my ELSE 0 END) / any_value((SELECT nk FROM m WHERE k = 1)) AS u1,
+  sum(CASE k WHEN 2 THEN y - my ELSE 0 END) / any_value((SELECT nk FROM m WHERE k = 2)) AS u2,
+  sum(CASE k WHEN 3 THEN y - my ELSE 0 END) / any_value((SELECT nk FROM m WHERE k = 3)) AS u3,
+  sum(CASE k WHEN 4 THEN y - my ELSE 0 END) / any_value((SELECT nk FROM m WHERE k = 4)) AS u4 FROM f JOIN m USING (k) GROUP BY g),
+c AS (SELECT 2 AS k, g, u2 - u1 AS d FROM u UNION ALL SELECT 3, g, u3 - u1 FROM u UNION ALL SELECT 4, g, u4 - u1 FROM u),
+z AS (SELECT 1.5 * ((SELECT count(*) FROM f) - 1.0) / ((SELECT count(*) FROM f) - 7.0) AS factor),
+t AS (SELECT 'leads first' AS test, 2 AS i, 3 AS j UNION ALL SELECT 'lags first', 4, 3),
+v AS (SELECT test, any_value(i) AS i, any_value(j) AS j, sum(a.d * a.d) AS vii, sum(b.d * b.d) AS vjj, sum(a.d * b.d) AS vij
+  FROM t JOIN c a ON a.k = t.i JOIN c b ON b.k = t.j AND b.g = a.g GROUP BY test),
+e AS (SELECT v.*, mi.my - m1.my AS bi, mj.my - m1.my AS bj FROM v JOIN m mi ON mi.k = v.i JOIN m mj ON mj.k = v.j JOIN m m1 ON m1.k = 1),
+w AS (SELECT test, (bi * bi * vjj - 2 * bi * bj * vij + bj * bj * vii) / (vii * vjj - vij * vij) / factor / 2 AS f FROM e, z)
+SELECT test, round(f, 5) AS f, 2.0::DOUBLE AS df1, 2.0::DOUBLE AS df2, round(1 / (1 + f), 6) AS p FROM w
+""")
+def joint_test_dropped(t):
+    """Three coefficients, three clusters: two constraints can be tested, in the order given."""
+    lines = {f"line{k}": (F.col("l_linenumber") == k).cast("int") for k in range(2, 8)}
+    fit = wls(t.lineitem.withColumns(lines), "l_extendedprice", " + ".join(lines), cluster="l_returnflag")
+    orders = {"leads first": ["line2", "line3", "line4"], "lags first": ["line4", "line3", "line2"]}
+    found = {name: joint_test(fit, terms, dropped=True) for name, terms in orders.items()}
+    rows = [(name, round(r["f"], 5), r["df1"], r["df2"], round(r["p"], 6)) for name, r in found.items()]
+    return t.spark.createDataFrame(rows, "test string, f double, df1 double, df2 double, p double")
+
+
 # One regressor, days demeaned, the two-level effect as a dummy: two equations in two unknowns.
 ABSORB_SQL = """
 WITH f AS (SELECT l_extendedprice AS y, l_quantity AS x, (l_linestatus = 'O')::DOUBLE AS s, l_shipdate AS d, l_linenumber AS g, l_tax + 0.5 AS w FROM lineitem),

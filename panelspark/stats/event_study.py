@@ -19,10 +19,12 @@ def event_study(
     cluster: str | None = None,
     base: int = -1,
     max_levels: int = MAX_LEVELS,
+    dropped: bool = False,
 ) -> Fit:
     """Two-way fixed effects with a dummy per value of ``event`` (NULL for rows never treated).
 
-    The statistics hold the joint F tests of all leads and of all lags.
+    The statistics hold the joint F tests of all leads and of all lags; ``dropped`` as in
+    ``joint_test``.
     """
     if not isinstance(event, str):
         df, event = df.withColumn("_time", event.cast("int")), "_time"
@@ -30,7 +32,7 @@ def event_study(
     for kind in ("lead", "lag"):
         names = [n for n in fit.names if n.startswith(kind) and n[len(kind):].isdigit()]
         if names:
-            fit.stats |= {f"{kind}s_{k}": v for k, v in joint_test(fit, names).items()}
+            fit.stats |= {f"{kind}s_{k}": v for k, v in joint_test(fit, names, dropped=dropped).items()}
     return fit
 
 

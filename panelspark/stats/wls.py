@@ -21,6 +21,8 @@ from .terms import Term, expand_terms
 CONSTANT = "_cons"
 # Products of columns above which they are added up in blocks instead of one aggregate.
 WIDE_PRODUCTS = 40
+# Groups whose models may come to the driver.
+FEW_GROUPS = 10_000
 
 
 @dataclass
@@ -115,7 +117,9 @@ def _sums(frame: DataFrame, columns: list[Column], by: list[str]) -> dict[tuple,
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     w = F.col("_w")
     aggs = [F.sum(w * columns[i] * columns[j]).alias(f"_s{n}") for n, (i, j) in enumerate(pairs)]
-    rows = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_sw"), *aggs).collect()
+    rows = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_sw"), *aggs).limit(FEW_GROUPS + 1).collect()
+    if len(rows) > FEW_GROUPS:
+        raise ValueError(f"more than {FEW_GROUPS} groups: use grouped_wls")
     out = {}
     for row in rows:
         matrix = np.zeros((k, k))
@@ -198,7 +202,8 @@ def wls(
     """Fit y on the terms and a constant, weights rescaled to sum to N.
 
     With ``cluster`` the errors are cluster-robust and tests use G - 1 degrees of freedom.
-    With ``by`` one model per group comes back (dict keyed by group), all from one pass.
+    With ``by`` one model per group comes back (dict keyed by group), all from one pass; for
+    more than ``FEW_GROUPS`` groups see ``grouped_wls``.
     """
     terms = expand_terms(formula) if isinstance(formula, str) else formula
     groups = list(by or [])
@@ -290,26 +295,29 @@ def _make_robust(fit: Fit, frame: DataFrame, xs: list[Column], scale: float, wid
     fit.df_resid = clusters - 1
 
 
-def joint_test(fit: Fit, names: list[str], tolerance: float = 1e-9) -> dict[str, float]:
+def joint_test(fit: Fit, names: list[str], tolerance: float = 1e-9, dropped: bool = False) -> dict[str, float]:
     """Wald test that the named coefficients are all zero: F, its degrees of freedom and p.
 
     With few clusters the covariance has few independent directions; the numerator degrees of
-    freedom are their number.
+    freedom are their number. By default all coefficients are tested along these directions. With
+    ``dropped`` they are taken in the order given, and one is left out if those before it
+    determine it or are as many as there can be.
     """
     at = [fit.names.index(n) for n in names]
     at = [i for i in at if not math.isnan(fit.coef[i])]
     b, v = fit.coef[at], fit.cov[np.ix_(at, at)]
-    values, vectors = np.linalg.eigh((v + v.T) / 2)
-    real = values > tolerance * max(values.max(), 0.0)
-    if "clusters" in fit.stats:
-        # never more directions than clusters less one
-        order = np.argsort(values)[::-1][: int(fit.stats["clusters"]) - 1]
-        limited = np.zeros_like(real)
-        limited[order] = True
-        real &= limited
-    q = int(real.sum())
+    # never more directions than clusters less one
+    most = int(fit.stats["clusters"]) - 1 if "clusters" in fit.stats else len(at)
+    if dropped:
+        use = np.flatnonzero(solve(v, b)[2])[:most]
+        q = len(use)
+        wald = float(b[use] @ np.linalg.solve(v[np.ix_(use, use)], b[use])) if q else math.nan
+    else:
+        values, vectors = np.linalg.eigh((v + v.T) / 2)
+        use = [i for i in np.argsort(values)[::-1][:most] if values[i] > tolerance * max(values.max(), 0.0)]
+        q = len(use)
+        wald = float(np.sum((vectors[:, use].T @ b) ** 2 / values[use])) if q else math.nan
     if q == 0:
         return {"f": math.nan, "df1": 0.0, "df2": float(fit.df_resid), "p": math.nan}
-    projected = vectors[:, real].T @ b
-    f = float(np.sum(projected**2 / values[real])) / q
+    f = wald / q
     return {"f": f, "df1": float(q), "df2": float(fit.df_resid), "p": f_upper(f, q, fit.df_resid)}

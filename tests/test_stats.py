@@ -14,6 +14,8 @@ from panelspark.stats.effect_graph import parts
 from panelspark.stats.event_study import event_study
 from panelspark.stats.many import Model, wls_many
 from panelspark.stats.terms import expand_terms
+from panelspark.stats import wls as plain
+from panelspark.stats.grouped import grouped_wls
 from panelspark.stats.wls import coefficient_table, joint_test, stat_table, wls
 
 
@@ -99,6 +101,54 @@ def test_grouped_fits_equal_separate_ones(spark):
         np.testing.assert_allclose(fit.coef, b, rtol=1e-8)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_models_of_groups_on_the_executors(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("panelspark.stats.grouped.fits_broadcast", lambda df: broadcast)
+    pdf = make().assign(x=lambda d: d.x + 1e6)
+    df = spark.createDataFrame(pdf).withColumn("x2", F.col("x") * 2)
+    df = df.withColumn("region", F.when(F.col("region") != pdf.region.iloc[0], F.col("region")))
+    rows = grouped_wls(df, "y", "x + x2 + z", ["region"], "w").collect()
+    for key in {r.region for r in rows}:
+        part = df.where(F.col("region").eqNullSafe(F.lit(key)))
+        fit = wls(part, "y", "x + x2 + z", "w")
+        own = {r.term: r for r in rows if r.region == key}
+        assert own["x2"].coef is None and own["x2"].se is None
+        for name, b, se in zip(fit.names, fit.coef, fit.se):
+            if name != "x2":
+                assert own[name].coef == pytest.approx(b, rel=1e-6) and own[name].se == pytest.approx(se, rel=1e-6)
+                assert own[name].ci_low < own[name].coef < own[name].ci_high
+        assert (own["x"].n, own["x"].df_resid) == (fit.stats["n"], fit.df_resid)
+        assert own["x"].r2 == pytest.approx(fit.stats["r2"]) and own["x"].rmse == pytest.approx(fit.stats["rmse"])
+
+
+def test_groups_too_small_to_fit(spark):
+    rows = [("one", 1.0, 2.0), ("two", 1.0, 2.0), ("two", 2.0, 4.0), ("flat", 3.0, 1.0), ("flat", 3.0, 2.0), ("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {(r.g, r.term): r for r in grouped_wls(df, "y", "x", ["g"]).collect()}
+    assert {g for g, _ in got} == {"one", "two", "flat"}
+    assert got["one", "x"].coef is None and got["one", "_cons"].coef == 2 and got["one", "_cons"].se is None
+    assert got["two", "x"].coef == pytest.approx(2) and got["two", "x"].se is None
+    assert got["flat", "x"].coef is None and got["flat", "_cons"].coef == pytest.approx(1.5)
+    assert grouped_wls(df.limit(0), "y", "x", ["g"]).count() == 0
+
+
+def test_many_groups_do_not_come_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(plain, "FEW_GROUPS", 2)
+    with pytest.raises(ValueError, match="grouped_wls"):
+        wls(spark.createDataFrame(make()), "y", "x", "w", by=["region"])
+
+
+def test_constraints_are_dropped_in_order(spark):
+    fit = wls(spark.createDataFrame(make()), "y", "x + z", "w")
+    fit.cov = np.array([[2.0, 2.0, 0.0], [2.0, 2.0, 0.0], [0.0, 0.0, 1.0]])
+    fit.coef = np.array([3.0, 5.0, 1.0])
+    assert joint_test(fit, ["x", "z", "_cons"], dropped=True)["f"] == pytest.approx((9 / 2 + 1) / 2)
+    assert joint_test(fit, ["z", "x", "_cons"], dropped=True)["f"] == pytest.approx((25 / 2 + 1) / 2)
+    fit.stats["clusters"] = 2
+    out = joint_test(fit, ["z", "_cons"], dropped=True)
+    assert (out["f"], out["df1"]) == (pytest.approx(25 / 2), 1)
+
+
 def dummies(values, drop_first=True):
     return pd.get_dummies(values, drop_first=drop_first).to_numpy(float)
 
