@@ -31,7 +31,7 @@ SURE = 0.5
 # language stay below, and so many bits more (short texts vary).
 DEARER, COMMON, SPARE_BITS = 1.5, 0.99, 200.0
 # Bytes counted or scored at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 BLANK = 32
 
 # ASCII other than letters is a blank; text is lower-cased before it comes here.

@@ -24,7 +24,7 @@ from .common import raw_bytes, ship, spare
 
 # Rows the scorer is fitted on at most (the pseudo-random smallest by hash), slots per feature
 # family, bytes read at once, and the score from which a text is kept.
-SAMPLE, SLOTS, SLICE, KEPT = 8192, 1024, 1 << 20, 0.5
+SAMPLE, SLOTS, SLICE, KEPT = 8192, 1024, 1 << 17, 0.5
 # Fewest words a rule votes on.
 FEW = 8
 # Assumed of the rules: a good text is called bad by one rule at most this often, and the texts
