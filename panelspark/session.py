@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # split a hot key even where that costs another shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # what a Python worker is handed at once, whatever the length of a row
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
