@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.operators.chunks import number_rows
-from panelspark.session import checkpointed, scratch_folder, written
+from panelspark.session import scratch_folder, written
 from panelspark.sources import catalogue, climate, containers, links, quarantine, sections, typed
 
 from .registry import query
@@ -46,7 +46,7 @@ def _records(t):
     closing = counts.select("member", "record_no", row("C", "END OF REPORT", _text("record_no")).alias("fields"))
     records = ordered.select("member", "record_no", "fields").unionByName(closing)
     # the records as a written table, as an ingest job would leave them
-    return checkpointed(records.withColumn("path", F.lit("orders.zip")))
+    return written(records.withColumn("path", F.lit("orders.zip")), "records")
 
 
 @query("""
@@ -57,8 +57,9 @@ UNION ALL
 SELECT 'SALES', 'NULL', '1', strftime(o_orderdate, '%Y_%m_%d') || '_00_05_00', NULL, NULL, o_totalprice, count(*) FROM orders GROUP BY ALL
 """)
 def section_split_roundtrip(t):
-    records = sections.attach_headers(_records(t))
-    good, _ = sections.split_good_bad(records, sections.validate_sections(records))
+    plain = _records(t)
+    # the verdicts need no headers
+    good, _ = sections.split_good_bad(sections.attach_headers(plain), sections.validate_sections(plain))
     rows = sections.split_sections(good)
 
     def value(name, dtype):
@@ -87,13 +88,16 @@ def section_validation(t):
     records = _records(t).join(damage, "member")
     end = F.get("fields", F.lit(1)) == "END OF REPORT"
     wrong = F.array(F.lit("C"), F.lit("END OF REPORT"), F.lit("0"))
-    kept = records.where(~(end & (F.col("kind") == 1))).withColumn(
-        "fields", F.when(end & (F.col("kind") == 0), wrong).otherwise(F.col("fields"))
+    late = F.array(F.lit("D"), F.lit("late"))
+    this, no = F.struct("record_no", "fields"), F.col("record_no")
+    # one reading of the joined records: a record that stays gives one or two
+    left = (
+        F.when(end & (F.col("kind") == 0), F.array(F.struct(no, wrong.alias("fields"))))
+        .when(end & (F.col("kind") == 2), F.array(this, F.struct((no + 1).alias("record_no"), late.alias("fields"))))
+        .otherwise(F.array(this))
     )
-    extra = records.where(end & (F.col("kind") == 2)).select(
-        "member", (F.col("record_no") + 1).alias("record_no"), F.array(F.lit("D"), F.lit("late")).alias("fields"), "path", "kind"
-    )
-    return sections.validate_sections(kept.unionByName(extra)).select("member", "is_report", "problem")
+    damaged = records.where(~(end & (F.col("kind") == 1))).select("path", "member", F.explode(left).alias("r")).select("path", "member", "r.*")
+    return sections.validate_sections(damaged).select("member", "is_report", "problem")
 
 
 @query("""

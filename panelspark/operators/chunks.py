@@ -6,8 +6,9 @@ cross a cut travels as *boundary rows*: one extra row per (key, chunk), computed
 aggregate, placed before or after the chunk's own rows and dropped again afterwards. A table
 below the bound takes the plain window.
 
-Cuts follow the whole order, a hash of the row behind it, nulls first: rows without a value and rows
-of one value are cut like all others; only rows equal in every column cannot be told apart.
+Cuts follow the keys, then the whole order, a hash of the row behind it, nulls first: rows without a value
+and rows of one value are cut like all others; only rows equal in every column cannot be told apart. Only keys
+longer than a chunk are cut, so boundary rows are as few as chunks, however many short keys there are.
 """
 
 from __future__ import annotations
@@ -43,18 +44,19 @@ class Carry:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Chunk borders, one sorted array of places in the order: as many entries as chunks, whatever the rows."""
+    """Chunk borders, one sorted array of places in the long keys: as many entries as chunks, whatever the rows."""
 
     order: tuple[str, ...]
     borders: DataFrame
     count: int
+    keys: tuple[str, ...] = ()
 
     def numbered(self, df: DataFrame, out: str = "_chunk") -> DataFrame:
         """Add the number of borders at or in front of each row, found by halving, one projection a step.
 
         ``df`` needs ``TIE``.
         """
-        borders, place, found = self.borders.scalar(), _place(self.order), F.col(out)
+        borders, place, found = self.borders.scalar(), _keyed_place(self.keys, self.order), F.col(out)
         df = df.withColumn(out, F.lit(0))
         for bit in reversed(range(self.count.bit_length())):
             step = 1 << bit
@@ -62,6 +64,14 @@ class Cuts:
             df = df.withColumn(out, F.when(passed, found + step).otherwise(found))
         return df
 
+    def of_cut_keys(self, df: DataFrame) -> DataFrame:
+        """The rows of keys that have a border, which are as few as borders."""
+        if not self.keys:
+            return df
+        cut = self.borders.select(F.explode("borders").alias("b")).select("b.key.*").distinct()
+        same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_cut_{i}")) for i, c in enumerate(self.keys)]
+        return df.join(F.broadcast(cut.toDF(*[f"_cut_{i}" for i in range(len(self.keys))])), same, "left_semi")
+
 
 def with_tie(df: DataFrame) -> DataFrame:
     """Add a hash of the row; maps and variants have none, columns of this module are copies of others."""
@@ -88,26 +98,32 @@ def position(df: DataFrame, column: str) -> Column:
     raise TypeError(f"{column} must be a number, text, date or timestamp to be cut into chunks")
 
 
-def plan_cuts(df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> Cuts | None:
-    """Choose chunk borders from a row count and, for a long table, a sorted sample of its order.
+def plan_cuts(
+    df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK, keys: Sequence[str] = (), total: int | None = None
+) -> Cuts | None:
+    """Choose chunk borders from a row count and, for a long table, a sorted sample of its keys and order.
 
-    None means the table is short enough for a plain window. Every so many rows of the sample one is a border,
-    and the first of each sorted partition, so chunks may be smaller than asked for but hardly larger.
+    None means that the table, or each of its keys, is short enough for a plain window. Every so many rows of the
+    sample one is a border, and the first of each sorted partition, so chunks may be smaller than asked for but hardly
+    larger. With ``keys`` there are two borders to a chunk, and a key with a single one is left whole. ``total``
+    is a number of rows known to be no smaller.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= rows_per_chunk:
         return None
-    parts = -(-total * 5 // (rows_per_chunk * 4))
+    parts = -(-total * (10 if keys else 5) // (rows_per_chunk * 4))
     share = SEEN_PER_CHUNK * parts / total
-    seen = with_tie(df).select(_place(order).alias("at"))
-    seen = seen.sample(share, 1) if share < 1 else seen
+    seen = with_tie(df.sample(share, 1) if share < 1 else df).select(_keyed_place(keys, order).alias("at"))
     step = SEEN_PER_CHUNK if share < 1 else max(1, total // parts)
     # the lower 33 bits count the rows of a partition
     numbered = seen.orderBy("at").withColumn("n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    every = numbered.where(F.col("n") % step == 0).agg(F.sort_array(F.collect_set("at")).alias("borders"))
-    borders = written(every, "borders")
+    every = numbered.where(F.col("n") % step == 0).select("at").distinct()
+    if keys:
+        many = F.count(F.lit(1)).over(Window.partitionBy(F.col("at.key")))
+        every = every.withColumn("many", many).where(F.col("many") > 1)
+    borders = written(every.agg(F.sort_array(F.collect_set("at")).alias("borders")), "borders")
     count = borders.select(F.size("borders")).first()[0]
-    return Cuts(tuple(order), borders, count) if count > 0 else None
+    return Cuts(tuple(order), borders, count, tuple(keys)) if count > 0 else None
 
 
 def over_chunks(
@@ -124,28 +140,25 @@ def over_chunks(
 
     ``before`` / ``after`` say what the boundary row ahead of / behind a chunk carries.
     ``sized_by`` is a cheaper table with at least as many rows as ``df``, such as the input it
-    was made from: counted first, and cut instead of ``df`` if it has the order columns. Rows of
-    equal order follow each other by a hash of all their columns.
+    was made from: counted instead of ``df``, and cut instead of it if it has the key and order columns. Rows
+    of equal order follow each other by a hash of all their columns.
     """
     keys, order = list(keys), list(order)
     position(df, order[0])  # an order column that cannot be cut is refused at any size
-    if sized_by is not None and sized_by.count() <= rows_per_chunk:
-        cuts = None
-    else:
-        known = sized_by if sized_by is not None and set(order) <= set(sized_by.columns) else df
-        cuts = plan_cuts(known, order, rows_per_chunk)
+    total = None if sized_by is None else sized_by.count()
+    known = sized_by if sized_by is not None and {*keys, *order} <= set(sized_by.columns) else df
+    cuts = plan_cuts(known, order, rows_per_chunk, keys, total)
     detail = with_tie(df)
     if cuts is None:
         plain = Window.partitionBy(*keys).orderBy(*order, TIE)
         return detail.withColumns(compute(plain)).drop(TIE)
 
-    detail = cuts.numbered(detail)
-    rows = detail.withColumn("_edge", F.lit(0))
+    rows = cuts.numbered(detail).withColumn("_edge", F.lit(0))
     before, after = before or {}, after or {}
     if before or after:
-        # one reading of the rows gives what crosses the cuts in either direction
+        # one reading of the rows that have cuts gives what crosses them in either direction
         summaries = {f"_b_{n}": c.summary for n, c in before.items()} | {f"_a_{n}": c.summary for n, c in after.items()}
-        summary = detail.groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in summaries.items()])
+        summary = cuts.numbered(cuts.of_cut_keys(detail)).groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in summaries.items()])
         per_key = Window.partitionBy(*keys).orderBy("_chunk")
         ahead, behind = per_key.rowsBetween(Window.unboundedPreceding, -1), per_key.rowsBetween(1, Window.unboundedFollowing)
         crossing = {f"_b_{n}": c.over(f"_b_{n}", ahead) for n, c in before.items()}
@@ -182,6 +195,14 @@ def _place(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in order], F.col(TIE))
 
 
+def _key(keys: Sequence[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)])
+
+
+def _keyed_place(keys: Sequence[str], order: Sequence[str]) -> Column:
+    return F.struct(_key(keys).alias("key"), _place(order).alias("place")) if keys else _place(order)
+
+
 def next_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], **sizing
 ) -> DataFrame:

@@ -167,3 +167,14 @@ def test_crowded_orders_equal_pandas(spark, null, tied, keys):
     for c, out in done.items():
         got = out.select("i", c).toPandas().set_index("i").sort_index()
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), err_msg=c)
+
+
+def test_many_short_keys_need_no_borders(spark):
+    """A long table of short keys takes the plain window; of one long key and short ones only the long one is cut."""
+    short = spark.range(20_000).select((F.col("id") % 5000).alias("k"), F.col("id").alias("t"))
+    assert chunks.plan_cuts(short, ["t"], rows_per_chunk=500, keys=["k"]) is None
+    both = short.unionByName(spark.range(4_000).select(F.lit(-1).cast("bigint").alias("k"), F.col("id").alias("t")))
+    cuts = chunks.plan_cuts(both, ["t"], rows_per_chunk=500, keys=["k"])
+    numbered = cuts.numbered(chunks.with_tie(both))
+    assert {r["k"] for r in cuts.of_cut_keys(both).select("k").distinct().collect()} == {-1}
+    assert numbered.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] <= 600
