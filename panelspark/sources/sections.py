@@ -71,34 +71,47 @@ def validate_sections(
     no, kind = F.col("record_no"), _kind()
     filled = F.size("fields") > 0
     is_end = (kind == "C") & (F.get("fields", F.lit(1)) == END_MARK)
-    facts = records.groupBy(*file_key).agg(
-        F.min_by(kind, no).alias("_first"),
-        F.min(F.when(is_end, no)).alias("_end"),
-        F.min_by(F.when(is_end, F.element_at("fields", -1)), F.when(is_end, no)).alias("_count"),
-        F.max(F.when(filled, no)).alias("_last"),
-        F.min(F.when(~filled, no)).alias("_blank"),
-        F.min(F.when(filled & ~kind.isin("C", "I", "D"), no)).alias("_odd"),
-        F.max("error").alias("_error") if "error" in records.columns else F.lit(None).cast("string").alias("_error"),
+    failed = "error" in records.columns
+    # numbers and flags instead of texts: they are added up in hash tables, texts only after sorting all records
+    marks = records.select(
+        *file_key,
+        no.alias("_no"),
+        (kind == "C").alias("_starts"),
+        F.when(is_end, no).alias("_ends"),
+        F.when(is_end, F.try_element_at("fields", F.lit(-1)).try_cast("bigint")).alias("_says"),
+        F.when(filled, no).alias("_filled"),
+        F.when(~filled, no).alias("_empty"),
+        F.when(filled & ~kind.isin("C", "I", "D"), no).alias("_strange"),
+        *(["error"] if failed else []),
+    )
+    facts = marks.groupBy(*file_key).agg(
+        F.min_by("_starts", "_no").alias("_first"),
+        F.min("_ends").alias("_end"),
+        F.min_by("_says", "_ends").alias("_count"),
+        F.max("_filled").alias("_last"),
+        F.min("_empty").alias("_blank"),
+        F.min("_strange").alias("_odd"),
+        F.max("error").alias("_error") if failed else F.lit(None).cast("string").alias("_error"),
     )
-    declared = F.col("_count").try_cast("bigint")
+    declared = F.col("_count")
     name = F.element_at(F.split(F.col(file_key[-1]), "/"), -1)
     counted = declared.isin(F.col("_end"), F.col("_end") - 1) | name.isin(*uncounted)
     problem = (
         F.when(F.col("_error").isNotNull(), F.col("_error"))
-        .when(F.col("_first") != "C", F.lit(None))
+        .when(~F.col("_first"), F.lit(None))
         .when(F.col("_odd") < F.coalesce(F.col("_end"), F.col("_last") + 1), F.lit("unexpected kind of record"))
         .when(F.col("_end").isNull(), F.lit("no closing record"))
         .when(F.col("_last") > F.col("_end"), F.lit("records after the end"))
         .when(F.col("_blank") < F.col("_end"), F.lit("blank record"))
         .when(~F.coalesce(counted, F.lit(False)), F.lit("closing count does not match"))
     )
-    return facts.select(*file_key, F.coalesce(F.col("_first") == "C", F.lit(False)).alias("is_report"), problem.alias("problem"))
+    return facts.select(*file_key, F.coalesce("_first", F.lit(False)).alias("is_report"), problem.alias("problem"))
 
 
 def split_good_bad(records: DataFrame, verdicts: DataFrame, file_key: Sequence[str] = FILE_KEY) -> tuple[DataFrame, DataFrame]:
     """Records of sound files, and (path, member, problem) of the files set aside."""
     bad = verdicts.where(F.col("problem").isNotNull()).select(*file_key, "problem")
-    good = sized_join(records, bad.select(*file_key), list(file_key), "left_anti")
+    good = sized_join(records, bad.select(*file_key), list(file_key), "left_anti", written=True)
     return good, bad
 
 

@@ -161,6 +161,13 @@ def test_validation(records):
     assert out["odd.csv"] == (True, "unexpected kind of record")
 
 
+def test_validation_sorts_no_texts(spark):
+    """Verdicts come out of hash tables, which hold numbers and flags only."""
+    rows = spark.createDataFrame([("a", "b", 1, ["C"])], "path string, member string, record_no bigint, fields array<string>")
+    plan = sections.validate_sections(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_split_into_tables(records):
     csvs = records.where("fields IS NOT NULL")
     good, bad = sections.split_good_bad(csvs, sections.validate_sections(csvs))
