@@ -331,7 +331,7 @@ def absorb(
     """
     terms = expand_terms(formula) if isinstance(formula, str) else list(formula)
     # the data are read once; everything after works on the cells
-    cells = checkpointed(_cells(df, y, terms, *fes, w, cluster, event))
+    cells = written(_cells(df, y, terms, *fes, w, cluster, event), "cells")
     whole = cells.agg(
         F.approx_count_distinct("_big").alias("first"),
         F.approx_count_distinct("_small").alias("second"),
@@ -456,18 +456,26 @@ def demean_in_turns(
 ) -> DataFrame:
     """Subtract weighted group means of each effect in turn until the largest mean is below ``tolerance``.
 
-    Means are relative to each column's spread. Every round is written to the checkpoint
-    folder, so the plan stays short and a lost executor repeats one round at most.
+    Means are relative to each column's spread. Rows collapse to one cell per combination of the effects, and what
+    has been subtracted is kept per cell: a round works on the cells and is written to the checkpoint folder, so
+    the plan stays short; the rows are read once for the cells and meet them in one join at the end.
     """
-    spread = df.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
-    size = {c: spread[c] or 1.0 for c in columns}
-    current = df
+    one = df.agg(*[F.stddev_samp(c).alias(f"s_{c}") for c in columns], *[F.avg(c).alias(f"m_{c}") for c in columns]).first()
+    size = {c: one[f"s_{c}"] or 1.0 for c in columns}
+    # values are taken from their mean, so that sums of them hold no large common part
+    start = {c: one[f"m_{c}"] or 0.0 for c in columns}
+    sums = []
+    for c in columns:
+        held = F.when(F.col(c).isNotNull(), F.col(w))
+        sums += [F.sum(held).alias(f"_w_{c}"), F.sum(held * (F.col(c) - F.lit(start[c]))).alias(f"_v_{c}")]
+    cells = df.dropna(subset=list(fes)).groupBy(*fes).agg(*sums)
+    current = checkpointed(cells.withColumns({f"_d_{c}": F.lit(0.0) for c in columns}))
     for _ in range(max_rounds):
         for fe in fes:
-            means = current.groupBy(fe).agg(*[wmean(c, w).alias(f"_m_{c}") for c in columns])
+            left = {c: F.sum(F.col(f"_v_{c}") - F.col(f"_w_{c}") * F.col(f"_d_{c}")) for c in columns}
+            means = current.groupBy(fe).agg(*[F.try_divide(left[c], F.sum(f"_w_{c}")).alias(f"_b_{fe}_{c}") for c in columns])
             current = sized_join(current, means, [fe])
-            current = current.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns})
-            current = current.withColumnsRenamed({f"_m_{c}": f"_b_{fe}_{c}" for c in columns})
+            current = current.withColumns({f"_d_{c}": F.col(f"_d_{c}") + F.col(f"_b_{fe}_{c}") for c in columns})
         bounds = [
             F.max(F.abs(F.col(f"_b_{fe}_{c}")) / F.lit(size[c])) for fe in fes for c in columns
         ]
@@ -475,7 +483,10 @@ def demean_in_turns(
         worst = max(v or 0.0 for v in current.agg(*bounds).first())
         current = current.drop(*[f"_b_{fe}_{c}" for fe in fes for c in columns])
         if worst < tolerance:
-            return current
+            joined = sized_join(df, current.select(*fes, *[f"_d_{c}" for c in columns]), list(fes))
+            return joined.select(*[
+                (F.col(c) - F.lit(start[c]) - F.col(f"_d_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns
+            ])
     raise RuntimeError(f"demeaning did not settle within {max_rounds} rounds")
 
 
