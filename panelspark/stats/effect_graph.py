@@ -21,6 +21,8 @@ from ..session import written
 
 # Columns solved for at once, squared relative length of the residual at the end, steps allowed.
 AT_ONCE, TOLERANCE, STEPS = 12, 1e-24, 2_000
+# Pairs of small levels at one big level, per edge, that are multiplied out, and small levels one may have for it.
+PAIRS_PER_EDGE, MAX_DEGREE = 8, 1_000
 # Relative rounding of sums of products.
 ROUNDING = 1e-14
 
@@ -36,12 +38,14 @@ def parts(cells: DataFrame, first: str = "_big", second: str = "_small") -> int:
     edges inside a node go. That halves the nodes or better whatever the shape of the graph, and each
     round is written, so plans stay short.
     """
-    edges = cells.select(
-        F.concat(F.lit("a"), F.col(first).cast("string")).alias("a"), F.concat(F.lit("b"), F.col(second).cast("string")).alias("b")
-    )
-    edges = written(edges.distinct(), "edges")
-    found, turn = 0, 0
-    nodes = _nodes(edges).count()
+    # levels of the first column only link levels of the second: each to the smallest one beside it
+    pairs = written(cells.select(F.col(first).alias("a"), F.col(second).alias("b")).distinct(), "pairs")
+    smallest = pairs.groupBy("a").agg(F.min("b").alias("to"))
+    links = pairs.join(smallest, "a").where("b <> to").select(F.col("to").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    edges = written(links.distinct(), "edges")
+    turn, nodes = 0, _nodes(edges).count()
+    # a level without a link is a part of its own
+    found = pairs.select("b").distinct().count() - nodes
     while nodes:
         to = _nodes(edges, "b")
         place = lambda c: F.struct(F.xxhash64(F.lit(turn), c), F.col(c).alias("at"))  # noqa: B023, E731
@@ -73,9 +77,25 @@ class _Gradients:
 
     def __init__(self, edges: DataFrame, small_vectors: bool):
         self.edges, self.small_vectors = edges, small_vectors
+        self.product = None if small_vectors else self._product()
+
+    def _product(self) -> DataFrame | None:
+        """``(_small, to, w)``: the way to the big levels and back as one matrix, made once, if few small levels share a big one."""
+        degrees = self.edges.groupBy("_big").agg(F.count(F.lit(1)).alias("n"))
+        sizes = degrees.agg(F.sum("n"), F.sum(F.col("n") * F.col("n")), F.max("n")).first()
+        if sizes[0] is None or sizes[1] > PAIRS_PER_EDGE * sizes[0] or sizes[2] > MAX_DEGREE:
+            return None
+        ends = self.edges.groupBy("_big").agg(F.collect_list(F.struct("_small", "w")).alias("at"), F.sum("w").alias("whole"))
+        one = ends.select("at", "whole", F.explode("at").alias("a"))
+        two = one.select("a", "whole", F.explode("at").alias("b"))
+        entry = F.sum(F.col("a.w") * F.col("b.w") / F.col("whole"))
+        return written(two.groupBy(F.col("a._small").alias("_small"), F.col("b._small").alias("to")).agg(entry.alias("w")), "product")
 
     def through(self, vector: DataFrame, names: list[str]) -> DataFrame:
         """``(_small, names)``: weighted mean of ``vector`` (by small level) at each big level, summed back to the small ones."""
+        if self.product is not None:
+            held = self.product.join(vector.select("_small", *names), "_small")
+            return held.groupBy(F.col("to").alias("_small")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
         there = _joined(self.edges, vector.select("_small", *names), "_small", self.small_vectors)
         means = there.groupBy("_big").agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in names])
         return self.back(means, names)

@@ -391,3 +391,25 @@ def test_many_models_equal_each_alone(spark, cluster):
             assert got[name].stats[stat] == pytest.approx(value, rel=1e-7), (name, stat)
     with pytest.raises(ValueError, match="no complete rows to fit empty"):
         wls_many(df, {"empty": Model("y", "x", "day < 0")}, "w")
+
+
+def test_turns_work_on_cells_and_graphs_on_few_links(spark, monkeypatch):
+    """Rounds never rewrite the rows; a graph of two columns is counted by the links of one of them."""
+    from panelspark.stats import absorb as absorb_module
+    from panelspark.stats import effect_graph
+
+    df = spark.range(2000).select((F.col("id") % 2).alias("a"), (F.col("id") % 7).alias("b"), (F.col("id") ** 2 % 101 + 1e7).alias("x"), (F.col("id") % 3 + 1.0).alias("w"))
+    kept, sizes = absorb_module.checkpointed, []
+    monkeypatch.setattr(absorb_module, "checkpointed", lambda d: (sizes.append((out := kept(d)).count()), out)[1])
+    flat = absorb_module.demean_in_turns(df, ["x"], ("a", "b"), "w")
+    assert flat.columns == df.columns and flat.count() == 2000 and max(sizes) <= 14
+    for fe in ("a", "b"):
+        assert all(abs(r[1]) < 1e-6 for r in flat.groupBy(fe).agg(F.sum(F.col("x") * F.col("w")) / F.sum("w")).collect())
+
+    kept_written, named = effect_graph.written, {}
+    monkeypatch.setattr(effect_graph, "written", lambda d, name: (named.setdefault(name, (out := kept_written(d, name)).count()), out)[1])
+    cells = spark.range(3000).select(F.col("id").alias("_big"), F.expr("id div 100").alias("_small"))
+    cells = cells.unionByName(cells.where("_small % 3 = 0").withColumn("_small", F.col("_small") + 1))
+    assert effect_graph.parts(cells) == 20
+    assert named["edges"] == 10
+    assert effect_graph._Gradients(cells.withColumn("w", F.lit(1.0)), False).product.count() == 50
