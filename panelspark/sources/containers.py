@@ -15,8 +15,10 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 from contextlib import ExitStack
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +33,13 @@ RECORD_SCHEMA = (
 # A unit: members (by place) of the archive reached through ``chain``, the places of archives
 # stored inside archives. Without members it is a plain file.
 UNIT_SCHEMA = "path string, inside string, chain array<int>, members array<int>, bytes bigint"
-BATCH_RECORDS = 5_000
+# Records, and characters of them, handed on at once.
+BATCH_RECORDS, BATCH_BYTES = 5_000, 8 << 20
 # Unpacked bytes of a unit, and of a task.
 UNIT, TASK = 64 << 20, 256 << 20
 READ_AHEAD = 1 << 20
+# Bytes of a member that is unpacked at once.
+SMALL = 1 << 20
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -91,6 +96,17 @@ def _records(path: str, member: str, text) -> Iterator[tuple]:
         yield (path, member, number, fields, header, lead, None, None)
 
 
+def _small_text(archive: zipfile.ZipFile, inner: zipfile.ZipInfo) -> str | None:
+    """A short CSV member at once; None if it is long or anything is wrong, which reading it as a stream tells."""
+    if inner.file_size > SMALL or not inner.filename.lower().endswith(".csv"):
+        return None
+    try:
+        with archive.open(inner) as handle:
+            return None if len(data := handle.read(SMALL + 1)) > SMALL else data.decode("utf-8")
+    except Exception:  # noqa: BLE001 - the stream reports it, after the records in front of it
+        return None
+
+
 def _open(path: str, member: str, name: str, stream, only: list[int] | None = None) -> Iterator[tuple]:
     """Records of a file by its suffix; what goes wrong becomes a row and ends this file only."""
     try:
@@ -103,6 +119,12 @@ def _open(path: str, member: str, name: str, stream, only: list[int] | None = No
                     if inner.is_dir():
                         continue
                     inside = f"{member}/{inner.filename}" if member else inner.filename
+                    if (text := _small_text(archive, inner)) is not None:
+                        try:
+                            yield from _records(path, inside, io.StringIO(text, newline=""))
+                        except Exception as problem:  # noqa: BLE001 - a bad file must not stop its siblings
+                            yield (path, inside, None, None, None, None, str(problem), type(problem).__name__)
+                        continue
                     try:
                         with archive.open(inner) as handle:
                             yield from _open(path, inside, inner.filename, handle)
@@ -167,19 +189,43 @@ def _unit_records(path: str, inside: str, chain: list[int], members: list[int] |
         yield (path, inside, None, None, None, None, str(problem), type(problem).__name__)
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
-    rows = []
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    """Records as Arrow columns; a header or first record is converted once, not once per record."""
+    columns = list(zip(*rows))
+    arrays = [pa.array(c, t) for c, t in zip(columns[:3], (pa.string(), pa.string(), pa.int64()))]
+    texts = pa.list_(pa.string())
+    arrays.append(_lists(columns[3]))
+    for column in columns[4:6]:
+        # records of a file share the list itself
+        place, seen = [], {}
+        for value in column:
+            place.append(seen.setdefault(id(value), len(seen)))
+        first = dict(zip(place, column))
+        arrays.append(pa.array(list(first.values()), texts).take(pa.array(place, pa.int32())))
+    arrays += [pa.array(c, pa.string()) for c in columns[6:]]
+    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in RECORD_SCHEMA.split(", ")])
+
+
+def _lists(column: tuple) -> pa.Array:
+    """Lists of texts from one flat array of them; None stays None."""
+    flat = [text for fields in column if fields is not None for text in fields]
+    ends = list(accumulate((0 if fields is None else len(fields) for fields in column), initial=0))
+    missing = pa.array([fields is None for fields in column])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()), mask=missing)
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
     for batch in batches:
-        for path, inside, chain, members in zip(batch["path"], batch["inside"], batch["chain"], batch["members"]):
-            places = None if members is None else [int(m) for m in members]
-            for row in _unit_records(path, inside, [int(c) for c in chain], places):
+        for unit in batch.to_pylist():
+            for row in _unit_records(unit["path"], unit["inside"], unit["chain"], unit["members"]):
                 rows.append(row)
-                if len(rows) == BATCH_RECORDS:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+                size += sum(map(len, row[3])) if row[3] else 0
+                if len(rows) == BATCH_RECORDS or size > BATCH_BYTES:
+                    yield _table(rows)
+                    rows, size = [], 0
     if rows:
-        yield pd.DataFrame(rows, columns=columns)
+        yield _table(rows)
 
 
 def list_units(spark: SparkSession, path: str, glob: str = "*.{zip,ZIP,Zip,csv,CSV}") -> DataFrame:
@@ -206,7 +252,7 @@ def read_containers(spark: SparkSession, path: str, glob: str = "*.{zip,ZIP,Zip,
     units = list_units(spark, path, glob)
     total, n = units.agg(F.sum("bytes"), F.count(F.lit(1))).first()
     tasks = max(1, min(n, max(math.ceil((total or 0) / task_bytes), spark.sparkContext.defaultParallelism)))
-    return units.repartition(tasks).mapInPandas(_expand, RECORD_SCHEMA)
+    return units.repartition(tasks).mapInArrow(_expand, RECORD_SCHEMA)
 
 
 def write_archives(lines: DataFrame, folder: str, archive: str, member: str, order: str, line: str) -> DataFrame:

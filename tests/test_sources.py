@@ -106,6 +106,23 @@ def test_units_are_runs_of_members(spark, tmp_path, monkeypatch):
     assert records.where("error IS NULL").count() == 18 * 9
 
 
+def test_short_members_are_read_at_once_with_the_same_records(tmp_path, monkeypatch):
+    """Short members need no stream; damaged ones still give the records in front of the damage."""
+    good, late = b"C,a\nI,b\nD,\"x\r\ny\",2\n", b"C,a\n" + b"D,1\n" * 5000 + b"D,\xff\xfe\n"
+    (tmp_path / "a.zip").write_bytes(zipped(**{"good.csv": good, "late.csv": late, "odd.txt": b"x"}))
+    unit = (str(tmp_path / "a.zip"), "", [], [0, 1, 2])
+    streamed = []
+    kept = io.TextIOWrapper
+    monkeypatch.setattr(containers.io, "TextIOWrapper", lambda stream, **how: (streamed.append(stream.name), kept(stream, **how))[1])
+    quick = list(containers._unit_records(*unit))
+    assert streamed == ["late.csv"]
+    monkeypatch.setattr(containers, "SMALL", -1)
+    assert quick == list(containers._unit_records(*unit))
+    assert [r[1] for r in quick if r[-1]] == ["late.csv", "odd.txt"] and quick[2][3] == ["D", "x\r\ny", "2"]
+    table = containers._table(quick)
+    assert [tuple(r.values()) for r in table.to_pylist()] == quick
+
+
 def test_write_archives_streams_members(spark, tmp_path):
     rows = [(f"{a}.zip", m, k, f"{m},{k}\n".encode()) for a in "xy" for m in ("z.csv", "in.zip/b.csv", "a.csv", "in.zip/a.csv") for k in range(3)]
     lines = spark.createDataFrame(rows, "archive string, member string, k int, line binary").repartition(3)
