@@ -21,6 +21,11 @@ RUNTIME_CONF = {
     # what a Python worker is handed at once, whatever the length of a row
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
+# What a task reads, of files and of a shuffle; sorted rows take some ten times that in memory. A session that names them keeps its own.
+TASK_CONF = {
+    "spark.sql.files.maxPartitionBytes": "16m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+}
 
 
 PACKAGE = Path(__file__).resolve().parent
@@ -48,6 +53,9 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else built."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    for key, value in TASK_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     ship(spark)
     return spark
 
