@@ -12,6 +12,8 @@ from ..session import checkpointed
 # Rows and bytes a dimension may have and still be copied to every executor.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 128 << 20
+# Rows of a dimension without repeated keys a task may keep in a hash table.
+HASHED_ROWS = 500_000
 # Periods one key may have and still be searched row by row.
 PERIODS_PER_KEY = 64
 
@@ -30,6 +32,7 @@ def sized_join(
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
     written: bool = False,
+    distinct: bool = False,
 ) -> DataFrame:
     """Join a large table to a smaller one on equal columns.
 
@@ -40,7 +43,9 @@ def sized_join(
     they stay in the result they go past the join. The rows are the same either way.
 
     ``written`` puts the dimension into the checkpoint folder first. Set it where the
-    dimension is itself an aggregate of large data, which counting would compute twice.
+    dimension is itself an aggregate of large data, which counting would compute twice. ``distinct`` says
+    that the dimension has each key once, so that its rows spread over the tasks: if they are at most ``HASHED_ROWS``
+    a task, by a count, they are looked up in a hash table and the facts are not sorted.
     """
     if how not in ("inner", "left", "left_anti", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -52,7 +57,10 @@ def sized_join(
     keyed = F.lit(True)
     for c in on:
         keyed = keyed & F.col(f"`{c}`").isNotNull()
-    joined = facts.where(keyed).join(dim.hint("merge"), on, how)
+    strategy = "merge"
+    if distinct and dim.count() <= HASHED_ROWS * int(dim.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        strategy = "shuffle_hash"
+    joined = facts.where(keyed).join(dim.hint(strategy), on, how)
     if how not in ("left", "left_anti"):
         return joined
     return joined.unionByName(facts.where(~keyed), allowMissingColumns=True)

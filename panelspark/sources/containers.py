@@ -2,7 +2,7 @@
 
 A first job lists the members of every archive from its directory; runs of members of a bounded
 size, or one larger member, are the units a second job reads. Files are opened where they lie and
-streamed, so neither an archive nor a member is ever held whole.
+streamed, so neither a long archive nor a long member is ever held whole.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ import io
 import math
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import ExitStack
-from itertools import accumulate
+from itertools import chain
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +41,8 @@ BATCH_RECORDS, BATCH_BYTES = 5_000, 8 << 20
 # Unpacked bytes of a unit, and of a task.
 UNIT, TASK = 64 << 20, 256 << 20
 READ_AHEAD = 1 << 20
-# Bytes of a member that is unpacked at once.
-SMALL = 1 << 20
+# Bytes of a member that is unpacked at once, and of a file that is read at once.
+SMALL, SHORT_FILE = 1 << 20, 8 << 20
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -80,34 +83,94 @@ class _Remote(io.RawIOBase):
         super().close()
 
 
-def _stream(path: str) -> io.BufferedReader:
+def _stream(path: str) -> io.BufferedIOBase:
+    """An open file; a short one is read at once, as finding the members of an archive moves about in it."""
     system, name = file_system(path)
-    return io.BufferedReader(_Remote(system.open_input_file(name)), READ_AHEAD)
+    source = system.open_input_file(name)
+    if source.size() > SHORT_FILE:
+        return io.BufferedReader(_Remote(source), READ_AHEAD)
+    with source:
+        return io.BytesIO(source.read())
 
 
-def _records(path: str, member: str, text) -> Iterator[tuple]:
-    """Records of one CSV, each with the header record in force and the file's first record."""
-    csv.field_size_limit(2**31 - 1)
-    header = lead = None
-    for number, fields in enumerate(csv.reader(text), start=1):
-        lead = fields if number == 1 else lead
-        if fields[:1] == ["I"]:
-            header = fields
-        yield (path, member, number, fields, header, lead, None, None)
+class _Block(NamedTuple):
+    """Records of a file read at once: the first one's number, their fields, (place, header) where a header begins, the file's first record.
+
+    Without rows it says what ended the reading of the file.
+    """
+
+    path: str
+    member: str
+    start: int | None
+    rows: list[list[str]] | None
+    headers: list[tuple[int, list[str] | None]]
+    lead: list[str] | None
+    error: str | None = None
+    error_class: str | None = None
 
 
-def _small_text(archive: zipfile.ZipFile, inner: zipfile.ZipInfo) -> str | None:
-    """A short CSV member at once; None if it is long or anything is wrong, which reading it as a stream tells."""
-    if inner.file_size > SMALL or not inner.filename.lower().endswith(".csv"):
+def _problem(path: str, member: str, problem: Exception) -> _Block:
+    return _Block(path, member, None, None, [(0, None)], None, str(problem), type(problem).__name__)
+
+
+def _records(path: str, member: str, text, short: bool = False) -> Iterator[_Block]:
+    """Records of one CSV; what was read in front of an error comes before it. A ``short`` text is no longer than a batch."""
+    csv.field_size_limit(2**31 - 1)
+    lead, problem, start, size = None, None, 1, 0
+    rows, headers = [], [(0, None)]
+    try:
+        for fields in csv.reader(text):
+            if fields and fields[0] == "I":
+                headers.append((len(rows), fields))
+            rows.append(fields)
+            if not short:
+                size += sum(map(len, fields))
+            if len(rows) == BATCH_RECORDS or size > BATCH_BYTES:
+                lead = rows[0] if start == 1 else lead
+                yield _Block(path, member, start, rows, headers, lead)
+                start, size, rows, headers = start + len(rows), 0, [], [(0, headers[-1][1])]
+    except Exception as raised:  # noqa: BLE001 - raised again below
+        problem = raised
+    if rows:
+        yield _Block(path, member, start, rows, headers, rows[0] if start == 1 else lead)
+    if problem is not None:
+        raise problem
+
+
+def _flat(blocks: Iterable[_Block]) -> Iterator[tuple]:
+    """Blocks as records, each with the header record in force and the file's first record."""
+    for block in blocks:
+        if block.rows is None:
+            yield (block.path, block.member, None, None, None, None, block.error, block.error_class)
+            continue
+        header, changes = None, dict(block.headers)
+        for place, fields in enumerate(block.rows):
+            header = changes.get(place, header)
+            yield (block.path, block.member, block.start + place, fields, header, block.lead, None, None)
+
+
+def _small(archive: zipfile.ZipFile, inner: zipfile.ZipInfo) -> bytes | None:
+    """A short member at once; None if it is long or anything is wrong, which reading it as a stream tells."""
+    if inner.file_size > SMALL:
         return None
     try:
         with archive.open(inner) as handle:
-            return None if len(data := handle.read(SMALL + 1)) > SMALL else data.decode("utf-8")
+            return None if len(data := handle.read(SMALL + 1)) > SMALL else data
     except Exception:  # noqa: BLE001 - the stream reports it, after the records in front of it
         return None
 
 
-def _open(path: str, member: str, name: str, stream, only: list[int] | None = None) -> Iterator[tuple]:
+def _short_text(archive: zipfile.ZipFile, inner: zipfile.ZipInfo) -> str | None:
+    """A short CSV member as text, under the same conditions."""
+    if not inner.filename.lower().endswith(".csv") or (data := _small(archive, inner)) is None:
+        return None
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
+def _blocks(path: str, member: str, name: str, stream, only: list[int] | None = None) -> Iterator[_Block]:
     """Records of a file by its suffix; what goes wrong becomes a row and ends this file only."""
     try:
         if name.lower().endswith(".zip"):
@@ -119,23 +182,31 @@ def _open(path: str, member: str, name: str, stream, only: list[int] | None = No
                     if inner.is_dir():
                         continue
                     inside = f"{member}/{inner.filename}" if member else inner.filename
-                    if (text := _small_text(archive, inner)) is not None:
+                    if (text := _short_text(archive, inner)) is not None:
                         try:
-                            yield from _records(path, inside, io.StringIO(text, newline=""))
+                            yield from _records(path, inside, io.StringIO(text, newline=""), short=True)
                         except Exception as problem:  # noqa: BLE001 - a bad file must not stop its siblings
-                            yield (path, inside, None, None, None, None, str(problem), type(problem).__name__)
+                            yield _problem(path, inside, problem)
                         continue
                     try:
+                        # an archive is read from its end, so a short one is unpacked first
+                        if inner.filename.lower().endswith(".zip") and (data := _small(archive, inner)) is not None:
+                            yield from _blocks(path, inside, inner.filename, io.BytesIO(data))
+                            continue
                         with archive.open(inner) as handle:
-                            yield from _open(path, inside, inner.filename, handle)
+                            yield from _blocks(path, inside, inner.filename, handle)
                     except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError) as problem:
-                        yield (path, inside, None, None, None, None, str(problem), type(problem).__name__)
+                        yield _problem(path, inside, problem)
         elif name.lower().endswith(".csv"):
             yield from _records(path, member, io.TextIOWrapper(stream, encoding="utf-8", newline=""))
         else:
-            yield (path, member, None, None, None, None, f"unknown kind of file: {name}", "UnknownFile")
+            yield _Block(path, member, None, None, [(0, None)], None, f"unknown kind of file: {name}", "UnknownFile")
     except Exception as problem:  # noqa: BLE001 - a bad file must not stop its siblings
-        yield (path, member, None, None, None, None, str(problem), type(problem).__name__)
+        yield _problem(path, member, problem)
+
+
+def _open(path: str, member: str, name: str, stream, only: list[int] | None = None) -> Iterator[tuple]:
+    return _flat(_blocks(path, member, name, stream, only))
 
 
 def _units(path: str, inside: str, chain: list[int], stream) -> Iterator[tuple]:
@@ -157,7 +228,8 @@ def _units(path: str, inside: str, chain: list[int], stream) -> Iterator[tuple]:
             if run and size + inner.file_size > UNIT:
                 yield (path, inside, chain, run, size)
                 run, size = [], 0
-            run, size = [*run, place], size + inner.file_size
+            run.append(place)
+            size += inner.file_size
     if run:
         yield (path, inside, chain, run, size)
 
@@ -177,55 +249,74 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(units, columns=columns)
 
 
-def _unit_records(path: str, inside: str, chain: list[int], members: list[int] | None) -> Iterator[tuple]:
+def _unit_blocks(path: str, inside: str, chain: list[int], members: list[int] | None) -> Iterator[_Block]:
     try:
         with ExitStack() as opened:
             stream = opened.enter_context(_stream(path))
             for place in chain:
                 outer = opened.enter_context(zipfile.ZipFile(stream))
                 stream = opened.enter_context(outer.open(outer.infolist()[place]))
-            yield from _open(path, inside, posixpath.basename(path if members is None else inside or path), stream, members)
+            yield from _blocks(path, inside, posixpath.basename(path if members is None else inside or path), stream, members)
     except Exception as problem:  # noqa: BLE001 - a bad file must not stop its siblings
-        yield (path, inside, None, None, None, None, str(problem), type(problem).__name__)
+        yield _problem(path, inside, problem)
+
+
+def _unit_records(path: str, inside: str, chain: list[int], members: list[int] | None) -> Iterator[tuple]:
+    return _flat(_unit_blocks(path, inside, chain, members))
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    """Records as Arrow columns; a header or first record is converted once, not once per record."""
-    columns = list(zip(*rows))
-    arrays = [pa.array(c, t) for c, t in zip(columns[:3], (pa.string(), pa.string(), pa.int64()))]
+    """Records as Arrow columns."""
+    return _batch([_Block(r[0], r[1], r[2], None if r[3] is None else [r[3]], [(0, r[4])], *r[5:]) for r in rows])
+
+
+def _batch(blocks: list[_Block]) -> pa.RecordBatch:
+    """Blocks as Arrow columns; what records of a file share is converted once, not once per record."""
+    lengths = np.array([1 if b.rows is None else len(b.rows) for b in blocks])
+    begins = np.cumsum(lengths) - lengths
+    of_block = pa.array(np.repeat(np.arange(len(blocks), dtype=np.int32), lengths))
+    first = np.repeat(np.array([0 if b.start is None else b.start for b in blocks], np.int64) - begins, lengths)
+    unread = np.repeat(np.array([b.rows is None for b in blocks]), lengths)
+    marks = [(begin + at, header) for b, begin in zip(blocks, begins.tolist()) for at, header in b.headers]
+    # a header that begins with its block leaves nothing to the one before
+    until = np.diff([at for at, _ in marks], append=lengths.sum())
     texts = pa.list_(pa.string())
-    arrays.append(_lists(columns[3]))
-    for column in columns[4:6]:
-        # records of a file share the list itself
-        place, seen = [], {}
-        for value in column:
-            place.append(seen.setdefault(id(value), len(seen)))
-        first = dict(zip(place, column))
-        arrays.append(pa.array(list(first.values()), texts).take(pa.array(place, pa.int32())))
-    arrays += [pa.array(c, pa.string()) for c in columns[6:]]
+    arrays = [
+        pa.array([b.path for b in blocks], pa.string()).take(of_block),
+        pa.array([b.member for b in blocks], pa.string()).take(of_block),
+        pa.array(first + np.arange(len(first)), pa.int64(), mask=unread),
+        _lists([fields for b in blocks for fields in ([None] if b.rows is None else b.rows)]),
+        pa.array([header for _, header in marks], texts).take(pa.array(np.repeat(np.arange(len(marks), dtype=np.int32), until))),
+        pa.array([b.lead for b in blocks], texts).take(of_block),
+        pa.array([b.error for b in blocks], pa.string()).take(of_block),
+        pa.array([b.error_class for b in blocks], pa.string()).take(of_block),
+    ]
     return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in RECORD_SCHEMA.split(", ")])
 
 
-def _lists(column: tuple) -> pa.Array:
+def _lists(column: list[list[str] | None]) -> pa.Array:
     """Lists of texts from one flat array of them; None stays None."""
     flat = [text for fields in column if fields is not None for text in fields]
-    ends = list(accumulate((0 if fields is None else len(fields) for fields in column), initial=0))
+    ends = np.cumsum([0, *(0 if fields is None else len(fields) for fields in column)])
     missing = pa.array([fields is None for fields in column])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()), mask=missing)
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, size = [], 0
+    blocks, count, size = [], 0, 0
     for batch in batches:
         for unit in batch.to_pylist():
-            for row in _unit_records(unit["path"], unit["inside"], unit["chain"], unit["members"]):
-                rows.append(row)
-                size += sum(map(len, row[3])) if row[3] else 0
-                if len(rows) == BATCH_RECORDS or size > BATCH_BYTES:
-                    yield _table(rows)
-                    rows, size = [], 0
-    if rows:
-        yield _table(rows)
+            for block in _unit_blocks(unit["path"], unit["inside"], unit["chain"], unit["members"]):
+                rows = block.rows or ()
+                # what is kept ends before it gets longer than a batch
+                length = sum(map(len, chain.from_iterable(rows)))
+                if blocks and (count + len(rows) > BATCH_RECORDS or size + length > BATCH_BYTES):
+                    yield _batch(blocks)
+                    blocks, count, size = [], 0, 0
+                blocks.append(block)
+                count, size = count + max(1, len(rows)), size + length
+    if blocks:
+        yield _batch(blocks)
 
 
 def list_units(spark: SparkSession, path: str, glob: str = "*.{zip,ZIP,Zip,csv,CSV}") -> DataFrame:
@@ -255,62 +346,108 @@ def read_containers(spark: SparkSession, path: str, glob: str = "*.{zip,ZIP,Zip,
     return units.repartition(tasks).mapInArrow(_expand, RECORD_SCHEMA)
 
 
+class _Packer:
+    """Archives of one task, written one after the other; a short member is packed at once, a long one as it comes."""
+
+    def __init__(self, folder: str, attempt: int):
+        self.system, self.base = file_system(folder)
+        self.folder, self.attempt, self.done = folder, attempt, []
+        self.system.create_dir(self.base, recursive=True)
+        self.archive = self.member = self.nested = self.outer = self.target = self.info = self.handle = None
+        self.parts, self.size = [], 0
+        self.outer_stack, self.inner_stack = ExitStack(), ExitStack()
+
+    def add(self, archive: str, member: str, content: memoryview) -> None:
+        if archive != self.archive:
+            self.end_archive()
+            out = self.outer_stack.enter_context(self.system.open_output_stream(f"{self.base}/.{archive}-{self.attempt}"))
+            self.outer = self.target = self.outer_stack.enter_context(zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED))
+            self.archive = archive
+        if member != self.member:
+            self.begin(member)
+        self.size += len(content)
+        if self.handle is None and self.size > SMALL:
+            self.handle = self.target.open(self.info, "w", force_zip64=True)
+            for part in self.parts:
+                self.handle.write(part)
+            self.parts = []
+        if self.handle is None:
+            self.parts.append(bytes(content))
+        else:
+            self.handle.write(content)
+
+    def begin(self, member: str) -> None:
+        self.end_member()
+        first, _, rest = member.partition(".zip/")
+        nested = f"{first}.zip" if rest else None
+        if nested != self.nested:
+            self.inner_stack.close()
+            self.target = self.outer
+            if nested:
+                raw = self.inner_stack.enter_context(self.outer.open(zipfile.ZipInfo(nested), "w", force_zip64=True))
+                self.target = self.inner_stack.enter_context(zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED))
+            self.nested = nested
+        self.member, self.info = member, zipfile.ZipInfo(rest or member)
+        self.info.compress_type = zipfile.ZIP_DEFLATED
+
+    def end_member(self) -> None:
+        if self.handle is not None:
+            self.handle.close()
+        elif self.member is not None:
+            self.target.writestr(self.info, b"".join(self.parts))
+        self.member = self.handle = None
+        self.parts, self.size = [], 0
+
+    def end_archive(self) -> None:
+        self.end_member()
+        self.inner_stack.close()
+        self.outer_stack.close()
+        if self.archive is not None:
+            self.system.move(f"{self.base}/.{self.archive}-{self.attempt}", f"{self.base}/{self.archive}")
+            self.done.append(f"{self.folder}/{self.archive}")
+        self.archive = self.nested = None
+
+
+def _runs(names: pa.Array, members: pa.Array) -> list[int]:
+    """Where runs of equal (name, member) begin, and the end of the last."""
+    changed = pc.or_(pc.not_equal(names[1:], names[:-1]), pc.not_equal(members[1:], members[:-1]))
+    return [0, *(np.flatnonzero(changed.to_numpy(zero_copy_only=False)) + 1).tolist(), len(names)]
+
+
 def write_archives(lines: DataFrame, folder: str, archive: str, member: str, order: str, line: str) -> DataFrame:
     """Pack the byte strings of ``line`` into archives below ``folder``; result: (path), one per archive.
 
     ``member`` is the name inside; one that starts with ``name.zip/`` goes to an archive inside the
     archive. Lines of a member follow ``order``. An archive is written by one task, streamed, under a name
     of its own attempt and renamed at the end. Evaluate the result once, for instance by writing it.
+    A missing archive, member or line raises.
     """
     columns = [archive, member, line]
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = file_system(folder)
-        system.create_dir(base, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
-        stack, current, done = ExitStack(), (None, None, None), []
-
-        def finish(name: str | None) -> None:
-            stack.close()
-            if name is not None:
-                system.move(f"{base}/.{name}-{attempt}", f"{base}/{name}")
-                done.append(f"{folder}/{name}")
-
-        outer = target = inner_stack = handle = None
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(folder, TaskContext.get().taskAttemptId())
         for batch in batches:
-            for name, inside, content in zip(*(batch[c] for c in columns)):
-                first, _, rest = inside.partition(".zip/")
-                nested = f"{first}.zip" if rest else None
-                if name != current[0]:
-                    finish(current[0])
-                    out = stack.enter_context(system.open_output_stream(f"{base}/.{name}-{attempt}"))
-                    outer = stack.enter_context(zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED))
-                    inner_stack = stack.enter_context(ExitStack())
-                    handle = stack.enter_context(ExitStack())
-                    current = (name, "", None)
-                if nested != current[1]:
-                    handle.close()
-                    inner_stack.close()
-                    target = outer
-                    if nested:
-                        stored = zipfile.ZipInfo(nested)
-                        raw = inner_stack.enter_context(outer.open(stored, "w", force_zip64=True))
-                        target = inner_stack.enter_context(zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED))
-                    current = (name, nested, None)
-                if inside != current[2]:
-                    handle.close()
-                    info = zipfile.ZipInfo(rest or inside)
-                    info.compress_type = zipfile.ZIP_DEFLATED
-                    write = handle.enter_context(target.open(info, "w", force_zip64=True)).write
-                    current = (name, nested, inside)
-                write(content)
-        finish(current[0])
-        yield pd.DataFrame({"path": done})
+            if not batch.num_rows:
+                continue
+            names, members, contents = (batch.column(i) for i in range(3))
+            if names.null_count or members.null_count or contents.null_count:
+                raise ValueError("a line to be packed lacks its archive, its member or itself")
+            # the lines of a run lie one behind the other in memory
+            starts = _runs(names, members)
+            first = pa.array(starts[:-1], pa.int32())
+            contents = contents.cast(pa.large_binary())
+            _, offsets, data = contents.buffers()
+            ends = np.frombuffer(offsets, np.int64)[contents.offset :][starts].tolist()
+            whole = memoryview(data if data is not None else b"")
+            for name, inside, begin, end in zip(names.take(first).to_pylist(), members.take(first).to_pylist(), ends, ends[1:]):
+                packer.add(name, inside, whole[begin:end])
+        packer.end_archive()
+        yield pa.RecordBatch.from_pydict({"path": pa.array(packer.done, pa.string())})
 
     # members of an inner archive stand together
     inner = F.when(F.contains(member, F.lit(".zip/")), F.substring_index(member, ".zip/", 1))
     ordered = lines.repartition(archive).sortWithinPartitions(F.col(archive), inner, F.col(member), F.col(order))
-    return ordered.select(*columns).mapInPandas(pack, "path string")
+    return ordered.select(*columns).mapInArrow(pack, "path string")
 
 
 # Archives known to be corrupt at their origin, and members not worth a complaint.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import sized_join
 from ..session import written
 from .containers import read_problems
-from .sections import FILE_KEY, validate_sections
+from .sections import FILE_KEY, UNREADABLE, validate_sections
 
 INVALID = "InvalidReport"
 
@@ -25,17 +25,16 @@ def commit_sound(records: DataFrame, sink: str, **known) -> DataFrame:
     """
     staged = written(records, "staged-records")
     unreadable = read_problems(staged, **known)
-    verdicts = validate_sections(staged).where(F.col("problem").isNotNull())
-    readable = verdicts.join(unreadable.select(*FILE_KEY).distinct(), list(FILE_KEY), "left_anti")
-    invalid = readable.select(
+    verdicts = validate_sections(staged, error_texts=False)
+    invalid = verdicts.where(F.col("problem") != UNREADABLE).select(
         *FILE_KEY, F.col("problem").alias("error"), F.lit(INVALID).alias("error_class"), F.lit("error").alias("severity")
     )
     # a file meets one problem, as reading it ends there
-    aside = unreadable.unionByName(invalid).dropDuplicates(list(FILE_KEY))
+    aside = unreadable.dropDuplicates(list(FILE_KEY)).unionByName(invalid)
     spark = records.sparkSession
     aside.write.mode("overwrite").parquet(f"{sink}/quarantine")
     bad = spark.read.parquet(f"{sink}/quarantine")
-    sound = sized_join(staged, bad.select(*FILE_KEY), list(FILE_KEY), "left_anti")
+    sound = sized_join(staged, bad.select(*FILE_KEY), list(FILE_KEY), "left_anti", distinct=True)
     sound.drop("error", "error_class").write.mode("overwrite").parquet(f"{sink}/records")
     kept = spark.read.parquet(f"{sink}/records")
     kept.groupBy(*FILE_KEY).agg(F.count(F.lit(1)).alias("records")).write.mode("overwrite").parquet(f"{sink}/manifest")

@@ -19,6 +19,8 @@ FILE_KEY = ("path", "member")
 LEAD_FIELDS = 4
 NULL_NAME = "NULL"
 END_MARK = "END OF REPORT"
+# What validate_sections calls a file with an error when it is not asked for the error itself.
+UNREADABLE = "unreadable"
 # Fixed value: the one report whose closing count is not to be trusted.
 UNCOUNTED_REPORTS = ("PUBLIC_PDR_CONFIG_non_mms_data_model.CSV",)
 
@@ -59,14 +61,18 @@ def top_timestamp(lead: Column) -> Column:
 
 
 def validate_sections(
-    records: DataFrame, file_key: Sequence[str] = FILE_KEY, uncounted: Sequence[str] = UNCOUNTED_REPORTS
+    records: DataFrame,
+    file_key: Sequence[str] = FILE_KEY,
+    uncounted: Sequence[str] = UNCOUNTED_REPORTS,
+    error_texts: bool = True,
 ) -> DataFrame:
     """One row per file: (path, member, is_report, problem), problem NULL for a sound report.
 
     A report starts with a C record, holds C, I and D records only, and ends with
     ``C,END OF REPORT,n`` where n is the number of records or one less; nothing follows.
     A file that does not start with C is no report, which is not a problem. One partial
-    aggregate, whatever the size of a file.
+    aggregate, whatever the size of a file. The problem of a file with an ``error`` is that text, for which
+    all records are sorted, or ``UNREADABLE`` without ``error_texts``.
     """
     no, kind = F.col("record_no"), _kind()
     filled = F.size("fields") > 0
@@ -82,7 +88,7 @@ def validate_sections(
         F.when(filled, no).alias("_filled"),
         F.when(~filled, no).alias("_empty"),
         F.when(filled & ~kind.isin("C", "I", "D"), no).alias("_strange"),
-        *(["error"] if failed else []),
+        *([F.col("error") if error_texts else F.col("error").isNotNull().alias("error")] if failed else []),
     )
     facts = marks.groupBy(*file_key).agg(
         F.min_by("_starts", "_no").alias("_first"),
@@ -93,6 +99,8 @@ def validate_sections(
         F.min("_strange").alias("_odd"),
         F.max("error").alias("_error") if failed else F.lit(None).cast("string").alias("_error"),
     )
+    if failed and not error_texts:
+        facts = facts.withColumn("_error", F.when(F.col("_error"), F.lit(UNREADABLE)))
     declared = F.col("_count")
     name = F.element_at(F.split(F.col(file_key[-1]), "/"), -1)
     counted = declared.isin(F.col("_end"), F.col("_end") - 1) | name.isin(*uncounted)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.operators import joins
 from panelspark.operators.quality import ExpectationError
 from panelspark.sources import catalogue, climate, containers, links, quarantine, sections, tables, typed, weather
 
@@ -133,6 +134,56 @@ def test_write_archives_streams_members(spark, tmp_path):
     assert containers.read_containers(spark, str(tmp_path / "out"), "*.csv").count() == 0
 
 
+def test_short_members_are_packed_at_once(tmp_path, monkeypatch):
+    """One piece per short member however many batches its lines come in; a long one is streamed; the content is the same."""
+    pieces = []
+    kept = zipfile.ZipFile.writestr
+    monkeypatch.setattr(zipfile.ZipFile, "writestr", lambda z, info, data: (pieces.append(info.filename), kept(z, info, data))[1])
+    monkeypatch.setattr(containers, "SMALL", 20)
+    rows = [("a.zip", m, f"{m},{k}\n".encode()) for m in ("in.zip/b.csv", "in.zip/c.csv", "x.csv", "y.csv") for k in range(2 if m[0] != "y" else 9)]
+    packer = containers._Packer(str(tmp_path), 0)
+    for name, member, line in [*rows, ("b.zip", "x.csv", b"1\n")]:
+        packer.add(name, member, memoryview(line))
+    packer.end_archive()
+    assert pieces == ["x.csv", "x.csv"] and packer.done == [f"{tmp_path}/a.zip", f"{tmp_path}/b.zip"]
+    units = containers._units(str(tmp_path / "a.zip"), "", [], io.BytesIO((tmp_path / "a.zip").read_bytes()))
+    got = [r for u in units for r in containers._unit_records(*u[:4])]
+    assert sorted((r[1], ",".join(r[3]) + "\n") for r in got) == sorted((m, line.decode()) for _, m, line in rows)
+
+
+def test_a_line_without_a_member_is_refused(spark, tmp_path):
+    lines = spark.createDataFrame([("x.zip", None, 1, b"a\n")], "archive string, member string, k int, line binary")
+    with pytest.raises(Exception, match="lacks its archive"):
+        containers.write_archives(lines, str(tmp_path / "out"), "archive", "member", "k", "line").collect()
+
+
+def test_blocks_keep_header_and_first_record(monkeypatch):
+    """A file in several blocks gives the same records as in one, an error after those in front of it."""
+    text = TWO_TABLES * 3 + 'D,"\x00open'
+    whole = list(containers._flat(containers._records("p", "m", io.StringIO(text, newline=""))))
+    monkeypatch.setattr(containers, "BATCH_RECORDS", 4)
+    blocks = list(containers._records("p", "m", io.StringIO(text, newline="")))
+    assert len(blocks) > 6 and list(containers._flat(blocks)) == whole
+    assert [r[2] for r in whole] == list(range(1, len(whole) + 1)) and all(r[5] == whole[0][3] for r in whole)
+    blocks.append(containers._problem("p", "m", ValueError("bad")))
+    rows = [tuple(r.values()) for r in containers._batch(blocks).to_pylist()]
+    assert rows == [*whole, ("p", "m", None, None, None, None, "bad", "ValueError")]
+
+
+def test_commit_sorts_no_records(spark):
+    """Verdicts with errors come out of hash tables too, and the files set aside are looked up in one."""
+    rows = spark.createDataFrame([("a", "b", 1, ["C"], None), ("a", "c", None, None, "bad")], "path string, member string, record_no bigint, fields array<string>, error string")
+    verdicts = sections.validate_sections(rows, error_texts=False)
+    plan = verdicts._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert {(r.member, r.problem) for r in verdicts.collect()} == {("b", "no closing record"), ("c", sections.UNREADABLE)}
+    assert {(r.member, r.problem) for r in sections.validate_sections(rows).collect()} == {("b", "no closing record"), ("c", "bad")}
+    bad = rows.where("error IS NOT NULL").select("path", "member")
+    kept = joins.sized_join(rows, bad, ["path", "member"], "left_anti", max_rows=0, distinct=True)
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert [r.member for r in kept.collect()] == ["b"]
+
+
 def test_commit_holds_sound_files_only(spark, folder, records, tmp_path):
     (folder / "cut.csv").write_bytes(TWO_TABLES.encode() * 3000 + b"D,\xff\xfe\n")
     records = containers.read_containers(spark, str(folder))
