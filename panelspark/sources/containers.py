@@ -39,7 +39,7 @@ UNIT_SCHEMA = "path string, inside string, chain array<int>, members array<int>,
 # Records, and characters of them, handed on at once.
 BATCH_RECORDS, BATCH_BYTES = 5_000, 8 << 20
 # Unpacked bytes of a unit, and of a task.
-UNIT, TASK = 64 << 20, 256 << 20
+UNIT, TASK = 64 << 20, 64 << 20
 READ_AHEAD = 1 << 20
 # Bytes of a member that is unpacked at once, and of a file that is read at once.
 SMALL, SHORT_FILE = 1 << 20, 8 << 20

@@ -10,8 +10,6 @@ from panelspark.session import configure
 REPO = str(pathlib.Path(__file__).resolve().parents[1])
 CODE = """
 import sys
-
-from panelspark.session import configure
 sys.path.insert(0, {repo!r})
 import __spark_entry__ as entry
 from panelspark.session import build_session
